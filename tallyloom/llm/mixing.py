@@ -39,7 +39,7 @@ def uniform(key: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source", importance: Column | None = None, bucket_rows: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source", importance: Column | None = None, bucket_rows: int = 1000, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each row with its size in words, its source's size and target, and the words the mix takes of it.
 
     A row's expected copies are its source's target over its source's size, times its importance over the

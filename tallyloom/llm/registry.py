@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import ann, chat, line_dedup, matroska, mixing, packing, pii, simhash, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_matroska": matroska.op2_matroska,
     "op3_packing": packing.op3_packing,
+    "op4_pii": pii.op4_pii,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_chat": chat.op6_chat,
     "op7_mixing": mixing.op7_mixing,
+    "op8_ann": ann.op8_ann,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
-ORACLES = {"op7_mixing": mixing.OP7_SQL}
+ORACLES = {"op1_line_dedup": line_dedup.OP1_SQL, "op7_mixing": mixing.OP7_SQL}
