@@ -27,8 +27,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
     onward = by_cap.rowsBetween(0, Window.unboundedFollowing)
     ranked = ranked.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
+    ranked = ranked.withColumn("place", F.row_number().over(by_cap))
     # In this order the first source that the level does not reach fixes it for all that follow.
-    fixed = F.min(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(every)["level"]
+    fixed = F.min(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.struct("place", "level"))).over(every)["level"]
     ranked = ranked.withColumn("fixed", fixed)
     return ranked.select("source", "source_size", F.when(F.col("fixed").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("fixed") * F.col("weight"))).alias("target"))
 
@@ -106,10 +107,11 @@ WITH RECURSIVE d AS (
   SELECT *, 1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE AS budget FROM w
 ), lev AS (
   SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) /
-            sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+         row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place
   FROM lim
 ), fix AS (
-  SELECT arg_min(level, cap / weight) AS fixed FROM lev WHERE level * weight < cap
+  SELECT arg_min(level, place) AS fixed FROM lev WHERE level * weight < cap
 ), t AS (
   SELECT source, source_size, CASE WHEN fixed IS NULL THEN cap ELSE least(cap, fixed * weight) END AS target FROM lev, fix
 ), e AS (
