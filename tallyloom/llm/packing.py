@@ -53,8 +53,8 @@ def _encoder(path: str):
             known.clear()
             known[""] = b""
         split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if new := set().union(*split) - known.keys():
-            learn(list(new))
+        if new := [w for w in set().union(*split) if w not in known]:
+            learn(new)
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

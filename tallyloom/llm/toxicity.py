@@ -125,8 +125,9 @@ class FuzzyLexicon:
         if len(known) > REMEMBERED:
             known.clear()
         there = set(words)
-        for w in there - known.keys():
-            known[w] = self.look_up(w)
+        for w in there:
+            if w not in known:
+                known[w] = self.look_up(w)
         if not any(map(known.__getitem__, there)):
             return []
         return [(i, known[w]) for i, w in enumerate(words) if known[w]]
