@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 KINDS = {
     "email": (r"e-?mail", r"^[^@\s]+@[^@\s]+\.[^@\s]+$"),
     "ssn": (r"ssn|social.?sec", r"^\d{3}-\d{2}-\d{4}$"),
-    "phone": (r"phone|mobile|fax|tel(_|$)", r"^\+?[0-9][0-9 ().-]{7,}[0-9]$"),
+    "phone": (r"phone|mobile|fax|tel(_|$)", r"^(?!\d{1,3}(\.\d{1,3}){3}$)\+?[0-9][0-9 ().-]{7,}[0-9]$"),
     "name": (r"(first|last|full|customer|user|contact)_?name", None),
     "address": (r"address|street|zip|postal", None),
     "dob": (r"dob|birth", None),
