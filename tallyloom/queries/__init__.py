@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import business, governance, grouping, scalars, shaping, windows  # noqa: F401  they register themselves
+from .registry import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +14,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     orders = read("orders").withColumn("first_order", F.min("o_orderdate").over(Window.partitionBy("o_custkey")))
     sales = read("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    grid = sales.groupBy("c_mktsegment", F.year("o_orderdate").alias("year")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.min("first_order").alias("first_order"))
-    return grid.withColumn("share", F.col("revenue") / F.sum("revenue").over(Window.partitionBy("year"))).orderBy("year", "c_mktsegment")
+    grid = sales.groupBy("c_mktsegment", F.year("o_orderdate").alias("year")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.to_date(F.min("first_order")).alias("first_order"))
+    shared = grid.withColumn("share", F.round(F.col("revenue") / F.sum("revenue").over(Window.partitionBy("year")), 6))
+    return shared.withColumn("revenue", F.round("revenue", 2)).orderBy("year", "c_mktsegment")
+
+
+QUERIES["flagship"] = flagship
+ORACLES["flagship"] = """
+SELECT c_mktsegment, year(o_orderdate) AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, CAST(min(f) AS DATE) AS first_order,
+       round(sum(l_extendedprice * (1 - l_discount)) / sum(sum(l_extendedprice * (1 - l_discount))) OVER (PARTITION BY year(o_orderdate)), 6) AS share
+FROM lineitem JOIN (SELECT *, min(o_orderdate) OVER (PARTITION BY o_custkey) AS f FROM orders) ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+GROUP BY 1, 2
+"""
