@@ -33,7 +33,7 @@ query("prj_19_combined_group", "SELECT o_orderkey, year(o_orderdate) || ' | ' ||
 query("prj_20_bin", "SELECT p_partkey, CAST(floor(p_retailprice / 250) * 250 AS DOUBLE) AS bin FROM part")(lambda t: t.part.transform(columns.bin_column("bin", "p_retailprice", 250)).select("p_partkey", C("bin").cast("double").alias("bin")))
 query("prj_21_derive", "SELECT o_orderkey, CAST(quarter(o_orderdate) AS BIGINT) AS qr, CAST(date_trunc('month', o_orderdate) AS DATE) AS tmn FROM orders")(lambda t: t.orders.transform(columns.derive("qr", "o_orderdate", "qr")).transform(columns.derive("tmn", "o_orderdate", "tmn")).select("o_orderkey", C("qr").cast("long").alias("qr"), "tmn"))
 scalar("prj_22_format", "lineitem", "l_orderkey", lambda: columns.formatted(C("l_quantity"), "0.0%"), "format('{:.1f}%', l_quantity * 100)")
-scalar("prj_23_magnitude", "orders", "o_orderkey", lambda: columns.magnitude(F.floor(C("o_totalprice")) * 1000.0, 0), "CASE WHEN floor(o_totalprice) >= 1000000 THEN format('{:.0f}B', floor(o_totalprice) * 1000 / 1e9) WHEN floor(o_totalprice) * 1000 >= 1e6 THEN format('{:.0f}M', floor(o_totalprice) / 1e3) ELSE format('{:.0f}K', floor(o_totalprice)) END")
+scalar("prj_23_magnitude", "orders", "o_orderkey", lambda: columns.magnitude(F.floor(C("o_totalprice")) * 1000.0, 3), "CASE WHEN floor(o_totalprice) >= 1000000 THEN format('{:.3f}B', floor(o_totalprice) / 1e6) WHEN floor(o_totalprice) >= 1000 THEN format('{:.3f}M', floor(o_totalprice) / 1e3) ELSE format('{:.3f}K', floor(o_totalprice)) END")
 query("prj_25_coerce", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_custkey AS BIGINT) AS k FROM orders")(lambda t: t.orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), C("o_custkey").cast("string").alias("k")).transform(columns.coerce({"d": "date", "k": "bigint"})))
 
 
