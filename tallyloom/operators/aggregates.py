@@ -30,8 +30,9 @@ def percentile(x: Column | str, p: float, approximate: bool = False) -> Column:
 
 def corr(x: Column | str, y: Column | str) -> Column:
     """Pearson's, 0 where it is not defined."""
-    r = F.corr(x, y)
-    return F.when(F.coalesce(F.isnan(r), F.lit(True)), 0.0).otherwise(r)
+    both = _c(x).isNotNull() & _c(y).isNotNull()
+    spread = F.stddev_pop(F.when(both, _c(x))) * F.stddev_pop(F.when(both, _c(y)))
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(0.0))
 
 
 def collect_points(lat: Column | str, lon: Column | str) -> Column:

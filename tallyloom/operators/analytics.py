@@ -79,8 +79,9 @@ def holt_winters(df: DataFrame, period: str, value: str, ahead: int, group: str,
         y = series[value].astype(float).tolist()
         m = season if len(y) >= 2 * season else 1
         trend_ = (sum(y[m : 2 * m]) - sum(y[:m])) / m / m if len(y) >= 2 * m else 0.0
-        level_ = sum(y[:m]) / m
-        seasonal = [v - level_ for v in y[:m]] if m > 1 else [0.0]
+        middle = sum(y[:m]) / m
+        seasonal = [v - middle - trend_ * (i - (m - 1) / 2) for i, v in enumerate(y[:m])] if m > 1 else [0.0]
+        level_ = middle - trend_ * (m + 1) / 2
         for i, v in enumerate(y):
             before = level_
             level_ = alpha * (v - seasonal[i % m]) + (1 - alpha) * (level_ + trend_)

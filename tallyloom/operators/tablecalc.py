@@ -43,13 +43,18 @@ def spec(compute_using: list[str] = (), order_by: list[str] | None = None, parti
 #: Window aggregates by name.
 WINDOW = {
     "sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "count": F.count, "median": lambda x: F.percentile(x, 0.5), "stdev": F.stddev_samp,
-    "stdevp": F.stddev_pop, "var": F.var_samp, "varp": F.var_pop, "corr": F.corr, "covar": F.covar_samp, "covarp": F.covar_pop,
+    "stdevp": F.stddev_pop, "var": F.var_samp, "varp": F.var_pop, "covar": F.covar_samp, "covarp": F.covar_pop,
 }
 
 
 def window(name: str, s: Spec, *x: Column | str, first: int | None = None, last: int | None = None) -> Column:
     """An aggregate over the pane, or over rows `first` to `last` if either is given."""
     frame = s.pane() if first is None and last is None else s.rows(first, last)
+    if name == "corr":  # null where it is not defined, which F.corr takes for an error
+        a, b = map(_c, x)
+        both = a.isNotNull() & b.isNotNull()
+        spread = F.stddev_pop(F.when(both, a)).over(frame) * F.stddev_pop(F.when(both, b)).over(frame)
+        return F.try_divide(F.covar_pop(a, b).over(frame), spread)
     return WINDOW[name](*[_c(v) for v in x]).over(frame)
 
 

@@ -12,36 +12,47 @@ from tallyloom.operators import timeintel as ti
 from .registry import query, r
 
 C = F.col
-ONE = F.count(F.lit(1))
+
+
+def one():
+    """Row count."""
+    return F.count(F.lit(1))
+
+
 SALES = "(SELECT o_orderpriority AS p, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, round(sum(o_totalprice), 2) AS v, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1, 2)"
 DENSE = f"(SELECT c.p, c.period, s.v, s.n FROM (SELECT p, CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH)) AS DATE) AS period FROM {SALES} GROUP BY p) c LEFT JOIN {SALES} s ON c.p = s.p AND c.period = s.period)"
 
 
 def grid(t, measure=None, name="n"):
-    return ti.dense(t.orders.withColumn("p", C("o_orderpriority")), "o_orderdate", ["p"], ONE if measure is None else measure, "month", name)
+    return ti.dense(t.orders.withColumn("p", C("o_orderpriority")), "o_orderdate", ["p"], one() if measure is None else measure, "month", name)
 
 
-query("cal_01_calendar", "SELECT CAST(d AS DATE) AS Date, year(d) AS Year, 'Q' || quarter(d) AS Quarter, month(d) AS Month, monthname(d) AS MonthName, day(d) AS Day, isodow(d) AS DayOfWeek, dayname(d) AS DayName, CAST(count(o_orderkey) AS BIGINT) AS orders FROM (SELECT unnest(generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '2002-12-31', INTERVAL 1 DAY)) AS d) LEFT JOIN orders ON CAST(o_orderdate AS DATE) = CAST(d AS DATE) GROUP BY d")(lambda t: ti.calendar(t.spark, 1992, 2002).join(t.orders.groupBy(F.to_date("o_orderdate").alias("Date")).agg(ONE.alias("orders")), "Date", "left").fillna({"orders": 0}))
+query("cal_01_calendar", "SELECT CAST(d AS DATE) AS Date, year(d) AS Year, 'Q' || quarter(d) AS Quarter, month(d) AS Month, monthname(d) AS MonthName, day(d) AS Day, isodow(d) AS DayOfWeek, dayname(d) AS DayName, CAST(count(o_orderkey) AS BIGINT) AS orders FROM (SELECT unnest(generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '2002-12-31', INTERVAL 1 DAY)) AS d) LEFT JOIN orders ON CAST(o_orderdate AS DATE) = CAST(d AS DATE) GROUP BY d")(lambda t: ti.calendar(t.spark, 1992, 2002).join(t.orders.groupBy(F.to_date("o_orderdate").alias("Date")).agg(one().alias("orders")), "Date", "left").fillna({"orders": 0}))
 query("cal_02_attach", "SELECT o_orderkey, dayname(o_orderdate) AS DayName, 'Q' || quarter(o_orderdate) AS Quarter FROM orders")(lambda t: ti.attach(t.orders, ti.calendar(t.spark, 1990, 2005), "o_orderdate").select("o_orderkey", "DayName", "Quarter"))
 query("cal_04_ytd", f"SELECT p, period, n, CAST(sum(n) OVER (PARTITION BY p, year(period) ORDER BY period) AS BIGINT) AS ytd FROM {DENSE}")(lambda t: ti.to_date_total(grid(t), ["p"], "year", "n"))
 query("cal_05_prior_year", f"SELECT a.p, a.period, a.n, b.n AS prior FROM {DENSE} a LEFT JOIN {DENSE} b ON a.p = b.p AND b.period = CAST(a.period - INTERVAL 1 YEAR AS DATE)")(lambda t: ti.shifted(grid(t), ["p"], 12, "n"))
 query("cal_06_yoy", f"SELECT a.p, a.period, a.n, b.n AS n_py, round((a.n - b.n) / b.n, 6) AS n_yoy FROM {DENSE} a LEFT JOIN {DENSE} b ON a.p = b.p AND b.period = CAST(a.period - INTERVAL 1 YEAR AS DATE)")(lambda t: ti.year_over_year(grid(t), ["p"], "n").withColumn("n_yoy", F.round("n_yoy", 6)))
-query("cal_07_batch", f"SELECT a.p, a.period, a.n, CAST(sum(a.n) OVER (PARTITION BY a.p, year(a.period) ORDER BY a.period) AS BIGINT) AS n_ytd, b.n AS n_py, a.v, b.v AS v_py FROM {DENSE} a LEFT JOIN {DENSE} b ON a.p = b.p AND b.period = CAST(a.period - INTERVAL 1 YEAR AS DATE)")(lambda t: ti.standard_set(t.orders.withColumn("p", C("o_orderpriority")), "o_orderdate", ["p"], {"n": ONE, "v": F.round(F.sum("o_totalprice"), 2)}).select("p", "period", "n", "n_ytd", "n_py", "v", "v_py"))
+query("cal_07_batch", f"SELECT a.p, a.period, a.n, CAST(sum(a.n) OVER (PARTITION BY a.p, year(a.period) ORDER BY a.period) AS BIGINT) AS n_ytd, b.n AS n_py, a.v, b.v AS v_py FROM {DENSE} a LEFT JOIN {DENSE} b ON a.p = b.p AND b.period = CAST(a.period - INTERVAL 1 YEAR AS DATE)")(lambda t: ti.standard_set(t.orders.withColumn("p", C("o_orderpriority")), "o_orderdate", ["p"], {"n": one(), "v": F.round(F.sum("o_totalprice"), 2)}).select("p", "period", "n", "n_ytd", "n_py", "v", "v_py"))
 query("cal_08_qtd", f"SELECT p, period, n, CAST(sum(n) OVER (PARTITION BY p, date_trunc('quarter', period) ORDER BY period) AS BIGINT) AS qtd FROM {DENSE}")(lambda t: ti.to_date_total(grid(t), ["p"], "quarter", "n", "qtd"))
 query("cal_09_balances", "SELECT o_orderpriority AS p, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, arg_min(o_totalprice, (CAST(o_orderdate AS DATE), -o_totalprice)) AS opening, arg_max(o_totalprice, (CAST(o_orderdate AS DATE), o_totalprice)) AS closing FROM orders GROUP BY 1, 2")(lambda t: ti.balances(t.orders.withColumn("p", C("o_orderpriority")), "o_orderdate", ["p"], "o_totalprice"))
-query("cal_10_cadence", "SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS period, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")(lambda t: t.orders.groupBy(ti.cadence("week", C("o_orderdate")).alias("period")).agg(ONE.alias("n")))
+query("cal_10_cadence", "SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS period, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")(lambda t: t.orders.groupBy(ti.cadence("week", C("o_orderdate")).alias("period")).agg(one().alias("n")))
 
 
 def K(key, measure, sql, digits=6):
     query(key, f"SELECT l_returnflag, round({sql}, {digits}) AS v FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy("l_returnflag").agg(r(measure(), digits).alias("v")))
 
 
-COST = C("l_extendedprice") * C("l_discount")
+
+
+def COST():
+    return C("l_extendedprice") * C("l_discount")
+
+
 K("kpi_01_per_row", lambda: kpi.per_row("l_quantity"), "sum(l_quantity) / count(*)")
 K("kpi_02_share", lambda: kpi.share(C("l_discount") > 0.05), "count(*) FILTER (WHERE l_discount > 0.05) / count(*)")
 K("kpi_03_ratio", lambda: kpi.ratio_of_sums("l_tax", "l_quantity"), "sum(l_tax) / sum(l_quantity)", 8)
 K("kpi_04_mean", lambda: kpi.mean("l_tax"), "avg(l_tax)", 8)
-K("kpi_05_net", lambda: kpi.net(C("l_extendedprice"), COST), "sum(l_extendedprice) - sum(l_extendedprice * l_discount)", 2)
+K("kpi_05_net", lambda: kpi.net(C("l_extendedprice"), COST()), "sum(l_extendedprice) - sum(l_extendedprice * l_discount)", 2)
 K("kpi_06_variance", lambda: kpi.variance_percent(C("l_extendedprice"), C("l_quantity") * 1000), "(sum(l_extendedprice) - sum(l_quantity * 1000)) / sum(l_quantity * 1000)")
 query("kpi_07_revenue_ytd", f"SELECT p, period, round(sum(v) OVER (PARTITION BY p, year(period) ORDER BY period), 2) AS ytd FROM {DENSE}")(lambda t: ti.to_date_total(grid(t, F.round(F.sum("o_totalprice"), 2), "v"), ["p"], "year", "v").select("p", "period", r(C("ytd"), 2).alias("ytd")))
 query("kpi_08_days_outstanding", "SELECT y, round(a / b * 365, 6) AS days FROM (SELECT year(o_orderdate) AS y, sum(o_totalprice) AS a FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) FULL JOIN (SELECT year(l_shipdate) AS y, sum(l_extendedprice) AS b FROM lineitem GROUP BY 1) USING (y)")(lambda t: kpi.across(t.orders.filter("o_orderstatus = 'O'").withColumn("y", F.year("o_orderdate")), t.lineitem.withColumn("y", F.year("l_shipdate")), ["y"], F.sum("o_totalprice"), F.sum("l_extendedprice"), "days", 365.0).withColumn("days", F.round("days", 6)))
@@ -72,9 +83,14 @@ query("anl_07_trend", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_
 query("anl_08_power_trend", "SELECT l_returnflag, round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 6) AS slope FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 GROUP BY 1")(lambda t: analytics.trend(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"], "power").select("l_returnflag", F.round("slope", 6).alias("slope")))
 query("anl_09_parabola")(lambda t: analytics.parabola(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"]))
 query("anl_10_r2", "SELECT l_returnflag, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")(lambda t: analytics.trend(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", F.round("r2", 6).alias("r2")))
-MONTHS = F.year("o_orderdate") * 12 + F.month("o_orderdate")
-query("anl_11_forecast", "WITH s AS (SELECT o_orderpriority AS p, year(o_orderdate) * 12 + month(o_orderdate) AS x, CAST(count(*) AS DOUBLE) AS y FROM orders GROUP BY 1, 2), l AS (SELECT p, max(x) AS m FROM s GROUP BY 1), f AS (SELECT s.p, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, any_value(m) AS m FROM s JOIN l ON s.p = l.p WHERE x <= m - 1 GROUP BY 1) SELECT p, CAST(m - 1 + i AS INT) AS x, round(a + b * (m - 1 + i), 4) AS forecast FROM f, (SELECT unnest([1, 2, 3, 4]) AS i)")(lambda t: analytics.forecast(t.orders.groupBy(C("o_orderpriority").alias("p"), MONTHS.alias("x")).agg(ONE.cast("double").alias("y")), "x", "y", 3, ["p"], ignore_last=1).select("p", C("x").cast("int").alias("x"), F.round("forecast", 4).alias("forecast")))
-query("anl_11_holt_winters")(lambda t: analytics.holt_winters(t.orders.groupBy(C("o_orderpriority").alias("p"), MONTHS.alias("x")).agg(ONE.cast("double").alias("y")), "x", "y", 6, "p"))
+
+
+def MONTHS():
+    return F.year("o_orderdate") * 12 + F.month("o_orderdate")
+
+
+query("anl_11_forecast", "WITH s AS (SELECT o_orderpriority AS p, year(o_orderdate) * 12 + month(o_orderdate) AS x, CAST(count(*) AS DOUBLE) AS y FROM orders GROUP BY 1, 2), l AS (SELECT p, max(x) AS m FROM s GROUP BY 1), f AS (SELECT s.p, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, any_value(m) AS m FROM s JOIN l ON s.p = l.p WHERE x <= m - 1 GROUP BY 1) SELECT p, CAST(m - 1 + i AS INT) AS x, round(a + b * (m - 1 + i), 4) AS forecast FROM f, (SELECT unnest([1, 2, 3, 4]) AS i)")(lambda t: analytics.forecast(t.orders.groupBy(C("o_orderpriority").alias("p"), MONTHS().alias("x")).agg(one().cast("double").alias("y")), "x", "y", 3, ["p"], ignore_last=1).select("p", C("x").cast("int").alias("x"), F.round("forecast", 4).alias("forecast")))
+query("anl_11_holt_winters")(lambda t: analytics.holt_winters(t.orders.groupBy(C("o_orderpriority").alias("p"), MONTHS().alias("x")).agg(one().cast("double").alias("y")), "x", "y", 6, "p"))
 query("anl_12_clusters")(lambda t: analytics.clusters(t.part.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 4))
 query("anl_13_histogram", "SELECT CAST(floor(o_totalprice / 25000) * 25000 AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")(lambda t: analytics.histogram(t.orders, "o_totalprice", 25000).select(C("bin").cast("long").alias("bin"), "n"))
 
@@ -91,4 +107,4 @@ query("sec_05_combine", "SELECT c_custkey FROM customer WHERE c_acctbal > 9000 O
 query("sec_07_propagate", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))")(lambda t: security.propagate(t.orders, (security.propagate(t.customer, (t.nation.filter("n_regionkey = 1"), "c_nationkey", "n_nationkey")), "o_custkey", "c_custkey")).select("o_orderkey"))
 query("sec_08_classify", "SELECT 'contact' AS \"column\", 'email' AS kind, 'value' AS \"by\", 1.0 AS share UNION ALL SELECT 'host', 'ip', 'value', 1.0 UNION ALL SELECT 'c_name', 'name', 'name', NULL WHERE false")(lambda t: security.classify(t.customer.select(F.concat(F.lit("c"), C("c_custkey"), F.lit("@example.com")).alias("contact"), F.concat(F.lit("10.0.0."), C("c_nationkey")).alias("host"), C("c_mktsegment").alias("seg"))))
 query("sec_09_masked", "SELECT sha256(CAST(c_custkey AS VARCHAR)) AS c_custkey, regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'), '[0-9]', 'n', 'g') AS c_name, c_mktsegment FROM (SELECT c_custkey, upper(c_name) AS c_name, c_mktsegment FROM customer)")(lambda t: security.masked(t.customer.select("c_custkey", F.upper("c_name").alias("c_name"), "c_acctbal", "c_mktsegment"), {"c_custkey": "hash", "c_name": "mask", "c_acctbal": "drop", "c_mktsegment": "public"}))
-query("jon_19_secured_star", "SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) GROUP BY 1")(lambda t: joins.join(t.orders, security.allowed_values(t.customer, _mapping(t), "user0", "c_nationkey"), [("o_custkey", "c_custkey")], "inner").groupBy("c_mktsegment").agg(ONE.alias("n")))
+query("jon_19_secured_star", "SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) GROUP BY 1")(lambda t: joins.join(t.orders, security.allowed_values(t.customer, _mapping(t), "user0", "c_nationkey"), [("o_custkey", "c_custkey")], "inner").groupBy("c_mktsegment").agg(one().alias("n")))

@@ -17,7 +17,13 @@ from tallyloom.streaming import jobs
 from .registry import query, r
 
 C = F.col
-ONE = F.count(F.lit(1))
+
+
+def one():
+    """Row count."""
+    return F.count(F.lit(1))
+
+
 
 
 def folder() -> str:
@@ -123,7 +129,7 @@ def _run(t, df, mode="append"):
 
 
 query("stm_01_alerts", f"SELECT event_id, rule FROM {RULES}")(lambda t: _run(t, jobs.alerts(stream(t).select("event_id", "event_type", "value", "ts"), _rules(t), "event_type", "value").select("event_id", "rule")))
-query("stm_02_throttled", f"SELECT rule, CAST(count(DISTINCT date_trunc('day', ts)) AS BIGINT) AS n FROM {RULES} GROUP BY 1")(lambda t: _run(t, jobs.throttled(jobs.alerts(stream(t).select("event_id", "event_type", "value", "ts"), _rules(t), "event_type", "value"), "daily").select("rule", "alert_period")).groupBy("rule").agg(ONE.alias("n")))
+query("stm_02_throttled", f"SELECT rule, CAST(count(DISTINCT date_trunc('day', ts)) AS BIGINT) AS n FROM {RULES} GROUP BY 1")(lambda t: _run(t, jobs.throttled(jobs.alerts(stream(t).select("event_id", "event_type", "value", "ts"), _rules(t), "event_type", "value"), "daily").select("rule", "alert_period")).groupBy("rule").agg(one().alias("n")))
 query("stm_03_metric", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS h, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(lambda t: _run(t, jobs.metric(stream(t), "ts", "1 hour", ["event_type"], "value"), "complete").select(F.date_format("window_start", "yyyy-MM-dd HH").alias("h"), "event_type", "n", F.round("total", 4).alias("total")))
 query("stm_04_breaches", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS d, event_type, CAST(count(*) AS BIGINT) AS items, CAST(count(*) FILTER (WHERE value > 90) AS BIGINT) AS breaches FROM events GROUP BY 1, 2")(lambda t: _run(t, jobs.breaches(stream(t), "ts", "1 day", ["event_type"], "value", 90.0), "complete").select(F.date_format("window_start", "yyyy-MM-dd").alias("d"), "event_type", "items", "breaches"))
 
@@ -162,7 +168,7 @@ def _flow(t):
     flow = Flow(orders=t.orders, customer=t.customer)
     flow.step("open", "orders", filters.values("o_orderstatus", ["O"]), columns.keep("o_orderkey", "o_custkey", "o_totalprice"))
     flow.combine("named", "open", "customer", lambda a, b: joins.join(a, b, [("o_custkey", "c_custkey")], "inner", ["c_mktsegment"]))
-    flow.step("by_segment", "named", lambda df: df.groupBy("c_mktsegment").agg(ONE.alias("n"), r(F.sum("o_totalprice"), 2).alias("v")))
+    flow.step("by_segment", "named", lambda df: df.groupBy("c_mktsegment").agg(one().alias("n"), r(F.sum("o_totalprice"), 2).alias("v")))
     return flow.outputs()["by_segment"]
 
 
@@ -242,7 +248,7 @@ query("src_13_extract", "SELECT o_orderkey, o_totalprice FROM orders")(lambda t:
 query("src_14_inline", "SELECT n_nationkey, label FROM nation JOIN (VALUES (0, 'zero'), (1, 'one')) v(k, label) ON n_regionkey = k")(lambda t: t.nation.join(readers.inline(t.spark, [(0, "zero"), (1, "one")], {"k": "integer", "label": "string"}), C("n_regionkey") == C("k")).select("n_nationkey", "label"))
 query("src_15_guarded", "SELECT c_custkey, c_name, c_acctbal FROM customer")(lambda t: readers.guarded(t.spark, lambda: readers.extract(t.spark, f"{t.sf_dir}/no_such_table.parquet"), CUST).unionByName(_cust(t)))
 query("src_16_typed", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, try_cast(o_orderstatus AS BIGINT) AS o_orderstatus FROM orders")(lambda t: readers.typed(t.orders, {"o_orderkey": "integer", "o_custkey": "string", "o_orderstatus": "integer"}))
-query("src_17_published", "SELECT CAST(count(*) AS BIGINT) AS n FROM orders")(lambda t: (readers.publish(t.orders, "published_orders"), readers.catalog(t.spark, "published_orders").agg(ONE.alias("n")))[1])
+query("src_17_published", "SELECT CAST(count(*) AS BIGINT) AS n FROM orders")(lambda t: (readers.publish(t.orders, "published_orders"), readers.catalog(t.spark, "published_orders").agg(one().alias("n")))[1])
 
 
 def _table(t):
@@ -267,7 +273,7 @@ query("snk_03_csv", CUST_SQL)(_csv)
 
 def _outputs(t):
     base, upstream = shared(t), _cust(t).filter("c_acctbal > 0")
-    writers.save_outputs({"a": (upstream, "parquet", base + "/a"), "b": (upstream.groupBy().agg(ONE.alias("n")), "csv", base + "/b")}, [upstream])
+    writers.save_outputs({"a": (upstream, "parquet", base + "/a"), "b": (upstream.groupBy().agg(one().alias("n")), "csv", base + "/b")}, [upstream])
     return t.spark.read.parquet(base + "/a").crossJoin(readers.csv(t.spark, base + "/b", {"n": "integer"}))  # one row
 
 

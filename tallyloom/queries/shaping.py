@@ -38,21 +38,21 @@ query("prj_25_coerce", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(
 
 
 def X(key, step, sql, name="text"):
-    query(key, f"SELECT doc_id, {sql} AS {name} FROM documents")(lambda t: t.documents.transform(step).select("doc_id", name))
+    query(key, f"SELECT doc_id, {sql} AS {name} FROM documents")(lambda t: t.documents.transform(step()).select("doc_id", name))
 
 
-X("cln_01_replace", clean.replace_value("source", "src1", "first"), "CASE WHEN source = 'src1' THEN 'first' ELSE source END", "source")
+X("cln_01_replace", lambda: clean.replace_value("source", "src1", "first"), "CASE WHEN source = 'src1' THEN 'first' ELSE source END", "source")
 query("cln_02_replace_nulls", "SELECT d.doc_id, coalesce(toxic, -1) AS toxic FROM documents d LEFT JOIN labels USING (doc_id)")(lambda t: t.documents.join(t.labels, "doc_id", "left").transform(clean.replace_nulls({"toxic": -1})).select("doc_id", "toxic"))
-X("cln_03_trim", clean.trim("text"), "trim(text, ' ')")
-X("cln_04_clean", clean.clean("text"), r"regexp_replace(text, '[\x00-\x1F\x7F]', '', 'g')")
-X("cln_05_upper", clean.upper("lang"), "upper(lang)", "lang")
-X("cln_06_lower", clean.lower("source"), "lower(source)", "source")
-X("cln_07_proper", clean.proper("lang"), "upper(lang[1]) || lower(lang[2:])", "lang")
-X("cln_08_remove_kind", clean.remove_kind("numbers", "text"), r"regexp_replace(text, '\p{N}', '', 'g')")
+X("cln_03_trim", lambda: clean.trim("text"), "trim(text, ' ')")
+X("cln_04_clean", lambda: clean.clean("text"), r"regexp_replace(text, '[\x00-\x1F\x7F]', '', 'g')")
+X("cln_05_upper", lambda: clean.upper("lang"), "upper(lang)", "lang")
+X("cln_06_lower", lambda: clean.lower("source"), "lower(source)", "source")
+X("cln_07_proper", lambda: clean.proper("lang"), "upper(lang[1]) || lower(lang[2:])", "lang")
+X("cln_08_remove_kind", lambda: clean.remove_kind("numbers", "text"), r"regexp_replace(text, '\p{N}', '', 'g')")
 query("cln_09_fill_down", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM conversations")(lambda t: t.conversations.withColumn("asked", F.when(C("role") == "user", C("text"))).transform(clean.fill_down(["asked"], ["turn"], ["conv_id"])).select("conv_id", "turn", "asked"))
 query("cln_10_fill_up", "SELECT conv_id, turn, first_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS answer FROM conversations")(lambda t: t.conversations.withColumn("answer", F.when(C("role") == "assistant", C("text"))).transform(clean.fill_up(["answer"], ["turn"], ["conv_id"])).select("conv_id", "turn", "answer"))
-X("cln_11_group_replace", clean.group_replace("lang", {"roman": ["fr", "es"], "german": ["de", "en"]}), "CASE WHEN lang IN ('fr', 'es') THEN 'roman' WHEN lang IN ('de', 'en') THEN 'german' ELSE lang END", "lang")
-X("cln_12_extract", clean.extract_values("text", "[a-z0-9.]+@[a-z0-9.]+", "mail"), "nullif(regexp_extract(text, '[a-z0-9.]+@[a-z0-9.]+'), '')", "mail")
+X("cln_11_group_replace", lambda: clean.group_replace("lang", {"roman": ["fr", "es"], "german": ["de", "en"]}), "CASE WHEN lang IN ('fr', 'es') THEN 'roman' WHEN lang IN ('de', 'en') THEN 'german' ELSE lang END", "lang")
+X("cln_12_extract", lambda: clean.extract_values("text", "[a-z0-9.]+@[a-z0-9.]+", "mail"), "nullif(regexp_extract(text, '[a-z0-9.]+@[a-z0-9.]+'), '')", "mail")
 scalar("cln_13_delimiters", "pages", "page_id", lambda: F.concat_ws(";", clean.text_before(C("url"), "://"), clean.text_between(C("url"), "://", "/")), "string_split(url, '://')[1] || ';' || string_split(substr(url, instr(url, '://') + 3), '/')[1]")
 scalar("cln_14_pad", "customer", "c_custkey", lambda: F.concat(clean.pad_start(C("c_custkey").cast("string"), 8, "0"), clean.pad_end(C("c_mktsegment"), 12, ".")), "lpad(CAST(c_custkey AS VARCHAR), 8, '0') || rpad(c_mktsegment, 12, '.')")
 query("cln_15_remove_errors", "SELECT event_id, try_cast(event_type[1] || '1' AS BIGINT) AS n FROM events WHERE try_cast(event_type[1] || '1' AS BIGINT) IS NOT NULL UNION ALL SELECT event_id, CAST(user_id AS BIGINT) FROM events WHERE user_id % 2 = 0")(lambda t: t.events.select("event_id", F.when(C("user_id") % 2 == 0, C("user_id").cast("string")).otherwise("x").alias("n")).transform(clean.remove_errors({"n": "bigint"})))
@@ -67,23 +67,23 @@ query("cln_23_blank_rows", "SELECT toxic, quality FROM documents LEFT JOIN label
 
 
 def L(key, step, where):
-    query(key, f"SELECT o_orderkey, o_totalprice FROM orders WHERE {where}")(lambda t: t.orders.transform(step).select("o_orderkey", "o_totalprice"))
+    query(key, f"SELECT o_orderkey, o_totalprice FROM orders WHERE {where}")(lambda t: t.orders.transform(step()).select("o_orderkey", "o_totalprice"))
 
 
-L("flt_01_keep", filters.keep_rows(C("o_totalprice") > 200000), "o_totalprice > 200000")
-L("flt_02_remove", filters.remove_rows(F.nullif(C("o_orderstatus"), F.lit("P")) == "O"), "coalesce(NOT nullif(o_orderstatus, 'P') = 'O', true)")
-L("flt_03_values", filters.values("o_orderstatus", ["O", "P"]), "o_orderstatus IN ('O', 'P')")
-L("flt_04_exclude", filters.exclude("o_orderstatus", ["O"]), "o_orderstatus <> 'O' OR o_orderstatus IS NULL")
-L("flt_05_range", filters.in_range("o_totalprice", 1000, 50000), "o_totalprice BETWEEN 1000 AND 50000")
+L("flt_01_keep", lambda: filters.keep_rows(C("o_totalprice") > 200000), "o_totalprice > 200000")
+L("flt_02_remove", lambda: filters.remove_rows(F.nullif(C("o_orderstatus"), F.lit("P")) == "O"), "coalesce(NOT nullif(o_orderstatus, 'P') = 'O', true)")
+L("flt_03_values", lambda: filters.values("o_orderstatus", ["O", "P"]), "o_orderstatus IN ('O', 'P')")
+L("flt_04_exclude", lambda: filters.exclude("o_orderstatus", ["O"]), "o_orderstatus <> 'O' OR o_orderstatus IS NULL")
+L("flt_05_range", lambda: filters.in_range("o_totalprice", 1000, 50000), "o_totalprice BETWEEN 1000 AND 50000")
 query("flt_06_nulls", "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS NULL")(lambda t: t.documents.join(t.labels, "doc_id", "left").transform(filters.nulls("toxic")).select("doc_id"))
-L("flt_07_contains", filters.wildcard("o_orderpriority", "URG"), "contains(o_orderpriority, 'URG')")
-L("flt_08_wildcard", filters.wildcard("o_orderpriority", "1-", "starts"), "starts_with(o_orderpriority, '1-')")
-L("flt_09_relative_dates", filters.relative_dates("o_orderdate", "month", datetime.date(1996, 6, 15), last=3, include_anchor=False), "CAST(o_orderdate AS DATE) >= date '1996-03-01' AND CAST(o_orderdate AS DATE) < date '1996-06-01'")
-L("flt_10_top_members", filters.top_members("o_custkey", F.round(F.sum("o_totalprice"), 2), 10), "o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY round(sum(o_totalprice), 2) DESC, o_custkey LIMIT 10)")
-L("flt_11_context", filters.context(filters.values("o_orderstatus", ["F"]), filters.top_members("o_custkey", F.count(F.lit(1)), 5)), "o_orderstatus = 'F' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 5)")
-L("flt_12_dataset", filters.dataset({"o_orderstatus": ["O", "F"]}, {"o_orderpriority": ["5-LOW"]}, {"o_totalprice": (None, 100000)}), "o_orderstatus IN ('O', 'F') AND o_orderpriority <> '5-LOW' AND o_totalprice <= 100000")
-L("flt_13_date_part", filters.date_part("o_orderdate", "year", [1995, 1997]), "year(o_orderdate) IN (1995, 1997)")
-L("flt_14_group", filters.any_of(C("o_orderstatus") == "P", C("o_totalprice").between(1, 5000)), "o_orderstatus = 'P' OR o_totalprice BETWEEN 1 AND 5000")
+L("flt_07_contains", lambda: filters.wildcard("o_orderpriority", "URG"), "contains(o_orderpriority, 'URG')")
+L("flt_08_wildcard", lambda: filters.wildcard("o_orderpriority", "1-", "starts"), "starts_with(o_orderpriority, '1-')")
+L("flt_09_relative_dates", lambda: filters.relative_dates("o_orderdate", "month", datetime.date(1996, 6, 15), last=3, include_anchor=False), "CAST(o_orderdate AS DATE) >= date '1996-03-01' AND CAST(o_orderdate AS DATE) < date '1996-06-01'")
+L("flt_10_top_members", lambda: filters.top_members("o_custkey", F.round(F.sum("o_totalprice"), 2), 10), "o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY round(sum(o_totalprice), 2) DESC, o_custkey LIMIT 10)")
+L("flt_11_context", lambda: filters.context(filters.values("o_orderstatus", ["F"]), filters.top_members("o_custkey", F.count(F.lit(1)), 5)), "o_orderstatus = 'F' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 5)")
+L("flt_12_dataset", lambda: filters.dataset({"o_orderstatus": ["O", "F"]}, {"o_orderpriority": ["5-LOW"]}, {"o_totalprice": (None, 100000)}), "o_orderstatus IN ('O', 'F') AND o_orderpriority <> '5-LOW' AND o_totalprice <= 100000")
+L("flt_13_date_part", lambda: filters.date_part("o_orderdate", "year", [1995, 1997]), "year(o_orderdate) IN (1995, 1997)")
+L("flt_14_group", lambda: filters.any_of(C("o_orderstatus") == "P", C("o_totalprice").between(1, 5000)), "o_orderstatus = 'P' OR o_totalprice BETWEEN 1 AND 5000")
 
 query("srt_01_sort", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")(lambda t: t.orders.transform(sorting.sort("o_orderstatus", "-o_totalprice")).select("o_orderkey", "o_orderstatus", "o_totalprice"))
 query("srt_02_by_measure", "SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS sort_key FROM orders GROUP BY 1")(lambda t: t.orders.transform(sorting.sort_by_measure("o_orderpriority", F.count(F.lit(1)))))

@@ -19,7 +19,10 @@ def alerts(readings: DataFrame, rules: DataFrame, key: str, value: str) -> DataF
 
 
 def throttled(raised: DataFrame, how: str, time: str = "ts") -> DataFrame:
-    """At most one alert of a rule in each hour or day; in a stream, the state is dropped once the watermark has passed."""
+    """At most one alert of a rule in each hour or day, or a single one; in a stream, the state of an hour or day is
+    dropped once the watermark has passed, and that of "once" is a row a rule."""
+    if how == "once":
+        return raised.dropDuplicates(["rule"])
     part, delay = THROTTLE[how]
     cut = raised.withColumn("alert_period", F.date_trunc(part, F.col(time)))
     if not raised.isStreaming:
