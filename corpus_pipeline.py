@@ -38,10 +38,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "source", "size", "source_size", "target", "taken"))
-    mixed = mixing.repeated(mixing.mix(docs, keep=keep).filter("taken > 0"))
-    counted = mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else mixed
-    return counted.select(docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", "source", "text", F.struct(*rest).alias("row_"))
+    mixed = mixing.repeated(mixing.mix(rows, keep=("text", "row_")).filter("taken > 0"))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in rest else None}
+    return mixed.select(*[new.get(c, F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     of other names are dropped unless listed in `keep`.
     """
     extra = [c for c in keep if c not in (key, source)]
-    base = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0))).cast("long").alias("size"), (F.coalesce(importance, F.lit(0.0)) if importance is not None else F.lit(1.0)).cast("double").alias("weight_"), *extra)
+    base = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(F.regexp_extract_all(text_of(text), F.lit(WORD), F.lit(0))).cast("long").alias("size"), (F.coalesce(importance, F.lit(0.0)) if importance is not None else F.lit(1.0)).cast("double").alias("weight_"), F.struct(*extra, F.lit(0).alias("\0")).alias("kept_"))  # extra columns travel as one, whatever their names
     sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("weight_") * F.col("size")).alias("weighted"), F.count("*").alias("rows_"))
     targets = source_targets(sums.select("source", "source_size"), weights, share, most)
     numbered = Window.orderBy(F.col("t.source").asc_nulls_last())
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     within = Window.partitionBy("source_no", "cell").orderBy("rank_", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rest = F.round(F.col("target")).cast("long") - F.col("sure") - F.col("before") - (F.sum("more").over(within) - F.col("more"))
     taken = F.col("copies") * F.col("size") + F.least(F.col("more"), F.greatest(F.lit(0).cast("long"), rest))
-    return rows.withColumn("taken", taken.cast("long")).select("doc_id", "source", "size", "source_size", "target", "taken", *extra)
+    return rows.withColumn("taken", taken.cast("long")).select("doc_id", "source", "size", "source_size", "target", "taken", *[F.col(f"kept_.`{c}`") for c in extra])
 
 
 def repeated(mixed: DataFrame, text: str = "text") -> DataFrame:

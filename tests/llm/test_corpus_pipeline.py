@@ -32,10 +32,12 @@ def test_every_stage_takes_effect(spark, data):
 
 
 def test_stages_take_odd_rows(spark, data):
-    rows = [(None, None, None, None, None, 1), (1, "", "en", "a", 0, 1), (1, "", "en", "a", 0, 1), (2, "x y z", "en", None, 5, 2), (3, "w " * 4000, "en", "a", 8000, 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int")
+    rows = [(None, None, None, None, None, 1, 1), (1, "", "en", "a", 0, 1, 1), (1, "", "en", "a", 0, 1, 1), (2, "x y z", "en", None, 5, 2, 2), (3, "w " * 4000, "en", "a", 8000, 3, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int, p int")
     for table in (docs, docs.limit(0)):
         at = table
         for _, stage in corpus_pipeline.STAGES:
             at = stage(spark, at, data)
+            if "size" in at.columns:
+                assert {(r.size, r.p) for r in at.filter("doc_id > 1").collect()} <= {(2, 2), (3, 3)}
         assert at.count() >= 0 and (table is docs) == (at.count() > 0)
