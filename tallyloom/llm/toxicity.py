@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_of
+from .common import small_batches, stash, table, text_of
 
 #: At most this many labelled rows are used to fit the lexicon and the model.
 TRAIN_ROWS = 12_000
@@ -196,17 +196,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
     """Fit on at most `rows` labelled rows that are not held out, the same ones each time (smallest by hash).
 
     The lexicon is counted on the executors: words and stems by the number of different texts of either class
-    that hold them. The model is fitted on the driver over the sample's features. Without both classes there
-    is no model, and all scores are 0.
+    that hold them. The executors make the sample's features, too; only those numbers and the lexicon reach the
+    driver, which fits the weights. Without both classes there is no model, and all scores are 0.
     """
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).cast("long").alias("id_")).agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("id_"), "id_").limit(rows)
-    # The broadcast side has `rows` rows at most.
-    sample = docs.select(F.col(key).cast("long").alias("id_"), text_of(text).alias("text")).join(F.broadcast(chosen), "id_").dropDuplicates(["text"]).select("text", "y").orderBy(F.xxhash64("text")).toPandas()
-    n1, n0 = int((sample.y == 1).sum()), int((sample.y == 0).sum())
+    # The broadcast side has `rows` rows at most; equal texts count once.
+    labelled = docs.select(F.col(key).cast("long").alias("id_"), text_of(text).alias("text")).join(F.broadcast(chosen), "id_")
+    texts = stash(labelled.groupBy("text").agg(F.max("y").alias("y")))
+    n1, n0 = texts.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     if not n1 or not n0:
         return Model(None)
-    spark = docs.sparkSession
-    texts = spark.createDataFrame(sample).repartition(spark.sparkContext.defaultParallelism, "text")
     strip = re.escape(_PUNCT)
     words = F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, f"^[{strip}]+|[{strip}]+$", "")))
     stems = F.array_distinct(F.flatten(F.transform(words, lambda w: F.filter(F.array(*[F.when(F.length(w) >= n, F.concat(F.left(w, F.lit(n)), F.lit("*"))) for n in STEMS]), lambda s: s.isNotNull()))))
@@ -219,8 +218,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
         if not any(stem[:n] in best_stems for n in range(4, len(stem))):
             best_stems[stem] = found[stem + "*"]
     lexicon = FuzzyLexicon({t: o for t, o in found.items() if not t.endswith("*")}, best_stems)
-    x = np.array([features(lexicon, t) for t in sample.text]).reshape(-1, FEATURES)
-    return Model(lexicon, *fit(x, sample.y.to_numpy(float)))
+    entries = (lexicon.words, lexicon.stems)
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = FuzzyLexicon(*entries)
+        for b in batches:
+            x = np.array([features(own, t) for t in b.text]).reshape(-1, FEATURES)
+            yield pd.DataFrame(np.column_stack([x, b.y.to_numpy(float)]), columns=names)
+
+    names = [*(f"x{i}" for i in range(FEATURES)), "y"]
+    # Numbers only, for `rows` rows at most.
+    table_ = np.array(texts.mapInPandas(seen, ", ".join(f"{n} double" for n in names)).collect(), dtype=float).reshape(-1, FEATURES + 1)
+    table_ = table_[np.lexsort(table_.T)]
+    return Model(lexicon, *fit(table_[:, :-1], table_[:, -1]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
