@@ -23,7 +23,7 @@ STEMS = (4, 5, 6, 7)
 REPORTING = frozenset("said says quote quoted quotes called wrote writes word words term dit disait mot sagte schrieb wort dijo palabra".split())
 ADDRESSING = frozenset("you your you're u are is he she they du dich bist ihr sie ist vous tu es toi usted eres ustedes".split())
 AROUND = 5
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 _PUNCT = "\"'`.,;:!?()[]{}<>«»“”„‚‘’…*_-+=/\\|~#"
 _QUOTES = re.compile("[\"“”„«»]")
 
