@@ -60,7 +60,7 @@ K("kpi_09_per_distinct", lambda: kpi.per_distinct("l_quantity", "l_orderkey"), "
 query("kpi_10_turnover", "SELECT k, round(a / b, 6) AS turnover FROM (SELECT l_partkey AS k, sum(l_quantity) AS a FROM lineitem GROUP BY 1) FULL JOIN (SELECT p_partkey AS k, sum(p_size) AS b FROM part GROUP BY 1) USING (k)")(lambda t: kpi.across(t.lineitem.withColumn("k", C("l_partkey")), t.part.withColumn("k", C("p_partkey")), ["k"], F.sum("l_quantity"), F.sum("p_size"), "turnover").withColumn("turnover", F.round("turnover", 6)))
 query("kpi_11_same_store", "SELECT CAST(count(*) AS BIGINT) AS stores, round(sum(a), 2) AS now, round(sum(b), 2) AS before, round((sum(a) - sum(b)) / sum(b), 6) AS growth FROM (SELECT o_custkey, sum(o_totalprice) FILTER (WHERE year(o_orderdate) = 1997) AS a, sum(o_totalprice) FILTER (WHERE year(o_orderdate) = 1996) AS b FROM orders GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL")(lambda t: kpi.same_store_growth(t.orders.withColumn("y", F.year("o_orderdate")), "o_custkey", "y", "o_totalprice", 1997, 1996).select("stores", F.round("now", 2).alias("now"), F.round("before", 2).alias("before"), F.round("growth", 6).alias("growth")))
 query("kpi_12_lifetime", "SELECT o_orderstatus, round(avg(s), 2) AS lifetime_value, CAST(count(*) AS BIGINT) AS entities FROM (SELECT o_orderstatus, o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY 1, 2) GROUP BY 1")(lambda t: kpi.lifetime_value(t.orders, "o_custkey", "o_totalprice", ["o_orderstatus"]).withColumn("lifetime_value", F.round("lifetime_value", 2)))
-query("kpi_13_scorecard", "SELECT 'orders' AS metric, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(count(*) AS DOUBLE) AS value, 18.0 AS target, CASE WHEN count(*) >= 18 THEN 'on target' WHEN count(*) >= 16.2 THEN 'at risk' ELSE 'behind' END AS status FROM orders GROUP BY 2 UNION ALL SELECT 'largest', CAST(date_trunc('year', o_orderdate) AS DATE), max(o_totalprice), 400000.0, CASE WHEN max(o_totalprice) >= 400000 THEN 'on target' WHEN max(o_totalprice) >= 360000 THEN 'at risk' ELSE 'behind' END FROM orders WHERE o_orderstatus = 'F' GROUP BY 2")(lambda t: kpi.scorecard(t.orders, "o_orderdate", [{"name": "orders", "value": "o_orderkey", "aggregation": "rows", "grain": "month", "target": 18}, {"name": "largest", "value": "o_totalprice", "aggregation": "max", "grain": "year", "target": 400000, "filter": C("o_orderstatus") == "F"}]))
+query("kpi_13_scorecard", "SELECT 'orders' AS metric, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(count(*) AS DOUBLE) AS value, 18.0::DOUBLE AS target, CASE WHEN count(*) >= 18 THEN 'on target' WHEN count(*) >= 16.2 THEN 'at risk' ELSE 'behind' END AS status FROM orders GROUP BY 2 UNION ALL SELECT 'largest', CAST(date_trunc('year', o_orderdate) AS DATE), max(o_totalprice), 400000.0::DOUBLE, CASE WHEN max(o_totalprice) >= 400000 THEN 'on target' WHEN max(o_totalprice) >= 360000 THEN 'at risk' ELSE 'behind' END FROM orders WHERE o_orderstatus = 'F' GROUP BY 2")(lambda t: kpi.scorecard(t.orders, "o_orderdate", [{"name": "orders", "value": "o_orderkey", "aggregation": "rows", "grain": "month", "target": 18}, {"name": "largest", "value": "o_totalprice", "aggregation": "max", "grain": "year", "target": 400000, "filter": C("o_orderstatus") == "F"}]))
 query("kpi_14_sla", "SELECT event_type, CAST(count(*) AS BIGINT) AS items, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS met, round(avg(CAST(ok AS INT)), 6) AS rate FROM (SELECT event_type, value <= 80 AND value >= 10 AND user_id % 10 <> 0 AS ok FROM events) GROUP BY 1")(lambda t: kpi.sla_rate(kpi.sla(t.events.withColumn("fine", C("user_id") % 10 != 0), ("value", 80.0), ("value", 10.0), "fine"), ["event_type"]).withColumn("rate", F.round("rate", 6)))
 query("kpi_15_run_log", "SELECT event_type, CAST(count(DISTINCT user_id) AS BIGINT) AS sessions, round(sum(value), 4) AS total_duration, round(avg(value), 6) AS avg_duration, CAST(count(*) FILTER (WHERE value < 1) AS BIGINT) AS errors FROM events GROUP BY 1")(lambda t: kpi.run_log(t.events, "user_id", "value", C("value") < 1, ["event_type"]).withColumns({"total_duration": F.round("total_duration", 4), "avg_duration": F.round("avg_duration", 6)}))
 query("kpi_16_bottlenecks", "SELECT o_orderpriority, o_orderstatus, CAST(count(*) AS BIGINT) AS issues, array_to_string(list_sort(list_distinct(list(o_orderkey)))[1:3], ',') AS samples FROM orders GROUP BY 1, 2")(lambda t: kpi.bottlenecks(t.orders, ["o_orderpriority", "o_orderstatus"], "o_orderkey").withColumn("samples", F.array_join("samples", ",")))
@@ -105,6 +105,6 @@ query("sec_03_by_dimension", "SELECT o_orderkey FROM orders WHERE o_custkey IN (
 query("sec_04_member", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0")(lambda t: security.member_of(t.customer, t.nation.select(C("n_name").alias("user"), F.lit("admins").alias("group")), "nobody", "admins", C("c_acctbal") < 0).select("c_custkey", "c_acctbal"))
 query("sec_05_combine", "SELECT c_custkey FROM customer WHERE c_acctbal > 9000 OR c_nationkey = 3")(lambda t: t.customer.filter(security.combine({"rich": "c_acctbal > 9000", "rich2": "c_acctbal  >  9000", "three": "c_nationkey = 3"})).select("c_custkey"))
 query("sec_07_propagate", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))")(lambda t: security.propagate(t.orders, (security.propagate(t.customer, (t.nation.filter("n_regionkey = 1"), "c_nationkey", "n_nationkey")), "o_custkey", "c_custkey")).select("o_orderkey"))
-query("sec_08_classify", "SELECT 'contact' AS \"column\", 'email' AS kind, 'value' AS \"by\", 1.0 AS share UNION ALL SELECT 'host', 'ip', 'value', 1.0 UNION ALL SELECT 'c_name', 'name', 'name', NULL WHERE false")(lambda t: security.classify(t.customer.select(F.concat(F.lit("c"), C("c_custkey"), F.lit("@example.com")).alias("contact"), F.concat(F.lit("10.0.0."), C("c_nationkey")).alias("host"), C("c_mktsegment").alias("seg"))))
+query("sec_08_classify", "SELECT 'contact' AS \"column\", 'email' AS kind, 'value' AS \"by\", 1.0::DOUBLE AS share UNION ALL SELECT 'host', 'ip', 'value', 1.0::DOUBLE UNION ALL SELECT 'c_name', 'name', 'name', NULL WHERE false")(lambda t: security.classify(t.customer.select(F.concat(F.lit("c"), C("c_custkey"), F.lit("@example.com")).alias("contact"), F.concat(F.lit("10.0.0."), C("c_nationkey")).alias("host"), C("c_mktsegment").alias("seg"))))
 query("sec_09_masked", "SELECT sha256(CAST(c_custkey AS VARCHAR)) AS c_custkey, regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'), '[0-9]', 'n', 'g') AS c_name, c_mktsegment FROM (SELECT c_custkey, upper(c_name) AS c_name, c_mktsegment FROM customer)")(lambda t: security.masked(t.customer.select("c_custkey", F.upper("c_name").alias("c_name"), "c_acctbal", "c_mktsegment"), {"c_custkey": "hash", "c_name": "mask", "c_acctbal": "drop", "c_mktsegment": "public"}))
 query("jon_19_secured_star", "SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) GROUP BY 1")(lambda t: joins.join(t.orders, security.allowed_values(t.customer, _mapping(t), "user0", "c_nationkey"), [("o_custkey", "c_custkey")], "inner").groupBy("c_mktsegment").agg(one().alias("n")))

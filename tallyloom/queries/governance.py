@@ -54,7 +54,7 @@ query("qlt_06_report", f"SELECT CAST(count(*) FILTER (WHERE status = 'passed') A
 query("qlt_07_snapshot", "SELECT 'nation' AS \"table\", 'unchanged' AS status, CAST(count(*) AS BIGINT) AS old_rows, CAST(count(*) AS BIGINT) AS new_rows FROM nation UNION ALL SELECT 'orders', 'changed', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0)")(lambda t: quality.snapshot_diff(quality.snapshot({"nation": t.nation, "orders": t.orders}), quality.snapshot({"nation": t.nation, "orders": t.orders.filter("o_orderkey % 2 = 0")})))
 query("qlt_08_schema_drift", "SELECT 'orders' AS \"table\", c AS \"column\", a AS old_type, b AS new_type, s AS status FROM (VALUES ('o_custkey', 'bigint', 'string', 'type changed'), ('extra', NULL, 'int', 'added'), ('o_orderstatus', 'string', NULL, 'removed')) v(c, a, b, s) WHERE (SELECT count(*) FROM orders) > 0")(lambda t: quality.schema_drift(quality.schema_table({"orders": t.orders}), quality.schema_table({"orders": t.orders.withColumn("o_custkey", C("o_custkey").cast("string")).withColumn("extra", F.lit(1)).drop("o_orderstatus")})))
 query("qlt_09_fuzzy_match", "WITH b AS (SELECT s AS l, t AS r, lower(regexp_replace(s, '[^A-Za-z0-9]', '', 'g')) AS ln, lower(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) AS rn FROM (SELECT DISTINCT c_mktsegment AS s FROM customer), (SELECT DISTINCT replace(lower(c_mktsegment), 'in', '') AS t FROM customer)), g AS (SELECT l, r, ln, rn, list_distinct(list_transform(range(1, length(ln)), lambda i: ln[i:i + 1])) AS x, list_distinct(list_transform(range(1, length(rn)), lambda i: rn[i:i + 1])) AS y FROM b), sc AS (SELECT l, r, CASE WHEN ln = rn THEN 1.0 WHEN contains(ln, rn) OR contains(rn, ln) THEN least(length(ln), length(rn)) / greatest(length(ln), length(rn)) ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END AS score, len(list_intersect(x, y)) AS c FROM g) SELECT l AS \"left\", r AS \"right\", round(CAST(score AS DOUBLE), 6) AS score FROM sc WHERE score >= 0.5 AND c > 0")(lambda t: quality.fuzzy_match(t.customer, "c_mktsegment", t.customer.withColumn("m", F.replace(F.lower("c_mktsegment"), F.lit("in"), F.lit(""))), "m").withColumn("score", F.round("score", 6)))
-query("qlt_10_best_match", "SELECT DISTINCT c_mktsegment AS \"left\", lower(c_mktsegment) AS \"right\", 1.0 AS score FROM customer")(lambda t: quality.best_match(t.customer, "c_mktsegment", t.customer.withColumn("m", F.lower("c_mktsegment")), "m"))
+query("qlt_10_best_match", "SELECT DISTINCT c_mktsegment AS \"left\", lower(c_mktsegment) AS \"right\", 1.0::DOUBLE AS score FROM customer")(lambda t: quality.best_match(t.customer, "c_mktsegment", t.customer.withColumn("m", F.lower("c_mktsegment")), "m"))
 query("qlt_11_clusters", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey // 3 AS b FROM orders WHERE o_custkey % 5 <> 0), up AS (SELECT o_custkey AS node, o_custkey AS top FROM (SELECT DISTINCT o_custkey FROM orders UNION SELECT b FROM e) UNION SELECT up.node, e.b FROM up JOIN e ON e.a = up.top) SELECT node, CAST(min(top) AS BIGINT) AS cluster FROM up GROUP BY node")(lambda t: lineage.clusters((e := t.orders.filter("o_custkey % 5 <> 0").select(C("o_custkey").alias("a"), F.floor(C("o_custkey") / 3).alias("b")).distinct()), t.orders.select(C("o_custkey").alias("node")).union(e.select("b")).distinct()))
 query("qlt_12_fingerprint", "SELECT sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ')) AS fingerprint, CAST(count(*) AS BIGINT) AS copies, min(doc_id) AS first_key FROM documents GROUP BY 1 HAVING count(*) > 1")(lambda t: quality.duplicate_texts(t.documents.filter("text is not null"), "doc_id", "text"))
 query("qlt_13_lineage_edges", "SELECT DISTINCT 'flow' || n_regionkey AS flow, n_name AS output, 'next' || n_regionkey AS to_flow, CASE WHEN n_nationkey % 2 = 0 THEN 'exact' ELSE 'name' END AS how FROM nation")(lambda t: lineage.match_edges(t.nation.select(F.concat(F.lit("flow"), C("n_regionkey")).alias("flow"), C("n_name").alias("name")), t.nation.select(F.concat(F.lit("next"), C("n_regionkey")).alias("flow"), F.when(C("n_nationkey") % 2 == 0, C("n_name")).otherwise(F.concat(F.lower("n_name"), F.lit(" "))).alias("name"))))
