@@ -433,6 +433,41 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
     assert substring_dedup.repeated_passages(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def words_of(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+
+def spans_of(rows):
+    """doc -> the words that some row covers."""
+    out = {}
+    for r in rows:
+        for d, s, e in ((r.doc_id, r.start, r.end), (r.of_doc, r.of_start, r.of_end)):
+            out.setdefault(d, set()).update(range(s, e))
+    return out
+
+
+def uncovered(texts, rows, n=50):
+    """(doc, start) of the runs of n words that stand in another text too and of which a row misses a word."""
+    where, found = {}, spans_of(rows)
+    for d, t in enumerate(texts):
+        for i in range(len(t.split()) - n + 1):
+            where.setdefault(tuple(t.split()[i : i + n]), set()).add((d, i))
+    return {(d, i) for places in where.values() if len({d for d, _ in places}) > 1 for d, i in places if not found.get(d, set()) >= set(range(i, i + n))}
+
+
+def test_passages_of_hot_lines_and_of_other_cuts_are_found(spark):
+    rng = random.Random(5)
+    one, two, long = words_of(rng, 30), words_of(rng, 30), words_of(rng, 400)
+    texts = []
+    for i in range(90):  # two hot lines, together in six texts only
+        line = one + two if i % 15 == 0 else (one if i % 2 else two)
+        texts.append(" ".join(words_of(rng, 40) + line + words_of(rng, 40)))
+    for _ in range(60):  # windows of one passage, cut anywhere
+        at = rng.randrange(340)
+        texts.append(" ".join(words_of(rng, 30) + long[at : at + 60] + words_of(rng, 30)))
+    assert uncovered(texts, substring_dedup.repeated_passages(docs_of(spark, texts)).collect()) == set()
+
+
 # --- SQL twins
 
 
