@@ -468,6 +468,22 @@ def test_passages_of_hot_lines_and_of_other_cuts_are_found(spark):
     assert uncovered(texts, substring_dedup.repeated_passages(docs_of(spark, texts)).collect()) == set()
 
 
+def test_passages_with_many_changed_words_are_found(spark):
+    rng = random.Random(7)
+    texts, groups = [], [(6, 1 / 6, True), (0, 0.1, False), (0, 0.15, False)]
+    for every, share, _ in groups:
+        for i in range(60):
+            passage = words_of(rng, 66)
+            copy = [words_of(rng, 1)[0] if (j % every == i % every if every else rng.random() < share) else w for j, w in enumerate(passage)]
+            texts += [" ".join(words_of(rng, 40) + x + words_of(rng, 40)) for x in (passage, copy)]
+    found = {(r.of_doc, r.doc_id) for r in substring_dedup.repeated_passages(docs_of(spark, texts)).collect()}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in found)
+    same = [sum(x == y for x, y in zip(texts[i].split(), texts[i + 1].split(), strict=True)) for i in range(0, len(texts), 2)]
+    # A passage with fewer words alike than 50, or more changed than a fifth, is none.
+    whole = [i for i, n in enumerate(same) if n >= 54]
+    assert len(whole) > 120 and sum((2 * i, 2 * i + 1) in found for i in whole) >= 0.97 * len(whole)
+
+
 # --- SQL twins
 
 
