@@ -468,6 +468,23 @@ def test_passages_of_hot_lines_and_of_other_cuts_are_found(spark):
     assert uncovered(texts, substring_dedup.repeated_passages(docs_of(spark, texts)).collect()) == set()
 
 
+def test_each_occurrence_of_a_passage_is_found(spark):
+    rng = random.Random(6)
+    passage, line, other = words_of(rng, 60), words_of(rng, 8), words_of(rng, 20)
+    texts = [
+        words_of(rng, 30) + passage + words_of(rng, 100) + passage + words_of(rng, 30),
+        words_of(rng, 50) + passage + words_of(rng, 20),
+        (line + words_of(rng, 5)) * 3 + other + line + other[::-1] + line + words_of(rng, 9),  # refrains used before
+        words_of(rng, 30) + other + line + other[::-1] + line,
+        words_of(rng, 30) + ["hey"] * 130 + words_of(rng, 30),
+        words_of(rng, 10) + ["hey"] * 60 + words_of(rng, 30),
+        words_of(rng, 10) + ["ho", "hum"] * 45 + words_of(rng, 30),
+        words_of(rng, 25) + ["hum", "ho"] * 110,
+    ]
+    texts = [" ".join(t) for t in texts]
+    assert uncovered(texts, substring_dedup.repeated_passages(docs_of(spark, texts)).collect()) == set()
+
+
 def test_passages_with_many_changed_words_are_found(spark):
     rng = random.Random(7)
     texts, groups = [], [(6, 1 / 6, True), (0, 0.1, False), (0, 0.15, False)]
