@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ from .common import small_batches, table
 #: A turn is OPEN, the role, BODY, the text and CLOSE. Each control string is one token of its own.
 OPEN, BODY, CLOSE = "<|turn|>", "<|body|>", "<|done|>"
 _TURN = re.compile(r"<\|turn\|>(.*?)<\|body\|>(.*?)<\|done\|>", re.S)
+#: A conversation of more characters is handed to the tokenizer in runs of whole turns of about so many.
+PART_CHARS = 1 << 19
+#: A batch of formatted conversations is passed on when it holds this many tokens.
+BATCH_TOKENS = 1 << 18
 
 
 def escape(text: str) -> str:
@@ -68,6 +73,7 @@ def masked_text(formatted: str, offsets: np.ndarray, mask: np.ndarray, spans: li
 
 @cache
 def _encoder(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import AddedToken, Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -75,7 +81,42 @@ def _encoder(path: str):
     return tokenizer
 
 
+def encode(tokenizer, formatted: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of a rendered conversation, every character encoded once.
+
+    No token crosses a control string, so a long conversation is encoded in runs of whole turns and gives the
+    same ids, while what the tokenizer holds at once is bounded by PART_CHARS and the longest turn.
+    """
+    ids, offsets, lo = [], [], 0
+    for _, end in spans:
+        hi = end + len(CLOSE)
+        if hi - lo >= PART_CHARS or hi == len(formatted):
+            code = tokenizer.encode(formatted[lo:hi], add_special_tokens=False)
+            ids.append(np.array(code.ids, np.int32))
+            offsets.append(np.array(code.offsets, np.int32).reshape(-1, 2) + np.int32(lo))
+            lo = hi
+    return (np.concatenate(ids), np.concatenate(offsets)) if ids else (np.zeros(0, np.int32), np.zeros((0, 2), np.int32))
+
+
 FORMATTED = "conv_id long, n_turns long, formatted string, ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>, loss_spans array<struct<start:int,end:int>>"
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Arrays of numbers as one list column."""
+    cuts = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=cuts[1:])
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(parts), kind))
+
+
+def _formatted(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of (conv_id, n_turns, formatted, ids, offsets, mask, spans) as one batch, without a Python number for each token."""
+    conv, n, formatted, ids, offsets, mask, spans = zip(*rows, strict=True)
+    edges = np.concatenate([np.array(s, np.int32).reshape(-1, 2) for s in spans])
+    cuts = np.r_[0, np.cumsum([len(s) for s in spans])].astype(np.int32)
+    learned = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], fields=list(_SPAN)))
+    columns = [pa.array(conv, pa.int64()), pa.array(n, pa.int64()), pa.array(formatted, pa.string()), _lists(ids, pa.int32()), _lists([o[:, 0] for o in offsets], pa.int32()), _lists([o[:, 1] for o in offsets], pa.int32()), _lists(mask, pa.bool_()), learned]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FORMATTED.split(", ")])
 
 
 def format_chats(turns: DataFrame, path: str, trained: tuple[str, ...] = ("assistant",), conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -85,25 +126,31 @@ def format_chats(turns: DataFrame, path: str, trained: tuple[str, ...] = ("assis
     texts' places in `formatted`. The control strings are added to the tokenizer as tokens of their own, so
     that no token crosses the edge of a text. Turns are in order of the turn number, nulls first; ties are in
     order of role, then text, and repeated rows stay. A null text is empty, a null role is empty, a null
-    conversation id is a conversation. Other columns are dropped; an empty table gives an empty result. A
-    conversation is one training sample and is held whole by one task.
+    conversation id is a conversation. Other columns are dropped, whatever their names; an empty table gives an
+    empty result. A conversation is one training sample and is held whole by one task, one at a time: what a
+    worker holds is the longest conversation, not a batch of them.
     """
     said = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     whole = turns.select(F.col(conv).cast("long").alias("conv_id"), said.alias("said")).groupBy("conv_id").agg(F.array_sort(F.collect_list("said")).alias("turns"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _encoder(path)
+        held, tokens = [], 0
         for b in batches:
-            out = []
-            talks = [[(x["role"], x["text"]) for x in talk] for talk in b.turns]
-            made = [render(t) for t in talks]
-            for conv_id, talk, (formatted, spans), code in zip(b.conv_id, talks, made, tokenizer.encode_batch([m[0] for m in made], add_special_tokens=False), strict=True):
-                offsets = np.array(code.offsets, np.int64).reshape(-1, 2)
+            for conv_id, talk in zip(b.column("conv_id"), b.column("turns"), strict=True):
+                talk = [(x["role"], x["text"]) for x in talk.as_py()]
+                formatted, spans = render(talk)
+                ids, offsets = encode(tokenizer, formatted, spans)
                 learned = [s for s, (r, _) in zip(spans, talk, strict=True) if r in trained]
-                out.append((conv_id, len(talk), formatted, code.ids, offsets[:, 0].tolist(), offsets[:, 1].tolist(), mask_tokens(offsets, learned).tolist(), [{"start": s, "end": e} for s, e in learned]))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FORMATTED.split(", ")]).astype({"conv_id": "Int64"})
+                held.append((conv_id.as_py(), len(talk), formatted, ids, offsets, mask_tokens(offsets, learned), learned))
+                tokens += len(ids)
+                if tokens >= BATCH_TOKENS:
+                    yield _formatted(held)
+                    held, tokens = [], 0
+        if held:
+            yield _formatted(held)
 
-    return whole.mapInPandas(run, FORMATTED)
+    return whole.mapInArrow(run, FORMATTED)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
@@ -112,19 +159,29 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 def digests(chats: DataFrame) -> DataFrame:
     """Read format_chats() back: turns parsed from the formatted text, loss text from tokens under the mask."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = lambda x: x.values.to_numpy(zero_copy_only=False)
         for b in batches:
             out = []
-            for conv_id, formatted, starts, ends, mask, spans in zip(b.conv_id, b.formatted, b.token_starts, b.token_ends, b.loss_mask, b.loss_spans, strict=True):
+            for i in range(b.num_rows):
+                formatted = b.column("formatted")[i].as_py()
+                offsets = np.stack([flat(b.column(c)[i]) for c in ("token_starts", "token_ends")], axis=1)
+                mask = flat(b.column("loss_mask")[i]).astype(bool)
+                spans = b.column("loss_spans")[i].values
+                spans = list(zip(spans.field("start").to_pylist(), spans.field("end").to_pylist(), strict=True))
                 turns = parse(formatted)
-                offsets = np.stack([np.asarray(starts, np.int64), np.asarray(ends, np.int64)], axis=1).reshape(-1, 2)
-                mask = np.asarray(mask, bool)
-                loss = "".join(masked_text(formatted, offsets, mask, [(s["start"], s["end"]) for s in spans]))
-                said = "".join(f"{r}\n{t}\n" for r, t in turns)
-                out.append((conv_id, len(turns), hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(formatted), len(mask), int(mask.sum())))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in DIGESTS.split(", ")]).astype({"conv_id": "Int64"})
-
-    return chats.mapInPandas(run, DIGESTS)
+                said, loss = hashlib.sha256(), hashlib.sha256()
+                for r, t in turns:
+                    said.update(f"{r}\n{t}\n".encode("utf-8", "surrogatepass"))
+                found = masked_text(formatted, offsets, mask, spans)
+                for t in found:
+                    loss.update(t.encode("utf-8", "surrogatepass"))
+                out.append((b.column("conv_id")[i].as_py(), len(turns), said.hexdigest(), sum(map(len, found)), loss.hexdigest(), len(formatted), len(mask), int(mask.sum())))
+            names = [c.split() for c in DIGESTS.split(", ")]
+            columns = zip(*out, strict=True) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64() if kind == "long" else pa.string()) for c, (_, kind) in zip(columns, names, strict=True)], [n for n, _ in names])
+
+    return chats.mapInArrow(run, DIGESTS)
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

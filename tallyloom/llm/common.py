@@ -37,10 +37,15 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of whole texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
+    """Bound what one Arrow batch of whole texts holds in the JVM and in a Python worker; smaller settings stay.
+
+    Spark reads these settings when it runs a plan, after a query has returned it, so they stay in place.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(spark.conf.get(key)).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def text_of(column: str | Column = "text") -> Column:
