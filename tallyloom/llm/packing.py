@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,48 +19,102 @@ from .common import small_batches, stash, table
 WINDOW = 4096
 #: Lengths are planned in steps of this many tokens.
 STEP = 16
-#: Each Python worker remembers the ids of at most this many distinct strings between blanks.
-REMEMBERED = 1_000_000
-#: A string that the tokenizer always keeps apart; used to encode many strings in one call.
-APART = "<|endoftext|>"
+#: Rows of a bin that are numbered in one task.
+SALT_ROWS = 50_000
+#: Each Python worker remembers the ids of short strings between blanks, up to about this many bytes.
+REMEMBERED_BYTES, SHORT = 40 << 20, 64
+#: What a remembered string takes besides its characters and ids.
+ENTRY_BYTES = 200
+#: Texts are encoded in runs of this many characters.
+PART_CHARS = 1 << 20
+#: How a tokenizer must normalize and split for strings between blanks to encode on their own (fixed values of its file).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: A string of one id that stands between strings encoded in one call; strings that hold it are encoded alone.
+BETWEEN = "|"
+
+
+def _parts(text: str) -> list[str]:
+    """A long text in runs of about PART_CHARS characters, cut at blanks, which no id crosses."""
+    out, at = [], 0
+    while len(text) - at > PART_CHARS and (cut := text.find(" ", at + PART_CHARS)) >= 0:
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
 
 
 @cache
 def _encoder(path: str):
+    """texts -> the little-endian 32-bit ids of each, equal to encoding it as a whole."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {"": b""}
-    apart = tokenizer.encode(APART, add_special_tokens=False).ids
-
-    def learn(words: list[str]) -> None:
-        """No alternative of this tokenizer's splitting pattern crosses a blank, so strings encode on their own."""
-        plain = [w for w in words if "<|" not in w] if len(apart) == 1 else []
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            ids = np.array(tokenizer.encode_batch_fast([APART.join([" " + w + " " for w in part])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == apart[0])
-            raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
-            start = 0
+    one = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    form = json.loads(tokenizer.to_str())
+    between = one(BETWEEN)
+    steps = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if form["normalizer"] != NORMALIZER or steps[:1] != [SPLITTER] or any(x.get("use_regex") or x.get("add_prefix_space") for x in steps[1:]) or len(between) != 4:
+        return lambda texts: [one(t) for t in texts]
+    mark = int.from_bytes(between, "little")
+    # Printable ASCII passes the normalizer and the byte step as it is, so its pieces go to the model at once.
+    plain_piece, model = re.compile("[a-z]+|[0-9]|[^a-z0-9]+").findall, tokenizer.model.tokenize
+    as_bytes = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+    known: dict[str, bytes] = {}
+    held = 0
+
+    def learn(words: list[str]) -> dict[str, bytes]:
+        """No alternative of the splitting pattern crosses a blank, so strings encode on their own."""
+        found, other = {}, []
+        for w in words:
+            if w.isascii() and w.isprintable() and "'" not in w and BETWEEN not in w:
+                found[w] = b"".join([as_bytes[x.id] for p in plain_piece(w.lower()) for x in model(p)])
+            elif BETWEEN in w:
+                found[w] = one(w)
+            else:
+                other.append(w)
+        for i in range(0, len(other), 20_000):
+            part = other[i : i + 20_000]
+            ids = np.array(tokenizer.encode_batch_fast([f" {BETWEEN} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*(np.flatnonzero(ids == mark) * 4).tolist(), len(ids) * 4]
+            raw, start = ids.tobytes(), 0
             for w, end in zip(part, ends, strict=True):
-                known[w] = raw[start:end]
+                found[w] = raw[start:end]
                 start = end + 4
-        done = set(plain)
-        for w in words:
-            if w not in done:
-                known[w] = np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        return found
 
-    def encode(texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, equal to encoding it as a whole."""
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
+    def run(texts: list[str]) -> list[bytes]:
+        nonlocal known, held
         split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if new := [w for w in set().union(*split) if w not in known]:
-            learn(new)
-        get = known.__getitem__
+        there = set().union(*split)
+        now = {w: known[w] for w in there if w in known}
+        if new := [w for w in there if w not in now]:
+            learned = learn(new)
+            now.update(learned)
+            short = {w: x for w, x in learned.items() if len(w) <= SHORT}
+            known.update(short)
+            held += sum(map(len, short)) + sum(map(len, short.values())) + ENTRY_BYTES * len(short)
+            if held > REMEMBERED_BYTES:  # what these texts do not hold is forgotten
+                known = {w: x for w, x in now.items() if len(w) <= SHORT}
+                held = sum(map(len, known)) + sum(map(len, known.values())) + ENTRY_BYTES * len(known)
+        get = now.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def encode(texts: list[str]) -> list[bytes]:
+        out, some, size = [], [], 0
+        for t in texts:
+            if len(t) > PART_CHARS:
+                out += run(some)
+                out.append(b"".join(x for p in _parts(t) for x in run([p])))
+                some, size = [], 0
+                continue
+            some.append(t)
+            size += len(t)
+            if size > PART_CHARS:
+                out += run(some)
+                some, size = [], 0
+        return out + run(some)
+
     return encode
 
 
@@ -68,21 +125,27 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, ke
     """Tokenize whole texts, append `end_id`, and cut each into full windows and one remainder.
 
     ids are little-endian unsigned 32-bit numbers. A null or empty text is the end id alone; repeated rows
-    give repeated pieces; other columns are dropped; a null key stays null.
+    give repeated pieces; other columns are dropped, whatever their names; a null key stays null; a very long text
+    is encoded in runs. Tokenizers that may join what blanks separate encode each text as a whole.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = _encoder(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            out = []
-            for doc_id, raw in zip(batch.doc_id, encode(batch.text.fillna("").tolist()), strict=True):
+        for b in batches:
+            owner, start, length, ids, total = [], [], [], [], []
+            for doc_id, raw in zip(b.column("doc_id").to_pylist(), encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
                 raw += tail
                 n = len(raw) // 4
-                out += [(doc_id, s, min(window, n - s), raw[4 * s : 4 * (s + window)], n) for s in range(0, n, window)]
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens"])
-            yield frame.astype({"doc_id": "Int64"})
+                for s in range(0, n, window):
+                    owner.append(doc_id)
+                    start.append(s)
+                    length.append(min(window, n - s))
+                    ids.append(raw[4 * s : 4 * (s + window)])
+                    total.append(n)
+            longs = [pa.array(x, pa.int64()) for x in (owner, start, length, total)]
+            yield pa.RecordBatch.from_arrays([*longs[:3], pa.array(ids, pa.binary()), longs[3]], [c.split()[0] for c in PIECES.split(", ")])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, PIECES)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 
 
 def _strategies(bins: int) -> np.ndarray:
@@ -197,18 +260,19 @@ def plan(histogram: dict[int, int], bins: int = WINDOW // STEP) -> list[tuple[li
     return made
 
 
-def pack(cut: DataFrame, window: int = WINDOW, step: int = STEP, salts: int = 64) -> DataFrame:
+def pack(cut: DataFrame, window: int = WINDOW, step: int = STEP, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Give each piece (doc_id, start, length, ...) its sequence_id and offset; all other columns are kept.
 
     The histogram has window / step bins, so it and the plan are bounded and handled on the driver. A piece's
-    number within its bin comes from its number within (bin, salt) plus the salt's start, so that a bin with a
-    third of all pieces is spread; the plan's slots, a few thousand rows, are joined by that number.
-    Lengths must be 1 to `window`. An empty table gives an empty result.
+    number within its bin comes from its number within (bin, salt) plus the salt's start; a bin has a salt for each
+    `salt_rows` pieces, so that one with a third of all pieces is spread. The plan's slots, a few thousand rows, are
+    joined by that number. Lengths must be 1 to `window`. Pieces that are alike are interchangeable; an empty table
+    gives an empty result; columns that this function adds replace those of the same name.
     """
     spark, bins = cut.sparkSession, window // step
-    named = cut.withColumn("bin", F.ceil(F.col("length") / step).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
-    cells = named.groupBy("bin", "salt").agg(F.count("*").alias("n"))
-    counts = {r.bin: r.n for r in cells.groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    kept = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    base_rows = cut.select(F.struct(*kept).alias("kept_"), F.col("length").alias("length_"), F.ceil(F.col("length") / step).cast("int").alias("bin_"), F.xxhash64("doc_id", "start").alias("mixed_"))
+    counts = {r.bin_: r.n for r in base_rows.groupBy("bin_").agg(F.count("*").alias("n")).collect()}
     slots, base, filled = [], 0, dict.fromkeys(counts, 0)
     for parts, n in plan(counts, bins):
         place = 0
@@ -217,17 +281,28 @@ def pack(cut: DataFrame, window: int = WINDOW, step: int = STEP, salts: int = 64
             filled[x] += m * n
             place += m
         base += n
-    planned = spark.createDataFrame(slots, "bin int, first long, last long, per_window int, base long, place int")
-    starts = cells.withColumn("before", F.sum("n").over(Window.partitionBy("bin").orderBy("salt")) - F.col("n")).drop("n")
-    number = F.row_number().over(Window.partitionBy("bin", "salt").orderBy("doc_id", "start")) - 1
-    ranked = named.withColumn("number", number).join(starts, ["bin", "salt"]).withColumn("number", F.col("number") + F.col("before"))
+    planned = spark.createDataFrame(slots, "slot_bin int, first long, last long, per_window int, base long, place int")
+    salts = F.element_at(F.array(*[F.lit(1 + counts.get(x, 0) // salt_rows) for x in range(1, bins + 1)]), F.col("bin_"))
+    named = base_rows.withColumn("salt_", F.pmod("mixed_", salts))
+    cells = named.groupBy("bin_", "salt_").agg(F.count("*").alias("n"))
+    starts = cells.select("bin_", "salt_", (F.sum("n").over(Window.partitionBy("bin_").orderBy("salt_")) - F.col("n")).alias("before"))
+    number = F.row_number().over(Window.partitionBy("bin_", "salt_").orderBy("kept_.doc_id", "kept_.start")) - 1
+    ranked = named.withColumn("number", number).join(starts, ["bin_", "salt_"]).withColumn("number", F.col("number") + F.col("before"))
     # Bounded: at most three slots a strategy and bin, whatever the input.
-    hit = ranked.alias("r").join(F.broadcast(planned.alias("s")), (F.col("r.bin") == F.col("s.bin")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("last")))
+    hit = ranked.join(F.broadcast(planned), (F.col("bin_") == F.col("slot_bin")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("last")))
     seat = F.col("number") - F.col("first")
     placed = hit.withColumn("sequence_id", F.col("base") + F.floor(seat / F.col("per_window"))).withColumn("seat", F.col("place") + seat % F.col("per_window"))
     by_seat = Window.partitionBy("sequence_id").orderBy("seat").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offset = (F.sum("length").over(by_seat) - F.col("length")).alias("offset")
-    return placed.select(*[F.col(f"r.{c}") for c in cut.columns], "sequence_id", offset)
+    return placed.select(*[F.col(f"kept_.`{c}`") for c in kept], "sequence_id", (F.sum("length_").over(by_seat) - F.col("length_")).alias("offset"))
+
+
+def packed(cut: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
+    """pack() for pieces with their ids: the places are found on the rows without them, and the ids join last, shuffled once."""
+    numbered = stash(cut.withColumn("piece_", F.monotonically_increasing_id()))
+    light = pack(numbered.select("doc_id", "start", "length", "piece_"), window, step)
+    places = light.select(F.col("piece_").alias("place_of"), "sequence_id", "offset")
+    rest = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    return numbered.join(places, F.col("piece_") == F.col("place_of")).select(*rest, "sequence_id", "offset")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
