@@ -286,13 +286,13 @@ def test_mixing_hits_its_targets(spark, sources):
     sizes = {}
     for t, s in zip(texts, named, strict=True):
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
-    rows = mixing.mix(docs_of(spark, texts, named), bucket_rows=20).collect()
+    rows = mixing.mix(docs_of(spark, texts, named), cell_rows=20).collect()
     want, taken = plain_targets(sizes), {}
     for r in rows:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 2 * r.size
         taken[r.source] = taken.get(r.source, 0) + r.taken
     assert len(rows) == len(texts) and all(abs(taken[s] - want[s]) <= 1 for s in sizes)
-    again = {(r.doc_id, r.taken) for r in mixing.mix(docs_of(spark, texts, named), bucket_rows=7).collect()}
+    again = {(r.doc_id, r.taken) for r in mixing.mix(docs_of(spark, texts, named), cell_rows=7).collect()}
     assert again == {(r.doc_id, r.taken) for r in rows}
 
 
@@ -301,6 +301,11 @@ def test_mixing_odd_rows_and_copies(spark):
     out = mixing.repeated(mixing.mix(docs_of(spark, ["one two three", None, "four"], ["a", "a", "b"]), keep=("text", "lang")))
     words = sum(len((r.text or "").split()) for r in out.collect())
     assert words == 5 + 2  # targets 4.5 and 1.5, each rounded up
+    spaced = ["  one\n\ttwo  three\n", "\nfour\nfive"]
+    kept = [r.text for r in mixing.repeated(mixing.mix(docs_of(spark, spaced, ["a", "a"]), share=0.7, keep=("text",))).collect()]
+    assert sum(len(t.split()) for t in kept) == 4 and all(any(s.startswith(t) for s in spaced) for t in kept)
+    nulls = spark.createDataFrame([(None, f"a b c {i}", "s") for i in range(5)] + [(1, "d e", "s")] * 2, "doc_id long, text string, source string")
+    assert abs(mixing.mix(nulls, share=0.5).agg(F.sum("taken")).first()[0] - 12) <= 1
     assert mixing.mix(docs_of(spark, ["a b", "c d e"], ["s", "s"]), importance=F.col("doc_id") + 1).agg(F.sum("taken")).first()[0] == 8
 
 
