@@ -1,7 +1,8 @@
 """A training-data pipeline over `documents`: each stage's rows are written as Parquet and read again by the next.
 
 Toxic documents go, lines with an earlier copy go (and documents that had nothing else), one document of each
-SimHash group stays, sources are mixed to their targets, and what is left is packed into token windows.
+SimHash group stays, sources are mixed to their targets (longer documents are likelier to be drawn), and what is
+left is packed into token windows, ids and all.
 Nulls: a null text is kept as an empty one would be, a null doc_id is never dropped as a copy, a null source
 is a source of its own. Repeated rows, ties, empty tables and further columns follow the operators' rules.
 """
@@ -40,15 +41,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.select("doc_id", "source", "text", F.struct(*rest).alias("row_"))
-    mixed = mixing.repeated(mixing.mix(rows, keep=("text", "row_")).filter("taken > 0"))
+    mixed = mixing.repeated(mixing.mix(rows, importance=mixing.by_length(), keep=("text", "row_")).filter("taken > 0"))
     new = {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in rest else None}
     return mixed.select(*[new.get(c, F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(stash(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")))
+    return packing.packed(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [
