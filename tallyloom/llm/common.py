@@ -37,7 +37,7 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 10_000, size: int = 4 << 20) -> None:
     """Bound what one Arrow batch of whole texts holds in the JVM and in a Python worker; smaller settings stay.
 
     Spark reads these settings when it runs a plan, after a query has returned it, so they stay in place.
