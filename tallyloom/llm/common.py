@@ -34,7 +34,17 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that stash() wrote and nothing reads any more."""
+    for df in tables:
+        jvm, path = df.sparkSession.sparkContext._jvm, df._stashed
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 10_000, size: int = 4 << 20) -> None:

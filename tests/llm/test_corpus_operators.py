@@ -430,11 +430,11 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
     found = {i for r in rows for i in (r.doc_id, r.of_doc)}
     assert found == {*range(24), 39, 40, 41}
     for r in rows:
-        assert r.doc_id > r.of_doc and r.matched >= 50 and r.identity >= 0.8
+        assert (r.of_doc, r.doc_id) in {(x.doc_id, x.of_doc) for x in rows} and r.matched >= 50 and r.identity >= 0.8
         if r.doc_id < 12:
             a, b = texts[r.doc_id].split()[r.start : r.end], texts[r.of_doc].split()[r.of_start : r.of_end]
             assert a[: len(exact)] == exact or a == b
-    assert {r.doc_id for r in rows if r.copy} == {40, 41}
+    assert {r.doc_id for r in rows} == found and {(r.doc_id, r.of_doc) for r in rows if r.copy} == {(39, 41), (40, 39), (41, 39)}
     assert substring_dedup.repeated_passages(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
@@ -490,6 +490,28 @@ def test_each_occurrence_of_a_passage_is_found(spark):
     assert uncovered(texts, substring_dedup.repeated_passages(docs_of(spark, texts)).collect()) == set()
 
 
+def test_passage_query_names_every_document_with_a_repeated_run(spark, data):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    rows = QUERIES["op10_substring_dedup"](spark, data).collect()
+    where = {}
+    for d, t in docs:
+        words = (t or "").lower().split()
+        for i in range(len(words) - 50):
+            where.setdefault(hash(tuple(words[i : i + 51])), set()).add(d)
+    want = {d for ds in where.values() if len(ds) > 1 for d in ds}
+    assert want and want <= {r.doc_id for r in rows}
+
+
+def test_passages_of_repeated_ids_and_odd_rows(spark):
+    rng = random.Random(12)
+    passage = words_of(rng, 70)
+    rows = [(1, " ".join(words_of(rng, 20) + passage)), (1, " ".join(passage + words_of(rng, 20))), (None, " ".join(passage)), (2, None), (2, ""), (2, " ")]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, content string")
+    assert substring_dedup.repeated_passages(table).count() == 0
+    more = table.union(spark.createDataFrame([(3, " ".join(words_of(rng, 2) + passage).upper(), "y")], table.schema))
+    assert {(r.doc_id, r.of_doc) for r in substring_dedup.repeated_passages(more).collect()} == {(1, 3), (3, 1)}
+
+
 def test_passages_with_many_changed_words_are_found(spark):
     rng = random.Random(7)
     texts, groups = [], [(6, 1 / 6, True), (0, 0.1, False), (0, 0.15, False)]
@@ -498,7 +520,7 @@ def test_passages_with_many_changed_words_are_found(spark):
             passage = words_of(rng, 66)
             copy = [words_of(rng, 1)[0] if (j % every == i % every if every else rng.random() < share) else w for j, w in enumerate(passage)]
             texts += [" ".join(words_of(rng, 40) + x + words_of(rng, 40)) for x in (passage, copy)]
-    found = {(r.of_doc, r.doc_id) for r in substring_dedup.repeated_passages(docs_of(spark, texts)).collect()}
+    found = {(r.of_doc, r.doc_id) for r in substring_dedup.repeated_passages(docs_of(spark, texts)).collect() if r.of_doc < r.doc_id}
     assert all(b == a + 1 and a % 2 == 0 for a, b in found)
     same = [sum(x == y for x, y in zip(texts[i].split(), texts[i + 1].split(), strict=True)) for i in range(0, len(texts), 2)]
     # A passage with fewer words alike than 50, or more changed than a fifth, is none.
