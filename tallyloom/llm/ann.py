@@ -17,8 +17,7 @@ class Graph:
     """A directed graph over one shard's vectors: searches start at the medoid, edges are pruned by relaxed distance."""
 
     def __init__(self, points: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, seed: int = 7):
-        self.points = np.ascontiguousarray(points, np.float32)
-        self.norms = (self.points**2).sum(1)
+        self.points = np.ascontiguousarray(points, np.float64)
         n = len(points)
         self.degree, self.edges = degree, np.full((n, degree), -1, np.int32)
         self.start = int(np.argmin(((self.points - self.points.mean(0)) ** 2).sum(1))) if n else 0
@@ -31,19 +30,47 @@ class Graph:
                 size = min(n - at, max(1, min(at, 1024)))
                 self._insert(order[at : at + size], beam, slack)
                 at += size
+        self._connect(beam)
 
     def distances(self, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Squared distances of query rows to their own rows of ids; missing ids are infinitely far."""
-        found = self.points[np.maximum(ids, 0)]
-        d = (queries**2).sum(1)[:, None] + self.norms[np.maximum(ids, 0)] - 2 * np.einsum("qkd,qd->qk", found, queries, optimize=True)
-        return np.where(ids < 0, np.inf, np.maximum(d, 0))
+        """Squared distances of query rows to their own rows of ids, by differences, so that far and tight clusters
+        keep their digits; missing ids are infinitely far."""
+        apart = self.points[np.maximum(ids, 0)] - queries[:, None, :]
+        return np.where(ids < 0, np.inf, np.einsum("qkd,qkd->qk", apart, apart))
+
+    def _reached(self) -> np.ndarray:
+        """Which points the start leads to."""
+        seen = np.zeros(len(self.points), bool)
+        front = np.array([self.start])
+        while len(front):
+            seen[front] = True
+            front = np.unique(self.edges[front])
+            front = front[front >= 0]
+            front = front[~seen[front]]
+        return seen
+
+    def _connect(self, beam: int, spare: int = 4) -> None:
+        """Pruning may cut points off: each gets an edge, in a place of its own, from the nearest that is reached and has one left."""
+        if not len(self.points):
+            return
+        self.edges = np.concatenate([self.edges, np.full((len(self.points), spare), -1, np.int32)], axis=1)
+        while len(lost := np.flatnonzero(~self._reached())):
+            node = lost[0]
+            near = self.search(self.points[[node]], beam)[0][0]
+            near = near[near >= 0]
+            room = (self.edges[near] < 0).any(1)
+            while not room.any():  # all of the beam are full: more places for every point
+                self.edges = np.concatenate([self.edges, np.full((len(self.points), spare), -1, np.int32)], axis=1)
+                room[:] = True
+            host = near[int(np.argmax(room))]
+            self.edges[host, int(np.argmax(self.edges[host] < 0))] = node
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, squared distances), nearest first, of the beams after greedy search from the start; -1 fills up."""
-        q = np.ascontiguousarray(queries, np.float32)
+        q = np.ascontiguousarray(queries, np.float64)
         m, n = len(q), len(self.points)
         ids = np.full((m, beam), -1, np.int64)
-        dist = np.full((m, beam), np.inf, np.float32)
+        dist = np.full((m, beam), np.inf)
         ids[:, 0] = self.start
         dist[:, 0] = self.distances(q, ids[:, :1])[:, 0]
         done = np.zeros((m, beam), bool)
@@ -142,22 +169,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     `degree` and `beam`. Equal vectors count as one point of a graph: among them only the k + 1 smallest ids
     can be in any answer, and those are found before the shuffle by a grouped limit.
 
-    Vectors that are null, empty, zero or hold null or non-finite components take no part; all others must
-    have one length. Rows that repeat an id with the same vector count once; a null id takes no part.
+    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of
+    another length than most have (the greater of two lengths that are as frequent). Rows that repeat an id with the
+    same vector count once; a null id takes no part; other columns are not read; an empty table gives an empty result.
     """
     rows = vectors.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     asked = queries.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q")).distinct()
+    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
+    if length:
+        rows, asked = rows.filter(F.size("v") == length[0].n), asked.filter(F.size("q") == length[0].n)
     least = Window.partitionBy("v").orderBy("vec_id")
     few = rows.distinct().withColumn("place", F.row_number().over(least)).filter(F.col("place") <= k + 1)
     points = stash(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))  # at most k + 1 ids
     shards = max(1, -(-points.count() // shard_rows))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
 
-    def build(shard: pd.DataFrame) -> pd.DataFrame:
-        exact = np.stack(shard.v.to_list()).astype(np.float64)
-        graph = Graph(exact, degree, beam)
-        body = pickle.dumps((exact, [np.asarray(i, np.int64) for i in shard.ids], graph.edges, graph.start))
-        return pd.DataFrame({"shard": shard.shard[:1], "graph": [body]})
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A partition is one shard, which `shard_rows` bounds."""
+        held = list(batches)
+        for number, shard in pd.concat(held).groupby("shard") if held else ():
+            exact = np.stack(shard.v.to_list()).astype(np.float64)
+            graph = Graph(exact, degree, beam)
+            body = pickle.dumps((exact, [np.asarray(i, np.int64) for i in shard.ids], graph.edges, graph.start))
+            yield pd.DataFrame({"shard": [number], "graph": [body]})
 
     def beams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         exact, ids, graph = np.zeros((0, 0)), [], None
@@ -168,8 +202,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
                 if len(part) and part.graph.iloc[0] is not None:
                     exact, ids, edges, start = pickle.loads(part.graph.iloc[0])
                     graph = Graph.__new__(Graph)
-                    graph.points, graph.edges, graph.start = np.ascontiguousarray(exact, np.float32), edges, start
-                    graph.norms = (graph.points**2).sum(1)
+                    graph.points, graph.edges, graph.start = exact, edges, start
                     part = part.iloc[1:]
                 for i in range(0, len(part), 256):
                     some = part.iloc[i : i + 256]
@@ -181,10 +214,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
                         out += [(int(query_id), int(v), float(d[o])) for o in np.argsort(d, kind="stable")[: k + 1] for v in ids[near[o]] if v != query_id]
                     yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    graphs = stash(dealt.groupBy("shard").applyInPandas(build, "shard int, graph binary"))
+    graphs = stash(dealt.repartitionById(shards, F.col("shard")).mapInPandas(build, "shard int, graph binary"))
     copies = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query_id", "q")
     both = graphs.select("shard", "graph", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("q")).unionByName(copies.withColumn("graph", F.lit(None).cast("binary")))
-    streamed = both.repartition("shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
+    streamed = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
     near = streamed.mapInPandas(beams, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

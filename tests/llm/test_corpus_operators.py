@@ -343,6 +343,29 @@ def test_neighbours_recall_and_ties(spark):
     assert ann.search(table.limit(0), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1, 100])
+def test_neighbours_in_tight_clusters_far_away(spark, scale):
+    rng = np.random.default_rng(5)
+    v = (scale * rng.normal(size=(40, 16))[rng.integers(0, 40, 2000)] + 0.01 * rng.normal(size=(2000, 16))).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist(), "x") for i, x in enumerate(v)], "vec_id long, embedding array<float>, rank string")
+    got = ann.search(table, table.filter("vec_id % 100 = 0")).toPandas()
+    hit = 0
+    for q in range(0, 2000, 100):
+        d = ((v.astype(float) - v[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
+    assert hit / 200 >= 0.95
+
+
+def test_small_graphs_lose_no_point_and_odd_lengths_take_no_part(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        graph = ann.Graph(rng.normal(size=(60, 3)) ** 3, degree=6)
+        assert graph._reached().all() and sorted(graph.search(graph.points[:1], 96)[0][0][:60]) == list(range(60))
+    table = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(5)] + [(7, [1.0]), (8, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    assert ann.search(table, table).select("query_id").distinct().count() == 5
+
+
 # --- SimHash
 
 
