@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import tempfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,23 +116,30 @@ def stream(t):
     return t.spark.readStream.schema(kind).parquet(f"{t.sf_dir}/{EVENTS}").withColumn("ts", C("ts").cast("timestamp"))
 
 
+#: Rules are dealt to all event types in turn.
+CYCLE = ((">", 90.0), ("<", 1.0), (">=", 95.0), ("!=", 1000.0))
+
+
 def _rules(t):
-    types = [x[0] for x in t.events.select("event_type").distinct().orderBy("event_type").limit(4).collect()]
-    return t.spark.createDataFrame([(f"r{i}", k, o, v) for i, (k, o, v) in enumerate(zip(types, (">", "<", ">=", "!="), (90.0, 1.0, 95.0, 1000.0), strict=False))], "rule string, key string, operator string, threshold double")
+    """A rule for each event type; the types are a handful, whatever the number of events."""
+    number = F.row_number().over(Window.orderBy("event_type")) - 1
+    dealt = F.array(*[F.struct(F.lit(o).alias("operator"), F.lit(v).alias("threshold")) for o, v in CYCLE])
+    types = t.events.select("event_type").distinct().withColumn("i", number).withColumn("rule_", F.get(dealt, (F.col("i") % len(CYCLE)).cast("int")))
+    return types.select(F.concat(F.lit("r"), C("i")).alias("rule"), C("event_type").alias("key"), "rule_.operator", "rule_.threshold")
 
 
-RULES = "(SELECT event_id, ts, 'r' || (i - 1) AS rule FROM events JOIN (SELECT event_type AS k, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events)) ON event_type = k WHERE (i = 1 AND value > 90) OR (i = 2 AND value < 1) OR (i = 3 AND value >= 95) OR (i = 4 AND value <> 1000))"
-_n = iter(range(10**9))
+RULES = "(SELECT event_id, ts, 'r' || (i - 1) AS rule FROM events JOIN (SELECT event_type AS k, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events)) ON event_type = k WHERE (i % 4 = 1 AND value > 90) OR (i % 4 = 2 AND value < 1) OR (i % 4 = 3 AND value >= 95) OR (i % 4 = 0 AND value <> 1000))"
 
 
-def _run(t, df, mode="append"):
-    return jobs.run_once(df, f"stream_{next(_n)}_{next(tempfile._get_candidate_names())}", shared(t) + "/c", mode)
+def _run(t, df, keys=None):
+    base = shared(t)
+    return jobs.run_updates(df, base + "/out", base + "/state", keys) if keys else jobs.run_once(df, base + "/out", base + "/state")
 
 
 query("stm_01_alerts", f"SELECT event_id, rule FROM {RULES}")(lambda t: _run(t, jobs.alerts(stream(t).select("event_id", "event_type", "value", "ts"), _rules(t), "event_type", "value").select("event_id", "rule")))
 query("stm_02_throttled", f"SELECT rule, CAST(count(DISTINCT date_trunc('day', ts)) AS BIGINT) AS n FROM {RULES} GROUP BY 1")(lambda t: _run(t, jobs.throttled(jobs.alerts(stream(t).select("event_id", "event_type", "value", "ts"), _rules(t), "event_type", "value"), "daily").select("rule", "alert_period")).groupBy("rule").agg(one().alias("n")))
-query("stm_03_metric", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS h, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(lambda t: _run(t, jobs.metric(stream(t), "ts", "1 hour", ["event_type"], "value"), "complete").select(F.date_format("window_start", "yyyy-MM-dd HH").alias("h"), "event_type", "n", F.round("total", 4).alias("total")))
-query("stm_04_breaches", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS d, event_type, CAST(count(*) AS BIGINT) AS items, CAST(count(*) FILTER (WHERE value > 90) AS BIGINT) AS breaches FROM events GROUP BY 1, 2")(lambda t: _run(t, jobs.breaches(stream(t), "ts", "1 day", ["event_type"], "value", 90.0), "complete").select(F.date_format("window_start", "yyyy-MM-dd").alias("d"), "event_type", "items", "breaches"))
+query("stm_03_metric", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS h, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(lambda t: _run(t, jobs.metric(stream(t), "ts", "1 hour", ["event_type"], "value"), ["window_start", "event_type"]).select(F.date_format("window_start", "yyyy-MM-dd HH").alias("h"), "event_type", "n", F.round("total", 4).alias("total")))
+query("stm_04_breaches", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS d, event_type, CAST(count(*) AS BIGINT) AS items, CAST(count(*) FILTER (WHERE value > 90) AS BIGINT) AS breaches FROM events GROUP BY 1, 2")(lambda t: _run(t, jobs.breaches(stream(t), "ts", "1 day", ["event_type"], "value", 90.0), ["window_start", "event_type"]).select(F.date_format("window_start", "yyyy-MM-dd").alias("d"), "event_type", "items", "breaches"))
 
 
 def _load(t):

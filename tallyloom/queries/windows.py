@@ -32,8 +32,8 @@ V("win_06_count", lambda: T.window("count", S, "v"), "CAST(count(v) OVER (PARTIT
 V("win_07_median", lambda: r(T.window("median", S, "n", first=-4, last=0), 4), f"round(median(n) OVER ({O} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4)")
 V("win_08_stdev", lambda: r(T.window("stdev", S, "n"), 4), "round(stddev_samp(n) OVER (PARTITION BY p), 4)")
 V("win_09_stdevp", lambda: r(T.window("stdevp", S, "n"), 4), "round(stddev_pop(n) OVER (PARTITION BY p), 4)")
-V("win_10_var", lambda: r(T.window("var", S, "n"), 3), "round(var_samp(n) OVER (PARTITION BY p), 3)")
-V("win_11_varp", lambda: r(T.window("varp", S, "n"), 3), "round(var_pop(n) OVER (PARTITION BY p), 3)")
+V("win_10_var", lambda: r(T.window("var", S, "n"), 7), "round(var_samp(n) OVER (PARTITION BY p), 7)")
+V("win_11_varp", lambda: r(T.window("varp", S, "n"), 7), "round(var_pop(n) OVER (PARTITION BY p), 7)")
 V("win_12_percentile", lambda: r(T.window_percentile(S, "n", 0.25), 4), "round(quantile_cont(n, 0.25) OVER (PARTITION BY p), 4)")
 V("win_13_corr", lambda: r(T.window("corr", S, "n", "v"), 4), "round(corr(n, v) OVER (PARTITION BY p), 4)")
 V("win_14_covar", lambda: r(T.window("covar", S, "n", "v"), 0), "round(covar_samp(n, v) OVER (PARTITION BY p), 0)")

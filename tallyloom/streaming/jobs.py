@@ -51,7 +51,20 @@ def load_new(spark: SparkSession, source: str, target: str, checkpoint: str, sch
     rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and give the result as a table of the session."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all that is there, append what it gives to a Parquet table, and read that table."""
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(target)
+
+
+def run_updates(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Run an aggregating stream over all that is there; each batch's changed groups go to a Parquet table, the last
+    version of a group is its result. Nothing but the groups' rows is written, and none of them by the driver."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch_", F.lit(batch)).write.mode("append").parquet(target)
+
+    stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    last = stream.sparkSession.read.parquet(target).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_").alias("last_"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"last_.`{c}`") for c in stream.columns])
