@@ -71,28 +71,47 @@ def forecast(df: DataFrame, period: str, value: str, ahead: int, groups: list[st
     return steps.select(*groups, period, at.alias("forecast"), (at - z * F.col("\0sd")).alias("low"), (at + z * F.col("\0sd")).alias("high"))
 
 
-def holt_winters(df: DataFrame, period: str, value: str, ahead: int, group: str, season: int = 12, alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.2) -> DataFrame:
-    """Additive Holt-Winters for each series of `group`, a series in one task; shorter than two seasons: no season."""
+def holt_winters(df: DataFrame, period: str, value: str, ahead: int, group: str, season: int = 12, alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.2, ignore_last: int = 0, confidence: float = 0.95, kind: str = "additive") -> DataFrame:
+    """Holt-Winters for each series of `group`, a series in one task: (group, period, forecast, low, high).
+
+    kind: seasons that add or that multiply ("multiplicative"); a series shorter than two seasons has none. The last
+    `ignore_last` periods are left out and forecast too. low and high are the prediction interval at `confidence`,
+    from the errors of the one-step forecasts and the weights with which they carry on.
+    """
+    times, z = kind == "multiplicative", NormalDist().inv_cdf(0.5 + confidence / 2)
 
     def run(series: pd.DataFrame) -> pd.DataFrame:
         series = series.sort_values(period)
+        steps = ahead + ignore_last
+        series = series.iloc[: max(len(series) - ignore_last, 1)]
         y = series[value].astype(float).tolist()
         m = season if len(y) >= 2 * season else 1
         trend_ = (sum(y[m : 2 * m]) - sum(y[:m])) / m / m if len(y) >= 2 * m else 0.0
         middle = sum(y[:m]) / m
-        seasonal = [v - middle - trend_ * (i - (m - 1) / 2) for i, v in enumerate(y[:m])] if m > 1 else [0.0]
-        level_ = middle - trend_ * (m + 1) / 2
+        plain = [middle + trend_ * (i - (m - 1) / 2) for i in range(m)]
+        neutral = 1.0 if times else 0.0
+        seasonal = [(v / p if p else 1.0) if times else v - p for v, p in zip(y, plain, strict=False)] if m > 1 else [neutral]
+        level_, errors = middle - trend_ * (m + 1) / 2, []
         for i, v in enumerate(y):
-            before = level_
-            level_ = alpha * (v - seasonal[i % m]) + (1 - alpha) * (level_ + trend_)
+            before, s = level_, seasonal[i % m]
+            errors.append(v - ((before + trend_) * s if times else before + trend_ + s))
+            level_ = alpha * ((v / s if s else v) if times else v - s) + (1 - alpha) * (before + trend_)
             trend_ = beta * (level_ - before) + (1 - beta) * trend_
             if m > 1:
-                seasonal[i % m] = gamma * (v - level_) + (1 - gamma) * seasonal[i % m]
-        last = int(series[period].iloc[-1])
-        return pd.DataFrame({group: [series[group].iloc[0]] * ahead, period: [last + i for i in range(1, ahead + 1)], "forecast": [level_ + i * trend_ + seasonal[(len(y) + i - 1) % m] for i in range(1, ahead + 1)]})
-
-    kind = dict(df.dtypes)[group]
-    return df.select(group, F.col(period).cast("long").alias(period), F.col(value).cast("double").alias(value)).groupBy(group).applyInPandas(run, f"`{group}` {kind}, `{period}` long, forecast double")
+                seasonal[i % m] = gamma * ((v / level_ if level_ else 1.0) if times else v - level_) + (1 - gamma) * s
+        sd = (sum(e * e for e in errors[m:]) / max(len(errors) - m, 1)) ** 0.5
+        last, out, spread = int(series[period].iloc[-1]), [], 1.0
+        for i in range(1, steps + 1):
+            s = seasonal[(len(y) + i - 1) % m]
+            at = (level_ + i * trend_) * s if times else level_ + i * trend_ + s
+            half = z * sd * spread**0.5
+            out.append((series[group].iloc[0], last + i, at, at - half, at + half))
+            carried = alpha * (1 + i * beta) + (gamma * (1 - alpha) if m > 1 and i % m == 0 else 0.0)
+            spread += carried * carried
+        return pd.DataFrame(out, columns=[group, period, "forecast", "low", "high"])
+
+    type_ = dict(df.dtypes)[group]
+    return df.select(group, F.col(period).cast("long").alias(period), F.col(value).cast("double").alias(value)).groupBy(group).applyInPandas(run, f"`{group}` {type_}, `{period}` long, forecast double, low double, high double")
 
 
 def clusters(df: DataFrame, variables: list[str], k: int | None = None, seed: int = 7, most: int = 6) -> DataFrame:

@@ -81,12 +81,15 @@ def combined(names: list[str], new: str, separator: str = ", ") -> Step:
 def index(new: str, order_by: list[str], start: int = 1, step: int = 1) -> Step:
     """Number the rows in order, over many tasks: sort by range, number within partitions, add the sizes before.
 
-    The partition sizes, one number for each, are all that the driver or a broadcast sees.
+    The rows with their places are written once to the session's shared folder, so that sizes and numbers come from
+    the same partitions whatever Spark recomputes. The partition sizes, one number for each, are all that the driver
+    or a broadcast sees.
     """
+    from .lineage import settled
 
     def run(df: DataFrame) -> DataFrame:
         ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-        marked = ranged.withColumn("\0part", F.spark_partition_id()).withColumn("\0row", F.monotonically_increasing_id())
+        marked = settled(ranged.withColumn("\0part", F.spark_partition_id()).withColumn("\0row", F.monotonically_increasing_id()))
         within = F.col("\0row") - F.col("\0part").cast("long") * (1 << 33)
         sizes = marked.groupBy("\0part").agg(F.max(within).alias("\0last"))
         before = Window.orderBy("\0part").rowsBetween(Window.unboundedPreceding, -1)

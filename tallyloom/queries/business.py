@@ -81,7 +81,13 @@ query("anl_05_iqr_band", "SELECT p_partkey, round((SELECT quantile_cont(p_retail
 query("anl_06_confidence", "SELECT p_partkey, round(avg(p_retailprice) OVER w - 1.959963984540054 * stddev_samp(p_retailprice) OVER w / sqrt(count(p_retailprice) OVER w), 4) AS band_low FROM part WINDOW w AS (PARTITION BY p_brand)")(lambda t: analytics.confidence_band(parts(t), "p_retailprice", ["p_brand"]).select("p_partkey", F.round("band_low", 4).alias("band_low")))
 query("anl_07_trend", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1")(lambda t: analytics.trend(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), "n"))
 query("anl_08_power_trend", "SELECT l_returnflag, round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 6) AS slope FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 GROUP BY 1")(lambda t: analytics.trend(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"], "power").select("l_returnflag", F.round("slope", 6).alias("slope")))
-query("anl_09_parabola")(lambda t: analytics.parabola(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"]))
+PARABOLA = """WITH s AS (SELECT l_returnflag, count(*)::DOUBLE AS a, sum(x) AS b, sum(x * x) AS c, sum(x * x * x) AS d, sum(x * x * x * x) AS e, sum(y) AS t, sum(x * y) AS u, sum(x * x * y) AS v
+  FROM (SELECT l_returnflag, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem) GROUP BY 1),
+m AS (SELECT *, a * (c * e - d * d) - b * (b * e - c * d) + c * (b * d - c * c) AS w FROM s)
+SELECT l_returnflag, round((t * (c * e - d * d) - u * (b * e - c * d) + v * (b * d - c * c)) / w, 2) AS c0,
+       round((a * (u * e - v * d) - b * (t * e - v * c) + c * (t * d - u * c)) / w, 3) AS c1,
+       round((a * (c * v - d * u) - b * (b * v - d * t) + c * (b * u - c * t)) / w, 5) AS c2 FROM m"""
+query("anl_09_parabola", PARABOLA)(lambda t: analytics.parabola(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", r(C("c0"), 2).alias("c0"), r(C("c1"), 3).alias("c1"), r(C("c2"), 5).alias("c2")))
 query("anl_10_r2", "SELECT l_returnflag, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")(lambda t: analytics.trend(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", F.round("r2", 6).alias("r2")))
 
 
@@ -90,7 +96,7 @@ def MONTHS():
 
 
 query("anl_11_forecast", "WITH s AS (SELECT o_orderpriority AS p, year(o_orderdate) * 12 + month(o_orderdate) AS x, CAST(count(*) AS DOUBLE) AS y FROM orders GROUP BY 1, 2), l AS (SELECT p, max(x) AS m FROM s GROUP BY 1), f AS (SELECT s.p, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, any_value(m) AS m FROM s JOIN l ON s.p = l.p WHERE x <= m - 1 GROUP BY 1) SELECT p, CAST(m - 1 + i AS INT) AS x, round(a + b * (m - 1 + i), 4) AS forecast FROM f, (SELECT unnest([1, 2, 3, 4]) AS i)")(lambda t: analytics.forecast(t.orders.groupBy(C("o_orderpriority").alias("p"), MONTHS().alias("x")).agg(one().cast("double").alias("y")), "x", "y", 3, ["p"], ignore_last=1).select("p", C("x").cast("int").alias("x"), F.round("forecast", 4).alias("forecast")))
-query("anl_11_holt_winters")(lambda t: analytics.holt_winters(t.orders.groupBy(C("o_orderpriority").alias("p"), MONTHS().alias("x")).agg(one().cast("double").alias("y")), "x", "y", 6, "p"))
+query("anl_11_holt_winters")(lambda t: analytics.holt_winters(t.orders.groupBy(C("o_orderpriority").alias("p"), MONTHS().alias("x")).agg(one().cast("double").alias("y")), "x", "y", 6, "p", ignore_last=1))
 query("anl_12_clusters")(lambda t: analytics.clusters(t.part.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 4))
 query("anl_13_histogram", "SELECT CAST(floor(o_totalprice / 25000) * 25000 AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")(lambda t: analytics.histogram(t.orders, "o_totalprice", 25000).select(C("bin").cast("long").alias("bin"), "n"))
 

@@ -93,7 +93,7 @@ query("srt_05_bottom", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_t
 query("srt_06_top_per_group", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")(lambda t: t.orders.transform(sorting.top_per_group(2, ["o_custkey"], "-o_totalprice", "o_orderkey")).select("o_custkey", "o_orderkey"))
 query("srt_07_skip", "SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey OFFSET 100")(lambda t: t.orders.transform(sorting.skip(100, "o_orderdate", "o_orderkey")).select("o_orderkey"))
 query("srt_08_remove_last", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC OFFSET 50")(lambda t: t.orders.transform(sorting.remove_last(50, "o_orderdate", "o_orderkey")).select("o_orderkey"))
-query("srt_09_sample")(lambda t: t.lineitem.transform(sorting.sample(0.1, "l_orderkey")).select("l_orderkey", "l_linenumber"))
+query("srt_09_sample", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE ('0x' || substr(md5('0:' || l_orderkey), 1, 8))::BIGINT % 1000000 < 100000")(lambda t: t.lineitem.transform(sorting.sample(0.1, "l_orderkey")).select("l_orderkey", "l_linenumber"))
 query("srt_10_by_column", "SELECT monthname(o_orderdate) AS m, CAST(min(month(o_orderdate)) AS BIGINT) AS sort_key FROM orders GROUP BY 1")(lambda t: t.orders.select(F.date_format("o_orderdate", "MMMM").alias("m"), F.month("o_orderdate").cast("long").alias("n")).transform(sorting.sort_by_column("m", "n")))
 
 

@@ -129,6 +129,10 @@ def test_analytics_without_sql(spark, data):
     series = spark.createDataFrame([("s", i, float(10 + i + 5 * math.sin(i * math.pi / 6))) for i in range(72)], "g string, t long, y double")
     got = [r.forecast for r in analytics.holt_winters(series, "t", "y", 12, "g").orderBy("t").collect()]
     assert np.abs(np.array(got) - [10 + i + 5 * math.sin(i * math.pi / 6) for i in range(72, 84)]).max() < 1.5
+    for kind in ("additive", "multiplicative"):
+        rows = analytics.holt_winters(series, "t", "y", 6, "g", ignore_last=6, kind=kind).orderBy("t").collect()
+        assert [r.t for r in rows] == list(range(66, 78)) and all(r.low < r.forecast < r.high for r in rows)
+        assert rows[-1].high - rows[-1].low > rows[0].high - rows[0].low
     blobs = spark.createDataFrame([(float(c * 20 + rng.normal()), float(c * 20 + rng.normal())) for c in range(3) for _ in range(40)], "a double, b double")
     assert analytics.clusters(blobs, ["a", "b"]).select("cluster").distinct().count() == 3
     rows = QUERIES["srt_09_sample"](spark, data).count()
