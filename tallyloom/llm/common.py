@@ -28,12 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Spark deletes a query's shuffle files as soon as the query is done, instead of when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+    """Write `df` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    Nothing reads the shuffles behind a written table again, so their files go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._stashed = path
     return out
