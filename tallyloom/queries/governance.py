@@ -208,6 +208,18 @@ def _json(t):
 query("src_03_json", CUST_SQL)(_json)
 
 
+def _json_list(t):
+    """One file for each ten thousand keys, a list of its records."""
+    path = shared(t)
+    record = F.struct("c_custkey", "c_name", "c_acctbal")
+    lists = _cust(t).groupBy(F.floor(C("c_custkey") / 10_000).alias("part")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    lists.write.partitionBy("part").text(path)
+    return readers.json(t.spark, path, CUST, multi_line=True).drop("part")
+
+
+query("src_03_json_list", CUST_SQL)(_json_list)
+
+
 def _geojson(t):
     path = shared(t)
     point = F.struct(F.lit("Point").alias("type"), F.array(C("n_nationkey").cast("double"), C("n_regionkey").cast("double")).alias("coordinates"))
@@ -235,15 +247,33 @@ def _wildcard(t):
 
 
 query("src_06_wildcard", CUST_SQL)(_wildcard)
-query("src_07_object_store", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(lambda t: readers.stored(t.spark, f"{t.sf_dir}/nation.parquet"))
+query("src_07_object_store", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")(lambda t: readers.stored(t.spark, f"{t.sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice"))
+
+
+def _jdbc(t):
+    """Written, and read back in four key ranges with the filter in the database.
+
+    The database is embedded in a local session; on a cluster spark.tallyloom.jdbc.database must name one that every
+    executor reaches.
+    """
+    name = f"customer_{next(tempfile._get_candidate_names())}".replace("-", "_")
+    where = {"kind": "derby", "host": "", "database": t.spark.conf.get("spark.tallyloom.jdbc.database", "memory:tallyloom;create=true"), "table": name}
+    writers.save_jdbc(_cust(t), types="c_name VARCHAR(200)", **where)
+    ends = _cust(t).agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    split = ("c_custkey", ends[0] or 0, (ends[1] or 0) + 1, 4)
+    return readers.jdbc(t.spark, split=split, **where).filter("c_acctbal > 0")
+
+
+query("src_08_jdbc", CUST_SQL + " WHERE c_acctbal > 0")(_jdbc)
 
 
 def _catalog(t):
-    readers.publish(t.nation, "published_nation")
-    return readers.catalog(t.spark, "published_nation")
+    name = f"catalog_{next(tempfile._get_candidate_names())}".replace("-", "_")
+    writers.save_table(_cust(t), name)
+    return readers.catalog(t.spark, f"spark_catalog.default.{name}")
 
 
-query("src_10_catalog", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(_catalog)
+query("src_10_catalog", CUST_SQL)(_catalog)
 
 
 def _custom(t):
@@ -255,17 +285,26 @@ query("src_12_custom_sql", "SELECT c_custkey, c_acctbal FROM customer WHERE c_ac
 query("src_13_extract", "SELECT o_orderkey, o_totalprice FROM orders")(lambda t: readers.extract(t.spark, f"{t.sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice"))
 query("src_14_inline", "SELECT n_nationkey, label FROM nation JOIN (VALUES (0, 'zero'), (1, 'one')) v(k, label) ON n_regionkey = k")(lambda t: t.nation.join(readers.inline(t.spark, [(0, "zero"), (1, "one")], {"k": "integer", "label": "string"}), C("n_regionkey") == C("k")).select("n_nationkey", "label"))
 query("src_15_guarded", "SELECT c_custkey, c_name, c_acctbal FROM customer")(lambda t: readers.guarded(t.spark, lambda: readers.extract(t.spark, f"{t.sf_dir}/no_such_table.parquet"), CUST).unionByName(_cust(t)))
+
+
+def _permissive(t):
+    path = shared(t)
+    writers.save_csv(_cust(t).withColumn("c_custkey", F.when(C("c_custkey") % 10 == 0, "none").otherwise(C("c_custkey").cast("string"))), path)
+    return readers.permissive(t.spark, path, CUST).withColumn("broken", C("_corrupt_record").isNotNull()).drop("_corrupt_record")
+
+
+query("src_15_permissive", "SELECT CASE WHEN c_custkey % 10 <> 0 THEN c_custkey END AS c_custkey, c_name, c_acctbal, c_custkey % 10 = 0 AS broken FROM customer")(_permissive)
 query("src_16_typed", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, try_cast(o_orderstatus AS BIGINT) AS o_orderstatus FROM orders")(lambda t: readers.typed(t.orders, {"o_orderkey": "integer", "o_custkey": "string", "o_orderstatus": "integer"}))
 query("src_17_published", "SELECT CAST(count(*) AS BIGINT) AS n FROM orders")(lambda t: (readers.publish(t.orders, "published_orders"), readers.catalog(t.spark, "published_orders").agg(one().alias("n")))[1])
 
 
 def _table(t):
     name = f"saved_{next(tempfile._get_candidate_names()).replace('-', '_')}"
-    writers.save_table(t.nation, name)
+    writers.save_table(_cust(t), name)
     return t.spark.table(name)
 
 
-query("snk_01_table", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(_table)
+query("snk_01_table", CUST_SQL)(_table)
 
 
 def _ddl(t):

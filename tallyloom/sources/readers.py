@@ -56,7 +56,7 @@ JDBC = {
     "sqlserver": "jdbc:sqlserver://{host}:{port};databaseName={database}", "azuresql": "jdbc:sqlserver://{host}:{port};databaseName={database};encrypt=true", "synapse": "jdbc:sqlserver://{host}:{port};databaseName={database};encrypt=true",
     "postgresql": "jdbc:postgresql://{host}:{port}/{database}", "mysql": "jdbc:mysql://{host}:{port}/{database}", "oracle": "jdbc:oracle:thin:@//{host}:{port}/{database}", "redshift": "jdbc:redshift://{host}:{port}/{database}",
     "teradata": "jdbc:teradata://{host}/DATABASE={database},DBS_PORT={port}", "saphana": "jdbc:sap://{host}:{port}/?databaseName={database}", "vertica": "jdbc:vertica://{host}:{port}/{database}", "impala": "jdbc:impala://{host}:{port}/{database}",
-    "presto": "jdbc:presto://{host}:{port}/{database}", "trino": "jdbc:trino://{host}:{port}/{database}", "athena": "jdbc:athena://AwsRegion={host};Database={database}", "db2": "jdbc:db2://{host}:{port}/{database}",
+    "presto": "jdbc:presto://{host}:{port}/{database}", "trino": "jdbc:trino://{host}:{port}/{database}", "athena": "jdbc:athena://AwsRegion={host};Database={database}", "db2": "jdbc:db2://{host}:{port}/{database}", "derby": "jdbc:derby:{database}",
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from .readers import TYPES
+from .readers import TYPES, jdbc_options
 
 
 def save_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
@@ -26,6 +26,12 @@ def save_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def save_jdbc(df: DataFrame, kind: str, types: str | None = None, mode: str = "overwrite", **where) -> None:
+    """Write to a table of a database, each partition over its own connection; `types` are SQL types by column."""
+    writer = df.write.format("jdbc").mode(mode).options(**jdbc_options(kind, **where))
+    (writer.option("createTableColumnTypes", types) if types else writer).save()
+
+
 def save_outputs(outputs: dict[str, tuple[DataFrame, str, str]], shared: list[DataFrame] = ()) -> None:
     """Write each named output as (frame, kind, target): parquet, csv, table or view. Shared frames are computed once."""
     for df in shared:

@@ -180,10 +180,24 @@ def test_option_builders():
     assert readers.jdbc_options("postgresql", "h", "d", "t", port=5432, split=("id", 0, 100, 8)) == {"url": "jdbc:postgresql://h:5432/d", "dbtable": "t", "partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "8"}
     assert readers.jdbc_options("oracle", "h", "d", query="select 1", port=1521)["query"] == "select 1"
     assert readers.connector_options("bigquery", "p.d.t", parentProject="p") == ("bigquery", {"table": "p.d.t", "parentProject": "p"})
-    assert set(readers.JDBC) >= {"sqlserver", "postgresql", "mysql", "oracle", "azuresql", "synapse", "redshift", "teradata", "saphana", "vertica", "impala", "presto", "trino", "athena", "db2"}
+    assert set(readers.JDBC) >= {"sqlserver", "postgresql", "mysql", "oracle", "azuresql", "synapse", "redshift", "teradata", "saphana", "vertica", "impala", "presto", "trino", "athena", "db2", "derby"}
     assert "`a` BIGINT NOT NULL" in writers.ddl("t", {"a": "integer"}, {"a"})
 
 
+def test_jdbc_scan_is_split_and_filtered_by_the_database(spark):
+    rows = spark.range(100).selectExpr("id", "if(id % 2 = 0, id * 1.5D, null) as v", "concat('n', id) as name")
+    where = {"kind": "derby", "host": "", "database": "memory:library;create=true", "table": "scanned"}
+    writers.save_jdbc(rows, types="name VARCHAR(20)", **where)
+    read = readers.jdbc(spark, split=("id", 0, 100, 4), **where).filter("v > 30")
+    assert read.rdd.getNumPartitions() == 4
+    assert "PushedFilters: [*IsNotNull(v), *GreaterThan(v,30.0)]" in read._jdf.queryExecution().toString()
+    assert sorted(r.name for r in read.collect()) == sorted(f"n{i}" for i in range(22, 100, 2))
+    more = {**where, "table": None, "query": "SELECT COUNT(*) AS N FROM scanned"}
+    assert readers.jdbc(spark, **more).first()[0] == 100
+    writers.save_jdbc(rows.limit(0), types="name VARCHAR(20)", **where)
+    assert readers.jdbc(spark, **where).count() == 0
+
+
 def test_permissive_and_guarded(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,2\nx,3\n")
     rows = readers.permissive(spark, str(tmp_path / "x.csv"), {"a": "integer", "b": "integer"}).cache()
