@@ -76,32 +76,61 @@ def _valid(kind: str, found: Column) -> Column:
 
 
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
+#: Matches are numbered and placed in runs of this many, so that work grows with their number and not its square.
+RUN = 256
 
 
-def _spans(kind: str, text: Column) -> Column:
-    """The confirmed spans of one kind: code points from the pieces between the matches, then checks and score."""
-    pattern, must = PATTERNS[kind]
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # Matches with running start: each match begins after all pieces up to its own and all matches before it.
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("spans"))
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ends(sizes: Column) -> Column:
+    """Running sums of an array of integers."""
+
+    def sums(some: Column, start: Column) -> Column:
+        added = F.aggregate(some, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.slice(added, F.lit(2), F.size(some))
+
+    def placed(part: Column) -> Column:
+        totals = F.transform(part, lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x))
+        befores = F.aggregate(totals, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.flatten(F.zip_with(part, F.slice(befores, F.lit(1), F.size(part)), sums))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        return F.struct((start + F.length(x["text"])).alias("at"), F.when(_valid(kind, x["text"]), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), x["text"].alias("text"))))).otherwise(acc["spans"]).alias("spans"))
+    starts = lambda n: F.sequence(F.lit(1), n, F.lit(RUN))
+    return _let(sizes, lambda all_: _let(F.transform(starts(F.size(all_)), lambda at: F.slice(all_, at, F.lit(RUN))), placed))
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("text")))
-    confirmed = F.aggregate(pairs, zero, step)["spans"]
 
-    def scored(s: Column) -> Column:
-        n = F.length(s["text"])
-        near = F.lower(F.concat(F.substring(text, F.greatest(s["start"] - REACH + 1, F.lit(1)), F.least(F.lit(REACH), s["start"])), F.lit(" "), F.substring(text, s["start"] + n + 1, F.lit(REACH))))
+def _spans(kind: str, text: Column) -> Column:
+    """The confirmed spans of one kind: code points from the pieces between the matches, then checks and score.
+
+    A match ends after all pieces up to its own and all matches so far. What stands within REACH characters of it
+    is in the REACH pieces and matches on either side, as each match has two characters or more.
+    """
+    pattern, must = PATTERNS[kind]
+
+    def confirmed(cut: Column) -> Column:
+        pieces, found = cut["pieces"], cut["found"]
+        sizes = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
+        # Both ends of each piece and match: windows of REACH characters never reach from one end into the other.
+        short = lambda x: F.when(F.length(x) > 2 * REACH, F.concat(F.left(x, F.lit(REACH)), F.right(x, F.lit(REACH)))).otherwise(x)
+        sides = F.zip_with(F.transform(pieces, short), F.transform(found, short), lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
+        rows = F.zip_with(F.zip_with(_ends(sizes), found, lambda e, m: F.struct(e.alias("end"), m.alias("match"))), F.sequence(F.lit(0), F.size(found) - 1), lambda s, i: F.struct(s["end"].alias("end"), s["match"].alias("match"), i.alias("i")))
+        return _let(sides, lambda beside: F.transform(F.filter(rows, lambda s: _valid(kind, s["match"])), lambda s: scored(beside, s)))
+
+    def scored(beside: Column, s: Column) -> Column:
+        first = F.greatest(s["i"] - REACH, F.lit(0))
+        left = F.concat(F.array_join(F.transform(F.slice(beside, first + 1, s["i"] - first), lambda b: F.concat(b["piece"], b["match"])), ""), F.get(beside, s["i"])["piece"])
+        right = F.array_join(F.transform(F.slice(beside, s["i"] + 2, F.lit(REACH)), lambda b: F.concat(b["piece"], F.coalesce(b["match"], F.lit("")))), "")
+        near = F.lower(F.concat(F.right(left, F.lit(REACH)), F.lit(" "), F.left(right, F.lit(REACH))))
         words = F.split(near, r"[^a-z0-9-]+")
         bonus = F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in CONTEXT[kind]])), BONUS).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + n).alias("end"), F.round(F.lit(PRIOR[kind]) + bonus, 3).alias("score"))
+        return F.struct(F.lit(kind).alias("kind"), (s["end"] - F.length(s["match"])).alias("start"), s["end"].alias("end"), F.round(F.lit(PRIOR[kind]) + bonus, 3).alias("score"))
 
+    cut = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     # Where no match is possible the expression is not evaluated at all.
     there = F.contains(text, F.lit(must)) if must else F.lit(True)
-    return F.when(there & text.rlike(pattern), F.transform(confirmed, scored)).otherwise(F.array().cast(SPAN))
+    return F.when(there & text.rlike(pattern), _let(cut, confirmed)).otherwise(F.array().cast(SPAN))
 
 
 def find_pii(docs: DataFrame, kinds: tuple[str, ...] = tuple(PATTERNS), text: str = "text") -> DataFrame:
@@ -110,7 +139,7 @@ def find_pii(docs: DataFrame, kinds: tuple[str, ...] = tuple(PATTERNS), text: st
     Positions count code points of the whole text, the end exclusive. Matches of one kind do not overlap and
     are taken leftmost first; one that fails its check is dropped and not retried. A null or empty text has
     none; a column of the name pii is replaced; rows are independent of each other, so ties, repeated rows
-    and empty tables need no rule.
+    and empty tables need no rule. Work grows with a text's length and its number of spans, not their product.
     """
     whole = text_of(text)
     found = docs.withColumns({f"pii_{k}_": _spans(k, whole) for k in kinds})
