@@ -11,8 +11,6 @@ from .common import stash, table, text_of
 MIN_CHARS = 20
 #: Variants are made within blocks of this many characters whose surroundings agree.
 BLOCK = 64
-#: A line counts as a copy if its edit similarity, 1 - distance / longer length, is at least this.
-SIMILARITY = 0.8
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,7 +49,7 @@ def _contexts(some: DataFrame) -> DataFrame:
     return some.withColumn("start", F.explode(starts)).select("at", "start", F.inline(roles))
 
 
-def near_links(some: DataFrame, similarity: float) -> DataFrame:
+def near_links(some: DataFrame) -> DataFrame:
     """(at, line, n) of different lines -> (at, of): each line's verified neighbours, one for each group it is in.
 
     Blocks whose surroundings another line shares emit their deletion variants as hashes: the block with one
@@ -76,15 +74,16 @@ def near_links(some: DataFrame, similarity: float) -> DataFrame:
     tail = lambda text, size: F.substring(text, F.col(size) - (F.least("n", "of_n") - F.least(F.least("n", "of_n"), F.col("start") + BLOCK)) + 1, F.col(size))
     equal = (F.substring("line", F.lit(1), F.col("start")) == F.substring("of_line", F.lit(1), F.col("start"))) & (tail(F.col("line"), "n") == tail(F.col("of_line"), "of_n"))
     one = F.levenshtein(part(F.col("line"), "n"), part(F.col("of_line"), "of_n")) == 1
-    return pairs.filter(equal & one & (1 - 1 / F.greatest("n", "of_n") >= similarity)).select("at", "of")
+    return pairs.filter(equal & one).select("at", "of")
 
 
-def near_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
+def near_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """Every line that has an earlier copy: (doc_id, line_no, of_doc, of_line, distance).
 
     Lines are in order of (doc_id, line_no), a null doc_id first. A line is a copy if an earlier one is equal to
-    it or, both having `min_chars` characters or more, one edit away (a character changed, added or left out)
-    and so at least `similarity` similar; (of_doc, of_line) is such a line, equal ones first, then the earliest.
+    it or, both having `min_chars` characters or more, one edit away (a character changed, added or left out), which
+    is a similarity of 0.95 or more; (of_doc, of_line) is such a line, equal ones first, then the earliest. The
+    bound is one at every length: a line of 400 characters with two changes is kept, similar as it is.
 
     Equal lines are grouped by 128 hash bits and a length. Of the different lines, those that share their first
     or last block with another go on to the deletion-neighbourhood join of `near_links`; this filter loses none.
@@ -102,7 +101,7 @@ def near_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     cut = texts.join(by_doc.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", F.split(text_of("text"), "\n").alias("all"), F.explode("wanted").alias("line_no"))
     line = F.trim(F.get("all", "line_no"))
     some = cut.select(F.struct("doc_id", "line_no").alias("at"), line.alias("line"), F.char_length(line).alias("n")).filter("line is not null").dropDuplicates(["at"])
-    near = near_links(stash(some), similarity).groupBy("at").agg(F.min("of").alias("of")).withColumnRenamed("at", "near_at")
+    near = near_links(stash(some)).groupBy("at").agg(F.min("of").alias("of")).withColumnRenamed("at", "near_at")
     # A near copy's own copies are equal to it, so that they have an earlier line too.
     gone = first.join(near, F.col("first") == F.col("near_at"), "left").filter("of is not null or first < last").select("h0", "h1", "n", "first", "of")
     all_lines = marked.select("h0", "h1", "n", "at").join(gone, ["h0", "h1", "n"])
@@ -112,7 +111,7 @@ def near_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     return found.select("at.doc_id", "at.line_no", F.col("of.doc_id").alias("of_doc"), F.col("of.line_no").alias("of_line"), "distance")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """All rows and columns of `docs`, the text without the lines that have an earlier copy, and three more columns.
 
     `lines_gone`, the number of lines left out; `lines_near`, how many of them were near copies only;
@@ -120,10 +119,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     Null texts stay null. See `near_lines` for what a copy is.
     """
     clash = {"lines_gone", "lines_near", "all_gone"} & set(docs.columns)
-    found = near_lines(docs, key, text, min_chars, similarity).distinct()
-    by_doc = found.groupBy(F.col("doc_id").alias("gone_doc")).agg(F.collect_set("line_no").alias("gone_lines"), F.sum("distance").alias("gone_near"))
+    found = near_lines(docs, key, text, min_chars).distinct()
+    by_doc = found.groupBy(F.col("doc_id").alias("gone_doc")).agg(F.array_sort(F.collect_set("line_no")).alias("gone_lines"), F.sum("distance").alias("gone_near"))
     rows = docs.drop(*clash).join(by_doc, F.col(key).cast("long").eqNullSafe(F.col("gone_doc")), "left") if clash else docs.join(by_doc, F.col(key).cast("long").eqNullSafe(F.col("gone_doc")), "left")
-    kept = F.expr(f"array_join(filter(split(`{text}`, '\\n'), (x, i) -> NOT array_contains(gone_lines, i)), '\n')")
+    # One flag a line, up to the last that goes; joining leaves out nulls.
+    befores = F.concat(F.array(F.lit(-1)), F.slice("gone_lines", F.lit(1), F.size("gone_lines") - 1))
+    flags = F.flatten(F.zip_with("gone_lines", befores, lambda at, before: F.concat(F.array_repeat(F.lit(False), at - before - 1), F.array(F.lit(True)))))
+    kept = F.array_join(F.zip_with(F.split(text, "\n"), flags, lambda line, gone: F.when(F.coalesce(gone, F.lit(False)), F.lit(None)).otherwise(line)), "\n")
     after = F.when(F.col("gone_lines").isNull(), F.col(text)).otherwise(kept)
     rows = rows.withColumn("after", after)
     out = [F.col("after").alias(c) if c == text else F.col(c) for c in docs.columns if c not in clash]

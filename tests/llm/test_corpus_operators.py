@@ -77,6 +77,12 @@ def test_line_dedup_matches_brute_force(spark):
     assert got == brute_lines(texts)
 
 
+def test_line_dedup_of_twenty_thousand_repeated_lines(spark):
+    lines = [f"line {i // 2}" for i in range(40_000)]
+    (row,) = line_dedup.dedup_lines(docs_of(spark, ["\n".join([*lines, "", "last"])])).collect()
+    assert row.text == "\n".join([*lines[::2], "", "last"]) and row.lines_gone == 20_000
+
+
 def test_line_dedup_odd_rows(spark):
     out = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, ODD)).collect()}
     assert out[0].text is None and out[4].text == ODD[4] and out[5].text == "" and out[5].all_gone and out[5].lines_gone == 2
@@ -182,6 +188,24 @@ def test_pii_matches_the_plain_patterns(spark):
         assert [(s.kind, s.start, s.end) for s in r.pii if s.kind in pii.BASE] == brute_spans(texts[r.doc_id]), texts[r.doc_id][:80]
 
 
+def test_pii_of_twenty_thousand_spans_in_one_text(spark):
+    text = "mail a@bc.de now, " * 20_000
+    (row,) = pii.find_pii(docs_of(spark, [text])).select("pii").collect()
+    assert [(s.start, s.end, s.score) for s in row.pii] == [(18 * i + 5, 18 * i + 12, 1.0) for i in range(20_000)]
+
+
+def test_pii_reads_context_from_forty_characters_on_either_side(spark):
+    far, near = "call " + "x " * 18, "call " + "x " * 17
+    texts = [far + "+12345678901", near + "+12345678901", "+12345678901" + " y" * 18 + " call", "+12345678901" + " y" * 17 + " call", "1@b.c " * 9 + "mail", "9@b.c"]
+    found = {r.doc_id: [s.score for s in r.pii] for r in pii.find_pii(docs_of(spark, texts)).collect()}
+    reach = lambda text, a, b: (text[max(a - pii.REACH, 0) : a] + " " + text[b : b + pii.REACH]).lower()
+    for i, text in enumerate(texts):
+        kind = "phone" if "+" in text else "email"
+        spans = [(a, b) for k, a, b in brute_spans(text) if k == kind]
+        words = [set(re.split(r"[^a-z0-9-]+", reach(text, a, b))) for a, b in spans]
+        assert found[i] == [round(pii.PRIOR[kind] + pii.BONUS * bool(w & set(pii.CONTEXT[kind])), 3) for w in words], text
+
+
 def test_pii_checksums_context_and_masks(spark):
     texts = ["Transfer to IBAN GB82 WEST 1234 5698 7654 32 today", "GB82 WEST 1234 5698 7654 33", "my ssn is 123-45-6789", "mail a@b.c!"]
     found = pii.find_pii(docs_of(spark, texts))
