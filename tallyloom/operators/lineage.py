@@ -72,18 +72,23 @@ def layers(edges: DataFrame, most: int = 1000) -> DataFrame:
 
 
 def chains(edges: DataFrame) -> DataFrame:
-    """(head, node, place) of linear chains: runs of nodes joined by edges that are the only way out and the only way in."""
+    """(head, node, place) of linear chains: runs of nodes joined by edges that are the only way out and the only way in.
+
+    Every round each node takes over the way its own furthest node knows, so that ways double. Rings have no head and no rows.
+    """
     e = edges.select("src", "dst").distinct()
     outs = e.groupBy("src").agg(F.count(F.lit(1)).alias("o"))
     ins = e.groupBy("dst").agg(F.count(F.lit(1)).alias("i"))
     single = settled(e.join(outs, "src").join(ins, "dst").filter("o = 1 and i = 1").select("src", "dst"))
-    heads = single.join(single.select(F.col("dst").alias("src")), "src", "left_anti")
-    front = settled(heads.select(F.col("src").alias("head"), F.col("dst").alias("node"), F.lit(1).alias("place")))
-    out = heads.select(F.col("src").alias("head"), F.col("src").alias("node"), F.lit(0).alias("place")).unionByName(front)
-    while not front.isEmpty():
-        front = settled(front.join(single, F.col("node") == F.col("src")).select("head", F.col("dst").alias("node"), (F.col("place") + 1).alias("place")))
-        out = out.unionByName(front)
-    return out
+    ways = single.select(F.col("dst").alias("node"), F.col("src").alias("head"), F.lit(1).cast("long").alias("place"))
+    for _ in range(single.count().bit_length()):
+        further = ways.select(F.col("node").alias("head"), F.col("head").alias("far"), F.col("place").alias("more"))
+        moved = settled(ways.join(further, "head", "left").select("node", F.coalesce("far", "head").alias("head"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.col("far").isNotNull().alias("moved")))
+        ways = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            break
+    heads = single.join(single.select(F.col("dst").alias("src")), "src", "left_anti").select(F.col("src").alias("head"), F.col("src").alias("node"), F.lit(0).cast("long").alias("place"))
+    return heads.unionByName(ways.join(ways.select(F.col("node").alias("head")), "head", "left_anti"))
 
 
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:

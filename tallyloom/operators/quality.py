@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -120,28 +120,58 @@ def bigrams(x: Column) -> Column:
     return F.when(F.length(x) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2))))).otherwise(F.array(x))
 
 
+def characters(x: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(x, ""), lambda t: t != ""))
+
+
+def _matches(a: DataFrame, x: str, b: DataFrame, y: str, tokens, score, threshold: float) -> DataFrame:
+    """(left, right, score) of all pairs with a common token that score `threshold`, by their Jaccard index or as one name is inside the other.
+
+    Sets that are alike share one of their rarest tokens, of which only as many are joined as the threshold asks for; a name inside
+    another has its rarest token in common with it. Tokens are of letters and digits, two at most, so their ranks are
+    some 1,400 rows at any size.
+    """
+    side = lambda df, c: df.select(F.col(c).alias("name")).filter("name is not null").distinct().withColumn("n", normal_name(F.col("name"))).select("name", "n", F.explode(tokens(F.col("n"))).alias("token"))
+    sides = [side(a, x), side(b, y)]
+    counts = sides[0].select("token").unionAll(sides[1].select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
+    ranks = counts.select("token", F.row_number().over(Window.orderBy("seen", "token")).alias("rank"))
+
+    def ranked(df: DataFrame, name: str, short: str) -> DataFrame:
+        sets = df.join(F.broadcast(ranks), "token").groupBy("name", "n").agg(F.array_sort(F.collect_list("rank")).alias("t"))
+        return sets.select(F.col("name").alias(name), F.col("n").alias(short + "n"), F.col("t").alias(short + "t"))
+
+    l, r = ranked(sides[0], "left", "l"), ranked(sides[1], "right", "r")
+    # Pairs outgrow names by far: few small partitions of names must not become few tasks.
+    l = l.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), "left")
+    some = lambda t: F.slice(t, F.lit(1), (F.size(t) - F.ceil(F.size(t) * threshold - 1e-9) + 1).cast("int"))
+    token = lambda df, what: df.withColumn("token", F.explode(what))
+    rarest = lambda t: F.slice(t, 1, 1)
+    common = F.array_intersect("lt", "rt")
+    alike = token(l, some("lt")).join(token(r, some("rt")), "token").filter(F.size("rt").between(F.size("lt") * threshold - 1e-9, F.size("lt") / threshold + 1e-9))
+    within = token(l, rarest("lt")).join(token(r, F.col("rt")), "token").filter(F.contains("rn", "ln"))
+    around = token(l, F.col("lt")).join(token(r, rarest("rt")), "token").filter(F.contains("ln", "rn"))
+    # A pair that is alike counts at its rarest common token only.
+    once = alike.withColumn("common", common).filter(F.get("common", F.lit(0)) == F.col("token"))
+    pairs = once.unionByName(within.unionByName(around).withColumn("common", common))
+    scored = pairs.select("left", "right", score(F.size("common") / (F.size("lt") + F.size("rt") - F.size("common"))).cast("double").alias("score"))
+    return scored.filter(F.col("score") >= threshold).distinct()
+
+
 def fuzzy_match(a: DataFrame, x: str, b: DataFrame, y: str, threshold: float = 0.5) -> DataFrame:
     """(left, right, score) of names at least `threshold` alike.
 
     Equal normalised names score 1, one inside the other the ratio of lengths, others the Jaccard index of their
-    bigrams. Names without a common bigram score 0, so candidates come from a join on bigrams, counted per pair.
+    bigrams. Names without a common bigram score 0.
     """
-    side = lambda df, c, n: df.select(F.col(c).alias(n)).filter(F.col(n).isNotNull()).distinct().withColumn(n + "_n", normal_name(F.col(n))).withColumn(n + "_b", bigrams(F.col(n + "_n")))
-    l, r = side(a, x, "left"), side(b, y, "right")
-    shared = l.withColumn("g", F.explode("left_b")).join(r.withColumn("g", F.explode("right_b")), "g").groupBy("left", "right").agg(F.count(F.lit(1)).alias("common"), F.first("left_n").alias("ln"), F.first("right_n").alias("rn"), F.first(F.size("left_b")).alias("ls"), F.first(F.size("right_b")).alias("rs"))
     inside = F.contains("ln", "rn") | F.contains("rn", "ln")
-    score = F.when(F.col("ln") == F.col("rn"), 1.0).when(inside, F.least(F.length("ln"), F.length("rn")) / F.greatest(F.length("ln"), F.length("rn"))).otherwise(F.col("common") / (F.col("ls") + F.col("rs") - F.col("common")))
-    return shared.select("left", "right", score.cast("double").alias("score")).filter(F.col("score") >= threshold)
+    score = lambda jaccard: F.when(F.col("ln") == F.col("rn"), 1.0).when(inside, F.least(F.length("ln"), F.length("rn")) / F.greatest(F.length("ln"), F.length("rn"))).otherwise(jaccard)
+    return _matches(a, x, b, y, bigrams, score, threshold)
 
 
 def best_match(a: DataFrame, x: str, b: DataFrame, y: str, threshold: float = 0.7) -> DataFrame:
     """Each name's best partner: 1 if equal, 0.8 if one is inside the other, else the Jaccard index of characters."""
-    chars = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda t: t != ""))
-    l = a.select(F.col(x).alias("left")).distinct().withColumn("ln", normal_name(F.col("left")))
-    r = b.select(F.col(y).alias("right")).distinct().withColumn("rn", normal_name(F.col("right")))
-    pairs = l.withColumn("g", F.explode(chars(F.col("ln")))).join(r.withColumn("g", F.explode(chars(F.col("rn")))), "g").groupBy("left", "right", "ln", "rn").agg(F.count(F.lit(1)).alias("common"))
-    score = F.when(F.col("ln") == F.col("rn"), 1.0).when(F.contains("ln", "rn") | F.contains("rn", "ln"), 0.8).otherwise(F.col("common") / (F.size(chars(F.col("ln"))) + F.size(chars(F.col("rn"))) - F.col("common")))
-    scored = pairs.select("left", "right", score.cast("double").alias("score")).filter(F.col("score") >= threshold)
+    score = lambda jaccard: F.when(F.col("ln") == F.col("rn"), 1.0).when(F.contains("ln", "rn") | F.contains("rn", "ln"), 0.8).otherwise(jaccard)
+    scored = _matches(a, x, b, y, characters, score, threshold)
     return scored.groupBy("left").agg(F.min_by("right", F.struct(-F.col("score"), F.col("right"))).alias("right"), F.max("score").alias("score"))
 
 

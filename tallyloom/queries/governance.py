@@ -54,20 +54,39 @@ query("qlt_05_equivalence", EQ)(lambda t: _equivalence(t).select("k", "status"))
 query("qlt_06_report", f"SELECT CAST(count(*) FILTER (WHERE status = 'passed') AS BIGINT) AS passed, CAST(count(*) FILTER (WHERE status = 'failed') AS BIGINT) AS failed, CAST(count(*) FILTER (WHERE status = 'missing') AS BIGINT) AS missing, CAST(count(*) AS BIGINT) AS total, 'failed' AS overall FROM ({EQ})")(lambda t: quality.equivalence_report(_equivalence(t)))
 query("qlt_07_snapshot", "SELECT 'nation' AS \"table\", 'unchanged' AS status, CAST(count(*) AS BIGINT) AS old_rows, CAST(count(*) AS BIGINT) AS new_rows FROM nation UNION ALL SELECT 'orders', 'changed', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0)")(lambda t: quality.snapshot_diff(quality.snapshot({"nation": t.nation, "orders": t.orders}), quality.snapshot({"nation": t.nation, "orders": t.orders.filter("o_orderkey % 2 = 0")})))
 query("qlt_08_schema_drift", "SELECT 'orders' AS \"table\", c AS \"column\", a AS old_type, b AS new_type, s AS status FROM (VALUES ('o_custkey', 'bigint', 'string', 'type changed'), ('extra', NULL, 'int', 'added'), ('o_orderstatus', 'string', NULL, 'removed')) v(c, a, b, s) WHERE (SELECT count(*) FROM orders) > 0")(lambda t: quality.schema_drift(quality.schema_table({"orders": t.orders}), quality.schema_table({"orders": t.orders.withColumn("o_custkey", C("o_custkey").cast("string")).withColumn("extra", F.lit(1)).drop("o_orderstatus")})))
-query("qlt_09_fuzzy_match", "WITH b AS (SELECT s AS l, t AS r, lower(regexp_replace(s, '[^A-Za-z0-9]', '', 'g')) AS ln, lower(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) AS rn FROM (SELECT DISTINCT c_mktsegment AS s FROM customer), (SELECT DISTINCT replace(lower(c_mktsegment), 'in', '') AS t FROM customer)), g AS (SELECT l, r, ln, rn, list_distinct(list_transform(range(1, length(ln)), lambda i: ln[i:i + 1])) AS x, list_distinct(list_transform(range(1, length(rn)), lambda i: rn[i:i + 1])) AS y FROM b), sc AS (SELECT l, r, CASE WHEN ln = rn THEN 1.0 WHEN contains(ln, rn) OR contains(rn, ln) THEN least(length(ln), length(rn)) / greatest(length(ln), length(rn)) ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END AS score, len(list_intersect(x, y)) AS c FROM g) SELECT l AS \"left\", r AS \"right\", round(CAST(score AS DOUBLE), 6) AS score FROM sc WHERE score >= 0.5 AND c > 0")(lambda t: quality.fuzzy_match(t.customer, "c_mktsegment", t.customer.withColumn("m", F.replace(F.lower("c_mktsegment"), F.lit("in"), F.lit(""))), "m").withColumn("score", F.round("score", 6)))
-query("qlt_10_best_match", "SELECT DISTINCT c_mktsegment AS \"left\", lower(c_mktsegment) AS \"right\", 1.0::DOUBLE AS score FROM customer")(lambda t: quality.best_match(t.customer, "c_mktsegment", t.customer.withColumn("m", F.lower("c_mktsegment")), "m"))
-query("qlt_11_clusters", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey // 3 AS b FROM orders WHERE o_custkey % 5 <> 0), up AS (SELECT o_custkey AS node, o_custkey AS top FROM (SELECT DISTINCT o_custkey FROM orders UNION SELECT b FROM e) UNION SELECT up.node, e.b FROM up JOIN e ON e.a = up.top) SELECT node, CAST(min(top) AS BIGINT) AS cluster FROM up GROUP BY node")(lambda t: lineage.clusters((e := t.orders.filter("o_custkey % 5 <> 0").select(C("o_custkey").alias("a"), F.floor(C("o_custkey") / 3).alias("b")).distinct()), t.orders.select(C("o_custkey").alias("node")).union(e.select("b")).distinct()))
+PARTS = "SELECT DISTINCT p_name || ' ' || p_brand AS s FROM part"
+PAIRS = f"WITH b AS (SELECT x.s AS l, y.t AS r, lower(regexp_replace(x.s, '[^A-Za-z0-9]', '', 'g')) AS ln, lower(regexp_replace(y.t, '[^A-Za-z0-9]', '', 'g')) AS rn FROM ({PARTS}) x, (SELECT DISTINCT replace(lower(s), 'in', '') AS t FROM ({PARTS})) y)"
+
+
+def _parts(t):
+    """Parts by name and brand, and the same spelled without "in"."""
+    names = t.part.select(F.concat_ws(" ", "p_name", "p_brand").alias("s"))
+    return names, names.select(F.replace(F.lower("s"), F.lit("in"), F.lit("")).alias("m"))
+
+
+query("qlt_09_fuzzy_match", PAIRS + ", g AS (SELECT l, r, ln, rn, list_distinct(list_transform(range(1, length(ln)), lambda i: ln[i:i + 1])) AS x, list_distinct(list_transform(range(1, length(rn)), lambda i: rn[i:i + 1])) AS y FROM b), sc AS (SELECT l, r, CASE WHEN ln = rn THEN 1.0 WHEN contains(ln, rn) OR contains(rn, ln) THEN least(length(ln), length(rn)) / greatest(length(ln), length(rn)) ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END AS score, len(list_intersect(x, y)) AS c FROM g) SELECT l AS \"left\", r AS \"right\", round(CAST(score AS DOUBLE), 6) AS score FROM sc WHERE score >= 0.8 AND c > 0")(lambda t: quality.fuzzy_match(*[x for df, c in zip(_parts(t), "sm", strict=True) for x in (df, c)], 0.8).withColumn("score", F.round("score", 6)))
+query("qlt_10_best_match", PAIRS + ", g AS (SELECT l, r, ln, rn, list_distinct(string_split(ln, '')) AS x, list_distinct(string_split(rn, '')) AS y FROM b), sc AS (SELECT l, r, CASE WHEN ln = rn THEN 1.0 WHEN contains(ln, rn) OR contains(rn, ln) THEN 0.8 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END::DOUBLE AS score FROM g) SELECT l AS \"left\", r AS \"right\", round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS i FROM sc WHERE score >= 0.7) WHERE i = 1")(lambda t: quality.best_match(*[x for df, c in zip(_parts(t), "sm", strict=True) for x in (df, c)]).withColumn("score", F.round("score", 6)))
+
+
+def _following(t):
+    """Each order and its customer's next one."""
+    by_customer = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return t.orders.select(C("o_orderkey").alias("src"), F.lead("o_orderkey").over(by_customer).alias("dst")).filter("dst is not null")
+
+
+query("qlt_11_clusters", "SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS cluster FROM orders")(lambda t: lineage.clusters(_following(t).toDF("a", "b"), t.orders.select(C("o_orderkey").alias("node"))))
 query("qlt_12_fingerprint", "SELECT sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ')) AS fingerprint, CAST(count(*) AS BIGINT) AS copies, min(doc_id) AS first_key FROM documents GROUP BY 1 HAVING count(*) > 1")(lambda t: quality.duplicate_texts(t.documents.filter("text is not null"), "doc_id", "text"))
-query("qlt_13_lineage_edges", "SELECT DISTINCT 'flow' || n_regionkey AS flow, n_name AS output, 'next' || n_regionkey AS to_flow, CASE WHEN n_nationkey % 2 = 0 THEN 'exact' ELSE 'name' END AS how FROM nation")(lambda t: lineage.match_edges(t.nation.select(F.concat(F.lit("flow"), C("n_regionkey")).alias("flow"), C("n_name").alias("name")), t.nation.select(F.concat(F.lit("next"), C("n_regionkey")).alias("flow"), F.when(C("n_nationkey") % 2 == 0, C("n_name")).otherwise(F.concat(F.lower("n_name"), F.lit(" "))).alias("name"))))
-EDGES = "(SELECT DISTINCT n_nationkey // 2 AS src, n_nationkey AS dst FROM nation WHERE n_nationkey > 0)"
+query("qlt_13_lineage_edges", "SELECT DISTINCT 'flow' || c_nationkey AS flow, c_name AS output, 'next' || c_nationkey AS to_flow, CASE WHEN c_custkey % 2 = 0 THEN 'exact' ELSE 'name' END AS how FROM customer")(lambda t: lineage.match_edges(t.customer.select(F.concat(F.lit("flow"), C("c_nationkey")).alias("flow"), C("c_name").alias("name")), t.customer.select(F.concat(F.lit("next"), C("c_nationkey")).alias("flow"), F.when(C("c_custkey") % 2 == 0, C("c_name")).otherwise(F.concat(F.lower("c_name"), F.lit(" "))).alias("name"))))
+#: A tree over all customer keys.
+EDGES = "(SELECT DISTINCT c_custkey // 2 AS src, c_custkey AS dst FROM customer WHERE c_custkey > 0)"
 
 
 def edges(t):
-    return t.nation.filter("n_nationkey > 0").select(F.floor(C("n_nationkey") / 2).alias("src"), C("n_nationkey").cast("long").alias("dst"))
+    return t.customer.filter("c_custkey > 0").select(F.floor(C("c_custkey") / 2).alias("src"), C("c_custkey").cast("long").alias("dst"))
 
 
 query("qlt_14_layers", f"WITH RECURSIVE w AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS layer UNION ALL SELECT dst, layer + 1 FROM w JOIN {EDGES} e ON src = node) SELECT node, layer FROM w")(lambda t: lineage.layers(edges(t)))
-query("qlt_15_chains", "SELECT 0 AS head, n_nationkey AS node, n_nationkey AS place FROM nation")(lambda t: lineage.chains(t.nation.filter("n_nationkey > 0").select((C("n_nationkey") - 1).alias("src"), C("n_nationkey").alias("dst"))))
+query("qlt_15_chains", "SELECT head, node, place FROM (SELECT min(o_orderkey) OVER (PARTITION BY o_custkey) AS head, o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n > 1")(lambda t: lineage.chains(_following(t)))
 query("qlt_16_isolated", "SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda t: lineage.isolated(t.customer.select(C("c_custkey").alias("node")), t.orders.select(C("o_custkey").alias("src"), C("o_custkey").alias("dst"))))
 query("qlt_17_ends", f"SELECT DISTINCT src AS node, 'source' AS role FROM {EDGES} WHERE src NOT IN (SELECT dst FROM {EDGES}) UNION ALL SELECT DISTINCT dst, 'sink' FROM {EDGES} WHERE dst NOT IN (SELECT src FROM {EDGES})")(lambda t: lineage.sources_and_sinks(edges(t)))
 query("qlt_20_provenance", "SELECT nation, array_to_string(list_sort(list_distinct(list(s))), ',') AS sources FROM (SELECT c_nationkey AS nation, 'customer' AS s FROM customer UNION ALL SELECT s_nationkey, 'supplier' FROM supplier) GROUP BY 1")(lambda t: lineage.provenance(reshape.union_named({"customer": t.customer.select(C("c_nationkey").alias("nation")), "supplier": t.supplier.select(C("s_nationkey").alias("nation"))}), "nation").withColumn("sources", F.array_join("sources", ",")))
@@ -222,13 +241,14 @@ query("src_03_json_list", CUST_SQL)(_json_list)
 
 def _geojson(t):
     path = shared(t)
-    point = F.struct(F.lit("Point").alias("type"), F.array(C("n_nationkey").cast("double"), C("n_regionkey").cast("double")).alias("coordinates"))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(C("n_name").alias("name")).alias("properties"), point.alias("geometry"))
-    t.nation.groupBy("n_regionkey").agg(F.collect_list(feature).alias("features")).write.partitionBy("n_regionkey").json(path)
+    point = F.struct(F.lit("Point").alias("type"), F.array(C("c_custkey").cast("double"), C("c_nationkey").cast("double")).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(C("c_name").alias("name")).alias("properties"), point.alias("geometry"))
+    lists = t.customer.groupBy(F.floor(C("c_custkey") / 10_000).alias("part")).agg(F.collect_list(feature).alias("features"))
+    lists.write.partitionBy("part").json(path)
     return readers.geojson(t.spark, path).select("name", F.get_json_object("geometry", "$.type").alias("kind"))
 
 
-query("src_04_geojson", "SELECT n_name AS name, 'Point' AS kind FROM nation")(_geojson)
+query("src_04_geojson", "SELECT c_name AS name, 'Point' AS kind FROM customer")(_geojson)
 
 
 def _xml(t):
@@ -283,7 +303,7 @@ def _custom(t):
 
 query("src_12_custom_sql", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'")(_custom)
 query("src_13_extract", "SELECT o_orderkey, o_totalprice FROM orders")(lambda t: readers.extract(t.spark, f"{t.sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice"))
-query("src_14_inline", "SELECT n_nationkey, label FROM nation JOIN (VALUES (0, 'zero'), (1, 'one')) v(k, label) ON n_regionkey = k")(lambda t: t.nation.join(readers.inline(t.spark, [(0, "zero"), (1, "one")], {"k": "integer", "label": "string"}), C("n_regionkey") == C("k")).select("n_nationkey", "label"))
+query("src_14_inline", "SELECT c_custkey, label FROM customer JOIN (VALUES (0, 'zero'), (1, 'one')) v(k, label) ON c_nationkey = k")(lambda t: t.customer.join(readers.inline(t.spark, [(0, "zero"), (1, "one")], {"k": "integer", "label": "string"}), C("c_nationkey") == C("k")).select("c_custkey", "label"))
 query("src_15_guarded", "SELECT c_custkey, c_name, c_acctbal FROM customer")(lambda t: readers.guarded(t.spark, lambda: readers.extract(t.spark, f"{t.sf_dir}/no_such_table.parquet"), CUST).unionByName(_cust(t)))
 
 

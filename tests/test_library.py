@@ -156,6 +156,34 @@ def test_quality_edges(spark):
     assert quality.jaccard_columns(a, b) == 1.0
 
 
+def test_matches_equal_brute_force(spark):
+    rng = __import__("random").Random(4)
+    names = ["".join(rng.choice("aabbccd1 ") for _ in range(rng.randrange(1, 9))) for _ in range(120)]
+    left, right = names[:60], names[60:] + names[:10]
+    frames = spark.createDataFrame([(n,) for n in left], "n string"), spark.createDataFrame([(n,) for n in right], "m string")
+
+    def score(a, b, tokens, inside):
+        a, b = a.replace(" ", ""), b.replace(" ", "")
+        x, y = tokens(a), tokens(b)
+        if not x & y:
+            return 0.0
+        return 1.0 if a == b else inside(a, b) if a in b or b in a else len(x & y) / len(x | y)
+
+    pairs = lambda s: {i + "," for i in s} if len(s) < 2 else {s[i : i + 2] for i in range(len(s) - 1)}
+    ratio = lambda a, b: min(len(a), len(b)) / max(len(a), len(b))
+    want = {(a, b, round(score(a, b, pairs, ratio), 6)) for a in left for b in right if score(a, b, pairs, ratio) >= 0.5}
+    assert {(r.left, r.right, round(r.score, 6)) for r in quality.fuzzy_match(frames[0], "n", frames[1], "m", 0.5).collect()} == want
+    best = {a: min((-score(a, b, set, lambda *_: 0.8), b) for b in right) for a in left}
+    got = {r.left: (round(r.score, 6), r.right) for r in quality.best_match(frames[0], "n", frames[1], "m", 0.7).collect()}
+    assert got == {a: (round(-s, 6), b) for a, (s, b) in best.items() if s <= -0.7}
+
+
+def test_chains_double_and_leave_rings_out(spark):
+    edges = [(i, i + 1) for i in range(100, 137)] + [(1, 2), (2, 3), (3, 1), (50, 51), (50, 52), (52, 53)]
+    got = {(r.head, r.node, r.place) for r in lineage.chains(spark.createDataFrame(edges, "src int, dst int")).collect()}
+    assert got == {(100, 100 + i, i) for i in range(38)} | {(52, 52, 0), (52, 53, 1)}
+
+
 def test_graphs(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src int, dst int")
     with pytest.raises(ValueError):
