@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, line_dedup, matroska, mixing, packing, pii, simhash, substring_dedup, toxicity
+from . import ann, chat, line_dedup, matroska, mixing, packing, pii, secret_scan, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_ann": ann.op8_ann,
     "op9_simhash": simhash.op9_simhash,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op13_secrets": secret_scan.op13_secrets,
 }
-ORACLES = {"op1_line_dedup": line_dedup.OP1_SQL, "op7_mixing": mixing.OP7_SQL}
+ORACLES = {"op1_line_dedup": line_dedup.OP1_SQL, "op7_mixing": mixing.OP7_SQL, "op13_secrets": secret_scan.OP13_SQL}
