@@ -76,6 +76,7 @@ def test_each_match_meets_its_query():
 
 def test_query_digests_and_sql_twin(spark, data):
     compare(spark, data, secret_scan.op13_secrets, secret_scan.OP13_SQL)
-    row = secret_scan.op13_secrets(spark, data).filter("n_hex > 0").join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"), "doc_id").first()
-    base = [s for s in brute(row.text) if s[0] in ("assign", "access", "hex")]
-    assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for row in secret_scan.op13_secrets(spark, data).collect():
+        base = [s for s in brute(texts[row.doc_id]) if s[0] in ("assign", "access", "hex")]
+        assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
