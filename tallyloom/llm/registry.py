@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, chat_repair, line_dedup, matroska, mixing, packing, pii, secret_scan, simhash, substring_dedup, toxicity
+from . import ann, chat, chat_repair, line_dedup, matroska, mixing, packing, pii, secret_scan, simhash, substring_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ann": ann.op8_ann,
     "op9_simhash": simhash.op9_simhash,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_whitening": whitening.op11_whitening,
     "op12_chat_repair": chat_repair.op12_chat_repair,
     "op13_secrets": secret_scan.op13_secrets,
 }
