@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lod import fixed
+from .quantiles import quantiles
 
 
 def reference_line(df: DataFrame, value: str, kind: str, pane: list[str] = (), p: float = 0.5, constant: float | None = None, new: str = "line") -> DataFrame:
     """A line beside each row: constant, average, median, percentile, min, max or mode of its pane or the table."""
     if kind == "constant":
         return df.withColumn(new, F.lit(constant))
-    made = {"average": F.avg, "median": F.median, "percentile": lambda x: F.percentile(x, p), "min": F.min, "max": F.max, "mode": lambda x: F.mode(x, True)}[kind](value)
+    if kind in ("median", "percentile"):
+        return _with_quantiles(df, value, {new: 0.5 if kind == "median" else p}, list(pane))
+    made = {"average": F.avg, "min": F.min, "max": F.max, "mode": lambda x: F.mode(x, True)}[kind](value)
     return fixed(df, list(pane), {new: made})
 
 
@@ -30,7 +33,17 @@ def deviation_band(df: DataFrame, value: str, pane: list[str] = (), low: float =
 
 
 def percentile_band(df: DataFrame, value: str, pane: list[str] = (), low: float = 0.25, high: float = 0.75) -> DataFrame:
-    return fixed(df, list(pane), {"band_low": F.percentile(value, low), "band_high": F.percentile(value, high)})
+    """Between two exact percentiles of the pane or the table."""
+    return _with_quantiles(df, value, {"band_low": low, "band_high": high}, list(pane))
+
+
+def _with_quantiles(df: DataFrame, value: str, wanted: dict[str, float], pane: list[str]) -> DataFrame:
+    found = quantiles(df, value, wanted, pane).withColumnsRenamed({k: "\0key_" + k for k in pane})
+    same = F.lit(True)
+    for k in pane:
+        same = same & F.col(k).eqNullSafe(F.col("\0key_" + k))
+    # Without panes one row is joined.
+    return (df.join(found, same, "left") if pane else df.crossJoin(found)).drop(*["\0key_" + k for k in pane])
 
 
 def confidence_band(df: DataFrame, value: str, pane: list[str] = (), level: float = 0.95) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .columns import Step, aliases
 
 
@@ -52,15 +53,20 @@ def remove_kind(kind: str, *names: str) -> Step:
 
 
 def fill_down(names: list[str], order_by: list[str], partition_by: list[str] = ()) -> Step:
-    """The last value before a null, in order within the partition."""
-    w = Window.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    return lambda df: df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in names})
+    """The last value before a null, in order within the partition; without one, over the whole table by ranges of its order."""
+    return _filled(names, [F.col(o).asc() for o in order_by], partition_by)
 
 
 def fill_up(names: list[str], order_by: list[str], partition_by: list[str] = ()) -> Step:
-    """The first value after a null, in order within the partition."""
-    w = Window.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(0, Window.unboundedFollowing)
-    return lambda df: df.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in names})
+    """The first value after a null: filled down in backward order, so that no frame shrinks."""
+    return _filled(names, [F.col(o).desc() for o in order_by], partition_by)
+
+
+def _filled(names: list[str], order: list[Column], partition_by: list[str]) -> Step:
+    if not partition_by:
+        return lambda df: scans.scan(df, {c: ("last", c) for c in names}, order)
+    w = Window.partitionBy(*partition_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return lambda df: df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in names})
 
 
 def group_replace(name: str, clusters: dict[str, list[str]]) -> Step:

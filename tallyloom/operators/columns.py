@@ -85,7 +85,7 @@ def index(new: str, order_by: list[str], start: int = 1, step: int = 1) -> Step:
     the same partitions whatever Spark recomputes. The partition sizes, one number for each, are all that the driver
     or a broadcast sees.
     """
-    from .lineage import settled
+    from tallyloom.shared import settled
 
     def run(df: DataFrame) -> DataFrame:
         ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)

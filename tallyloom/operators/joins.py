@@ -46,7 +46,7 @@ def cross(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def buffered(right: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
     """A right side that is used again, written once to the shared folder; broadcast if a count finds it small."""
-    from .lineage import settled
+    from tallyloom.shared import settled
 
     kept = settled(right)
     return F.broadcast(kept) if kept.count() <= broadcast_rows else kept

@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import normal_name
-
+from tallyloom.shared import settled
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder of the session."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-"))
-    return df.checkpoint()
+from .quality import normal_name
 
 
 def match_edges(outputs: DataFrame, inputs: DataFrame, threshold: float = 0.5) -> DataFrame:

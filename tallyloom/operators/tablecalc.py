@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import scans
 
 
 def _c(x: Column | str) -> Column:
@@ -20,8 +25,8 @@ class Spec:
     order_by: tuple[str, ...] = ()
     match_by: tuple[str, ...] = field(default=())
 
-    def keys(self) -> list[Column]:
-        return [F.col(k[1:]).desc() if k.startswith("-") else F.col(k).asc() for k in (*self.order_by, *self.match_by)]
+    def keys(self, backwards: bool = False) -> list[Column]:
+        return [F.col(k.removeprefix("-")).desc() if k.startswith("-") != backwards else F.col(k.removeprefix("-")).asc() for k in (*self.order_by, *self.match_by)]
 
     def pane(self) -> WindowSpec:
         return Window.partitionBy(*self.partition_by)
@@ -30,7 +35,13 @@ class Spec:
         return self.pane().orderBy(*self.keys())
 
     def rows(self, first: int | None, last: int | None) -> WindowSpec:
-        """Rows from offset `first` to offset `last`; None is the pane's edge."""
+        """Rows from offset `first` to offset `last`; None is the pane's edge.
+
+        A frame that reaches to the end is taken in backward order: Spark grows such a frame row by row, while it
+        would add up one that shrinks anew for each row.
+        """
+        if first is not None and last is None:
+            return self.pane().orderBy(*self.keys(backwards=True)).rowsBetween(Window.unboundedPreceding, -first)
         return self.ordered().rowsBetween(Window.unboundedPreceding if first is None else first, Window.unboundedFollowing if last is None else last)
 
 
@@ -105,20 +116,45 @@ def lookup(s: Spec, x: Column | str, offset: int) -> Column:
     return (F.lead(_c(x), offset) if offset >= 0 else F.lag(_c(x), -offset)).over(s.ordered())
 
 
-def previous_value(df: DataFrame, s: Spec, new: str, start: object, step) -> DataFrame:
-    """new = step(new in the previous row of the pane, this row), starting from `start`: true recursion.
+def previous_value(df: DataFrame, s: Spec, new: str, start: float, step: Callable[[Column, dict[str, Column]], Column]) -> DataFrame:
+    """new = step(new in the previous row of the pane, this row's columns), starting from `start`: true recursion.
+
+    step takes and gives Columns and is linear in the previous value, so steps compose and panes of any size are split
+    (see scans.recursion); one that is not linear raises an error on the row that shows it. Use folded() for those.
+    """
+    row = {c: F.col(c) for c in df.columns}
+    at = lambda x: step(F.lit(float(x)), row).cast("double")
+    added, factor = at(0), at(1) - at(0)
+    straight = F.abs(at(3) - (3 * factor + added)) <= 1e-9 * F.greatest(F.abs(at(3)), F.abs(added), F.abs(factor), F.lit(1.0))
+    checked = F.when(straight | at(3).isNull(), added).otherwise(F.raise_error(F.lit("the step is not linear in the previous value")).cast("double"))
+    return scans.recursion(df, new, start, factor, checked, s.keys(), list(s.partition_by))
+
+
+def folded(df: DataFrame, s: Spec, new: str, start: float, step: Callable[[float, dict], float]) -> DataFrame:
+    """As previous_value(), for any Python function of the previous value and the row as a dict.
 
-    The pane's rows are gathered in order and folded; a pane of a view is small. step takes and gives Columns.
+    A pane streams through one task in order, batch by batch: its size is bounded by time, not memory.
     """
-    keyed = df.withColumn("\0n", F.row_number().over(s.ordered()))
-    row = F.struct("\0n", *df.columns)
-    panes = keyed.groupBy(*s.partition_by).agg(F.array_sort(F.collect_list(row)).alias("\0rows"))
-    kind = F.lit(start).cast("double")
-    zero = F.array().cast("array<double>")
-    fold = F.aggregate("\0rows", zero, lambda acc, r: F.concat(acc, F.array(step(F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(kind), r).cast("double"))))
-    paired = F.arrays_zip(F.col("\0rows").alias("row"), fold.alias("value"))
-    out = panes.select(F.explode(paired).alias("\0p"))
-    return out.select(*[F.col(f"\0p.row.{c}").alias(c) for c in df.columns], F.col("\0p.value").alias(new))
+    panes = [F.col(p) for p in s.partition_by] or [F.lit(0)]
+    sorted_ = df.withColumn("\0pane", F.to_json(F.struct(*panes), {"ignoreNullFields": "false"})).repartition("\0pane").sortWithinPartitions("\0pane", *s.keys())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, x = None, start
+        for b in batches:
+            out, panes = [], b["\0pane"]
+            rows = b.drop(columns="\0pane")
+            for pane, values in zip(panes, rows.to_dict("records"), strict=True):
+                at, x = pane, step(start if pane != at else x, values)
+                out.append(x)
+            yield rows.assign(**{new: pd.Series(out, index=rows.index, dtype=float)})
+
+    kinds = T.StructType([*df.schema.fields, T.StructField(new, T.DoubleType())])
+    return sorted_.mapInPandas(run, kinds)
+
+
+def running_all(df: DataFrame, s: Spec, measures: dict[str, tuple[str, str | Column]]) -> DataFrame:
+    """Running aggregates {new: (sum, count, min, max or last, value)} over panes too large for a task, such as a whole table."""
+    return scans.scan(df, measures, s.keys(), list(s.partition_by))
 
 
 def total(base: DataFrame, view: DataFrame, partition_by: list[str], measures: dict[str, Column]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tallyloom.functions import scripts
 from tallyloom.operators import columns, filters, incremental, joins, lineage, quality, reshape
 from tallyloom.plans.flow import Flow
+from tallyloom.shared import shared_dir
 from tallyloom.sources import readers, writers
 from tallyloom.streaming import jobs
 
@@ -27,14 +28,9 @@ def one():
 
 
 
-def folder() -> str:
-    return tempfile.mkdtemp(prefix="tallyloom-")
-
-
 def shared(t) -> str:
-    """A fresh folder that executors see: beside the checkpoints, or a local one where the session has none."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/queries/{next(tempfile._get_candidate_names())}" if base else folder()
+    """A fresh folder that executors see."""
+    return f"{shared_dir(t.spark)}/queries/{uuid.uuid4().hex}"
 
 
 query("qlt_01_profile", "SELECT 'c_custkey' AS \"column\", CAST(count(*) AS BIGINT) AS rows, CAST(count(*) - count(c_custkey) AS BIGINT) AS nulls, CAST(count(DISTINCT c_custkey) AS BIGINT) AS \"distinct\", CAST(min(c_custkey) AS VARCHAR) AS min, CAST(max(c_custkey) AS VARCHAR) AS max FROM customer UNION ALL SELECT 'c_mktsegment', count(*), count(*) - count(c_mktsegment), count(DISTINCT c_mktsegment), min(c_mktsegment), max(c_mktsegment) FROM customer")(lambda t: quality.profile(t.customer.select("c_custkey", "c_mktsegment")))
@@ -276,7 +272,7 @@ def _jdbc(t):
     The database is embedded in a local session; on a cluster spark.tallyloom.jdbc.database must name one that every
     executor reaches.
     """
-    name = f"customer_{next(tempfile._get_candidate_names())}".replace("-", "_")
+    name = f"customer_{uuid.uuid4().hex}"
     where = {"kind": "derby", "host": "", "database": t.spark.conf.get("spark.tallyloom.jdbc.database", "memory:tallyloom;create=true"), "table": name}
     writers.save_jdbc(_cust(t), types="c_name VARCHAR(200)", **where)
     ends = _cust(t).agg(F.min("c_custkey"), F.max("c_custkey")).first()
@@ -288,7 +284,7 @@ query("src_08_jdbc", CUST_SQL + " WHERE c_acctbal > 0")(_jdbc)
 
 
 def _catalog(t):
-    name = f"catalog_{next(tempfile._get_candidate_names())}".replace("-", "_")
+    name = f"catalog_{uuid.uuid4().hex}"
     writers.save_table(_cust(t), name)
     return readers.catalog(t.spark, f"spark_catalog.default.{name}")
 
@@ -319,7 +315,7 @@ query("src_17_published", "SELECT CAST(count(*) AS BIGINT) AS n FROM orders")(la
 
 
 def _table(t):
-    name = f"saved_{next(tempfile._get_candidate_names()).replace('-', '_')}"
+    name = f"saved_{uuid.uuid4().hex}"
     writers.save_table(_cust(t), name)
     return t.spark.table(name)
 
@@ -328,7 +324,7 @@ query("snk_01_table", CUST_SQL)(_table)
 
 
 def _ddl(t):
-    name = f"made_{next(tempfile._get_candidate_names()).replace('-', '_')}"
+    name = f"made_{uuid.uuid4().hex}"
     writers.create_table(t.spark, name, CUST, {"c_custkey"})
     _cust(t).write.insertInto(name)
     return t.spark.table(name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import aggregates as A
+from tallyloom.operators.quantiles import quantiles
 from tallyloom.operators import joins, lod
 
 from .registry import query, r
@@ -67,8 +68,10 @@ G("agg_07_counta", lambda: F.count(F.nullif(C("l_linestatus"), F.lit("O"))), "CA
 G("agg_08_rows", lambda: A.by_name("rows", Q), "CAST(count(*) AS BIGINT)")
 query("agg_09_records", "SELECT CAST(count(*) AS BIGINT) AS n FROM lineitem")(lambda t: t.lineitem.agg(one().alias("n")))
 G("agg_10_countd", lambda: A.by_name("ctd", "l_partkey"), "CAST(count(DISTINCT l_partkey) AS BIGINT)")
-G("agg_11_median", lambda: r(A.by_name("median", E), 4), "round(median(l_extendedprice), 4)")
-G("agg_12_percentile", lambda: r(A.percentile(E, 0.9), 4), "round(quantile_cont(l_extendedprice, 0.9), 4)")
+query("agg_11_median", "SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 4) AS v FROM lineitem GROUP BY 1, 2")(lambda t: quantiles(t.lineitem, E, {"v": 0.5}, ["l_returnflag", "l_linestatus"]).withColumn("v", F.round("v", 4)))
+query("agg_12_percentile", "SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.9), 4) AS v FROM lineitem GROUP BY 1, 2")(lambda t: quantiles(t.lineitem, E, {"v": 0.9}, ["l_returnflag", "l_linestatus"]).withColumn("v", F.round("v", 4)))
+query("agg_12_whole_table", "SELECT round(quantile_cont(l_extendedprice, 0.05), 4) AS p05, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.999), 4) AS p999, quantile_cont(l_quantity, 0.5) AS quantity FROM lineitem")(lambda t: quantiles(t.lineitem, E, {"p05": 0.05, "p50": 0.5, "p999": 0.999}).select(*[F.round(c, 4).alias(c) for c in ("p05", "p50", "p999")]).crossJoin(quantiles(t.lineitem, Q, {"quantity": 0.5})))  # one row each
+query("agg_12_many_groups", "SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3 FROM lineitem GROUP BY 1")(lambda t: quantiles(t.lineitem, E, {"q1": 0.25, "q3": 0.75}, ["l_suppkey"]).select("l_suppkey", F.round("q1", 4).alias("q1"), F.round("q3", 4).alias("q3")))
 G("agg_13_stdev", lambda: r(A.by_name("stdev", Q)), "round(stddev_samp(l_quantity), 4)")
 G("agg_14_stdevp", lambda: r(A.by_name("stdevp", Q)), "round(stddev_pop(l_quantity), 4)")
 G("agg_15_var", lambda: r(A.by_name("var", Q)), "round(var_samp(l_quantity), 4)")

@@ -51,6 +51,15 @@ X("cln_07_proper", lambda: clean.proper("lang"), "upper(lang[1]) || lower(lang[2
 X("cln_08_remove_kind", lambda: clean.remove_kind("numbers", "text"), r"regexp_replace(text, '\p{N}', '', 'g')")
 query("cln_09_fill_down", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM conversations")(lambda t: t.conversations.withColumn("asked", F.when(C("role") == "user", C("text"))).transform(clean.fill_down(["asked"], ["turn"], ["conv_id"])).select("conv_id", "turn", "asked"))
 query("cln_10_fill_up", "SELECT conv_id, turn, first_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS answer FROM conversations")(lambda t: t.conversations.withColumn("answer", F.when(C("role") == "assistant", C("text"))).transform(clean.fill_up(["answer"], ["turn"], ["conv_id"])).select("conv_id", "turn", "answer"))
+URGENT = "CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END"
+
+
+def _urgent(t):
+    return t.orders.select("o_orderkey", F.when(C("o_orderpriority") == "1-URGENT", C("o_totalprice")).alias("price"))
+
+
+query("cln_09_fill_down_all", f"SELECT o_orderkey, last_value({URGENT} IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price FROM orders")(lambda t: _urgent(t).transform(clean.fill_down(["price"], ["o_orderkey"])))
+query("cln_10_fill_up_all", f"SELECT o_orderkey, first_value({URGENT} IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS price FROM orders")(lambda t: _urgent(t).transform(clean.fill_up(["price"], ["o_orderkey"])))
 X("cln_11_group_replace", lambda: clean.group_replace("lang", {"roman": ["fr", "es"], "german": ["de", "en"]}), "CASE WHEN lang IN ('fr', 'es') THEN 'roman' WHEN lang IN ('de', 'en') THEN 'german' ELSE lang END", "lang")
 X("cln_12_extract", lambda: clean.extract_values("text", "[a-z0-9.]+@[a-z0-9.]+", "mail"), "nullif(regexp_extract(text, '[a-z0-9.]+@[a-z0-9.]+'), '')", "mail")
 scalar("cln_13_delimiters", "pages", "page_id", lambda: F.concat_ws(";", clean.text_before(C("url"), "://"), clean.text_between(C("url"), "://", "/")), "string_split(url, '://')[1] || ';' || string_split(substr(url, instr(url, '://') + 3), '/')[1]")

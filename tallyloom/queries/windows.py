@@ -62,3 +62,10 @@ V("win_36_quick_running", lambda: T.running("sum", T.spec(order_by=["m"], partit
 V("win_37_quick_rank", lambda: T.rank(T.spec(partition_by=["p"], order_by=["m"]), "v", "unique").cast("long"), "CAST(row_number() OVER (PARTITION BY p ORDER BY v DESC, m) AS BIGINT)")
 V("win_38_multi_level", lambda: T.index(T.spec(partition_by=["p"], order_by=["-n"], match_by=["m"])).cast("long"), "CAST(row_number() OVER (PARTITION BY p ORDER BY n DESC, m) AS BIGINT)")
 V("win_39_moving_avg", lambda: r(T.moving_avg(S, "n", 3), 8), f"round(avg(n) OVER ({O} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 8)")
+
+# Over whole tables, which no task holds.
+RA = "ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+query("win_16_running_all", f"SELECT o_orderkey, round(sum(o_totalprice) OVER ({RA}), 2) AS total, CAST(count(*) OVER ({RA}) AS BIGINT) AS n, min(o_totalprice) OVER ({RA}) AS low, max(o_totalprice) OVER ({RA}) AS high FROM orders")(lambda t: T.running_all(t.orders.select("o_orderkey", "o_totalprice"), T.spec(order_by=["o_orderkey"]), {"total": ("sum", "o_totalprice"), "n": ("count", "o_totalprice"), "low": ("min", "o_totalprice"), "high": ("max", "o_totalprice")}).select("o_orderkey", r(C("total"), 2).alias("total"), "n", "low", "high"))
+query("win_16_running_panes", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS total FROM orders")(lambda t: T.running_all(t.orders, T.spec(order_by=["-o_orderdate"], partition_by=["o_orderstatus"], match_by=["o_orderkey"]), {"total": ("sum", "o_totalprice")}).select("o_orderkey", r(C("total"), 2).alias("total")))
+query("win_31_since_urgent", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY g ORDER BY o_orderkey) + CASE WHEN g = 0 THEN 100 ELSE 0 END AS DOUBLE) AS x FROM (SELECT o_orderkey, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) OVER (ORDER BY o_orderkey) AS g FROM orders)")(lambda t: T.previous_value(t.orders, T.spec(order_by=["o_orderkey"]), "x", 100.0, lambda before, row: F.when(row["o_orderpriority"] == "1-URGENT", 0.0).otherwise(before) + 1).select("o_orderkey", "x"))
+query("win_31_folded", f"WITH RECURSIVE w AS (SELECT *, row_number() OVER ({O}) AS i FROM {VIEW}), rec AS (SELECT p, m, n, i, greatest(CAST(0 AS DOUBLE), n - 3.0) AS x FROM w WHERE i = 1 UNION ALL SELECT w.p, w.m, w.n, w.i, greatest(0, rec.x + w.n - 3.0) FROM rec JOIN w ON w.p = rec.p AND w.i = rec.i + 1) SELECT p, m, round(x, 4) AS x FROM rec")(lambda t: T.folded(view(t), S, "x", 0.0, lambda before, row: max(0.0, before + row["n"] - 3.0)).select("p", "m", r(C("x")).alias("x")))
