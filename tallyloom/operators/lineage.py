@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.shared import settled
+from tallyloom.shared import settled, shared_dir
 
-from .quality import normal_name
+from .quality import fuzzy_match, plain_name
 
 
 def match_edges(outputs: DataFrame, inputs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(flow, output, to_flow, how) for outputs that are inputs of other flows: by equal name, by normalised name, by likeness.
+    """(flow, output, to_flow, how) for outputs that are inputs of other flows: by fingerprint (where both sides have such a
+    column), by equal name, by normalised name, by likeness.
 
-    Each later way is tried for the outputs that the earlier ones left over.
+    Each later way is tried for the outputs that the earlier ones left over; null fingerprints match nothing.
     """
-    from .quality import fuzzy_match
-
-    o, i = outputs.select("flow", "name").distinct(), inputs.select(F.col("flow").alias("to_flow"), F.col("name").alias("in_name")).distinct()
-    cut = lambda df, how: df.filter("flow <> to_flow").select("flow", F.col("name").alias("output"), "to_flow", F.lit(how).alias("how"))
-    exact = cut(o.join(i, F.col("name") == F.col("in_name")), "exact")
-    left = o.join(exact.select(F.col("output").alias("name")).distinct(), "name", "left_anti")
-    named = cut(left.join(i, normal_name(F.col("name")) == normal_name(F.col("in_name"))), "name")
-    rest = left.join(named.select(F.col("output").alias("name")).distinct(), "name", "left_anti")
-    alike = fuzzy_match(rest, "name", i, "in_name", threshold)
-    fuzzy = cut(rest.join(alike, F.col("name") == F.col("left")).join(i, F.col("right") == F.col("in_name")), "fuzzy")
-    return exact.unionByName(named).unionByName(fuzzy).distinct()
+    more = ["fingerprint"] if "fingerprint" in outputs.columns and "fingerprint" in inputs.columns else []
+    left, i = outputs.select("flow", "name", *more).distinct(), inputs.select(F.col("flow").alias("to_flow"), F.col("name").alias("in_name"), *[F.col(c).alias("in_" + c) for c in more]).distinct()
+    found = []
+
+    def settle(pairs: DataFrame, how: str) -> None:
+        """Keep the edges of one way and leave its outputs out of the next."""
+        nonlocal left
+        one = pairs.filter("flow <> to_flow").select("flow", F.col("name").alias("output"), "to_flow", F.lit(how).alias("how")).distinct()
+        found.append(one)
+        left = left.join(one.select(F.col("flow").alias("\0f"), F.col("output").alias("\0n")).distinct(), F.col("flow").eqNullSafe(F.col("\0f")) & F.col("name").eqNullSafe(F.col("\0n")), "left_anti")
+
+    if more:
+        settle(left.join(i, F.col("fingerprint") == F.col("in_fingerprint")), "fingerprint")
+    settle(left.join(i, F.col("name") == F.col("in_name")), "exact")
+    settle(left.join(i, plain_name(F.col("name")) == plain_name(F.col("in_name"))), "name")
+    alike = fuzzy_match(left, "name", i, "in_name", threshold)
+    settle(left.join(alike, F.col("name") == F.col("left")).join(i, F.col("right") == F.col("in_name")), "fuzzy")
+    return reduce(DataFrame.unionByName, found)
 
 
 def clusters(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -46,21 +57,36 @@ def clusters(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
-def layers(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, layer) of a graph of (src, dst): layer 0 has no inputs, each further one only inputs of lower layers. A cycle is an error."""
-    left = settled(edges.select("src", "dst").distinct())
-    nodes = settled(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
-    out, layer = None, 0
+def layers(edges: DataFrame) -> DataFrame:
+    """(node, layer) of a graph of (src, dst): layer 0 has no inputs, each further one only inputs of lower layers. A cycle is an error.
+
+    Linear chains are contracted first, by doubling (see chains()), to one edge as long as the chain; rounds then take the
+    nodes without open inputs from the rest, and places along the chains are added back. A round is a layer of the
+    contracted graph, so a chain of any length takes one; a cycle is what is left when no node is ready.
+    """
+    given = settled(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
+    spark, path = edges.sparkSession, f"{shared_dir(edges.sparkSession)}/layers/{uuid.uuid4().hex}"
+    places = settled(chains(given))
+    inner = places.filter("place > 0").select("node", "head", "place")
+    at = lambda end: given.join(inner.withColumnRenamed("node", end), end, "left")
+    # An edge into the inside of a chain is the chain's own.
+    outer = at("src").join(inner.select(F.col("node").alias("dst")), "dst", "left_anti")
+    left = settled(outer.select(F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("place", F.lit(0)) + 1).alias("far")).groupBy("src", "dst").agg(F.max("far").alias("far")))
+    every = given.select(F.col("src").alias("node")).union(given.select("dst")).distinct()
+    nodes = settled(every.join(inner.select("node"), "node", "left_anti").withColumn("layer", F.lit(0).cast("long")))
+    nodes.limit(0).write.mode("append").parquet(path)
     while not nodes.isEmpty():
-        ready = settled(nodes.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
-        if ready.isEmpty() or layer > most:
+        waiting = left.select(F.col("dst").alias("node")).distinct()
+        ready = settled(nodes.join(waiting, "node", "left_anti"))
+        if ready.isEmpty():
             raise ValueError("the edges have a cycle")
-        one = ready.withColumn("layer", F.lit(layer))
-        out = one if out is None else out.unionByName(one)
-        nodes = settled(nodes.join(ready, "node", "left_anti"))
-        left = settled(left.join(ready.withColumnRenamed("node", "src"), "src", "left_anti"))
-        layer += 1
-    return out if out is not None else nodes.withColumn("layer", F.lit(0))
+        ready.write.mode("append").parquet(path)
+        reached = left.join(ready.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.col("layer") + F.col("far")).alias("reached"))
+        nodes = settled(nodes.join(waiting, "node", "left_semi").join(reached, "node", "left").select("node", F.greatest("layer", F.coalesce("reached", F.lit(0))).alias("layer")))
+        left = settled(left.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
+    heads = spark.read.schema(nodes.schema).parquet(path)
+    inside = inner.join(heads.withColumnRenamed("node", "head"), "head").select("node", (F.col("layer") + F.col("place")).alias("layer"))
+    return heads.unionByName(inside).withColumn("layer", F.col("layer").cast("int"))
 
 
 def chains(edges: DataFrame) -> DataFrame:

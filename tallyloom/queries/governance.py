@@ -37,6 +37,8 @@ query("qlt_01_profile", "SELECT 'c_custkey' AS \"column\", CAST(count(*) AS BIGI
 query("qlt_02_foreign_key", "SELECT CAST((SELECT count(DISTINCT o_custkey) FROM orders) AS BIGINT) AS child_keys, CAST((SELECT count(DISTINCT c_custkey) FROM customer) AS BIGINT) AS parent_keys, CAST((SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS BIGINT) AS missing, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) = 0 AS is_foreign_key")(lambda t: quality.inclusion(t.orders, "o_custkey", t.customer, "c_custkey"))
 query("qlt_03_suggest_keys", "SELECT 'orders' AS child, 'o_custkey' AS child_key, 'customer' AS parent, 'c_custkey' AS parent_key, round((SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) / (SELECT count(DISTINCT o_custkey) FROM orders), 6) AS overlap UNION ALL SELECT 'customer', 'c_custkey', 'orders', 'o_custkey', round((SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) / (SELECT count(*) FROM customer), 6)")(lambda t: quality.suggest_keys({"orders": t.orders, "customer": t.customer.drop("c_nationkey")}).withColumn("overlap", F.round("overlap", 6)))
 query("qlt_04_jaccard", "SELECT CAST(count(*) FILTER (WHERE n = 2) AS BIGINT) AS shared, CAST(count(*) AS BIGINT) AS all_values, count(*) FILTER (WHERE n = 2) / count(*) AS jaccard FROM (SELECT v, count(*) AS n FROM (SELECT DISTINCT o_custkey AS v, 1 AS s FROM orders UNION ALL SELECT DISTINCT c_custkey, 2 FROM customer) GROUP BY v)")(lambda t: quality.jaccard_values(t.orders, "o_custkey", t.customer, "c_custkey"))
+KEYED = "SELECT 'orders' AS t, 'o_custkey' AS c, o_custkey AS v FROM orders UNION ALL SELECT 'orders', 'o_orderkey', o_orderkey FROM orders UNION ALL SELECT 'customer', 'c_custkey', c_custkey FROM customer UNION ALL SELECT 'lineitem', 'l_orderkey', l_orderkey FROM lineitem UNION ALL SELECT 'lineitem', 'l_partkey', l_partkey FROM lineitem UNION ALL SELECT 'lineitem', 'l_suppkey', l_suppkey FROM lineitem UNION ALL SELECT 'part', 'p_partkey', p_partkey FROM part UNION ALL SELECT 'supplier', 's_suppkey', s_suppkey FROM supplier"
+query("qlt_04_overlapping", f"WITH k AS (SELECT DISTINCT t, c, v FROM ({KEYED})), n AS (SELECT t, c, count(*) AS n FROM k GROUP BY 1, 2), s AS (SELECT a.t AS child, a.c AS child_key, b.t AS parent, b.c AS parent_key, count(*) AS shared FROM k a JOIN k b ON a.v = b.v AND a.t <> b.t GROUP BY ALL), j AS (SELECT s.*, a.n AS child_values, b.n AS parent_values, shared / (a.n + b.n - shared) AS jaccard FROM s JOIN n a ON a.t = child AND a.c = child_key JOIN n b ON b.t = parent AND b.c = parent_key WHERE a.n < b.n OR (a.n = b.n AND (child < parent OR (child = parent AND child_key < parent_key)))) SELECT child, child_key, parent, parent_key, child_values, parent_values, shared, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.5")(lambda t: quality.overlapping_columns({"orders": t.orders.select("o_custkey", "o_orderkey"), "customer": t.customer.select("c_custkey"), "lineitem": t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey"), "part": t.part.select("p_partkey"), "supplier": t.supplier.select("s_suppkey")}).withColumn("jaccard", F.round("jaccard", 6)))
 EQ = "SELECT k, status FROM (SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL OR b.k IS NULL THEN 'missing' WHEN abs(b.v - a.v) / abs(a.v) <= 0.01 THEN 'passed' ELSE 'failed' END AS status FROM (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders GROUP BY 1) a FULL JOIN (SELECT o_custkey + 2 AS k, sum(o_totalprice * CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 1.001 END) AS v FROM orders GROUP BY 1) b ON a.k = b.k)"
 
 
@@ -51,7 +53,9 @@ query("qlt_06_report", f"SELECT CAST(count(*) FILTER (WHERE status = 'passed') A
 query("qlt_07_snapshot", "SELECT 'nation' AS \"table\", 'unchanged' AS status, CAST(count(*) AS BIGINT) AS old_rows, CAST(count(*) AS BIGINT) AS new_rows FROM nation UNION ALL SELECT 'orders', 'changed', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0)")(lambda t: quality.snapshot_diff(quality.snapshot({"nation": t.nation, "orders": t.orders}), quality.snapshot({"nation": t.nation, "orders": t.orders.filter("o_orderkey % 2 = 0")})))
 query("qlt_08_schema_drift", "SELECT 'orders' AS \"table\", c AS \"column\", a AS old_type, b AS new_type, s AS status FROM (VALUES ('o_custkey', 'bigint', 'string', 'type changed'), ('extra', NULL, 'int', 'added'), ('o_orderstatus', 'string', NULL, 'removed')) v(c, a, b, s) WHERE (SELECT count(*) FROM orders) > 0")(lambda t: quality.schema_drift(quality.schema_table({"orders": t.orders}), quality.schema_table({"orders": t.orders.withColumn("o_custkey", C("o_custkey").cast("string")).withColumn("extra", F.lit(1)).drop("o_orderstatus")})))
 PARTS = "SELECT DISTINCT p_name || ' ' || p_brand AS s FROM part"
-PAIRS = f"WITH b AS (SELECT x.s AS l, y.t AS r, lower(regexp_replace(x.s, '[^A-Za-z0-9]', '', 'g')) AS ln, lower(regexp_replace(y.t, '[^A-Za-z0-9]', '', 'g')) AS rn FROM ({PARTS}) x, (SELECT DISTINCT replace(lower(s), 'in', '') AS t FROM ({PARTS})) y)"
+PAIRS = "WITH b AS (SELECT x.s AS l, y.t AS r, {0} AS ln, {1} AS rn FROM (" + PARTS + ") x, (SELECT DISTINCT replace(lower(s), 'in', '') AS t FROM (" + PARTS + ")) y)"
+TABLE_NAMES = PAIRS.format(*[f"translate(lower(regexp_replace(regexp_extract(regexp_replace(trim({c}), '^[\\[\\]]+|[\\[\\]]+$', '', 'g'), '[^.]*$'), '^[\\[\\]]+|[\\[\\]]+$', '', 'g')), '_- ', '')" for c in ("x.s", "y.t")])
+PLAIN_NAMES = PAIRS.format(*[f"trim(translate(lower({c}), ' -', '__'))" for c in ("x.s", "y.t")])
 
 
 def _parts(t):
@@ -60,8 +64,8 @@ def _parts(t):
     return names, names.select(F.replace(F.lower("s"), F.lit("in"), F.lit("")).alias("m"))
 
 
-query("qlt_09_fuzzy_match", PAIRS + ", g AS (SELECT l, r, ln, rn, list_distinct(list_transform(range(1, length(ln)), lambda i: ln[i:i + 1])) AS x, list_distinct(list_transform(range(1, length(rn)), lambda i: rn[i:i + 1])) AS y FROM b), sc AS (SELECT l, r, CASE WHEN ln = rn THEN 1.0 WHEN contains(ln, rn) OR contains(rn, ln) THEN least(length(ln), length(rn)) / greatest(length(ln), length(rn)) ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END AS score, len(list_intersect(x, y)) AS c FROM g) SELECT l AS \"left\", r AS \"right\", round(CAST(score AS DOUBLE), 6) AS score FROM sc WHERE score >= 0.8 AND c > 0")(lambda t: quality.fuzzy_match(*[x for df, c in zip(_parts(t), "sm", strict=True) for x in (df, c)], 0.8).withColumn("score", F.round("score", 6)))
-query("qlt_10_best_match", PAIRS + ", g AS (SELECT l, r, ln, rn, list_distinct(string_split(ln, '')) AS x, list_distinct(string_split(rn, '')) AS y FROM b), sc AS (SELECT l, r, CASE WHEN ln = rn THEN 1.0 WHEN contains(ln, rn) OR contains(rn, ln) THEN 0.8 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END::DOUBLE AS score FROM g) SELECT l AS \"left\", r AS \"right\", round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS i FROM sc WHERE score >= 0.7) WHERE i = 1")(lambda t: quality.best_match(*[x for df, c in zip(_parts(t), "sm", strict=True) for x in (df, c)]).withColumn("score", F.round("score", 6)))
+query("qlt_09_fuzzy_match", TABLE_NAMES + ", g AS (SELECT l, r, ln, rn, list_distinct(list_transform(range(1, length(ln)), lambda i: ln[i:i + 1])) AS x, list_distinct(list_transform(range(1, length(rn)), lambda i: rn[i:i + 1])) AS y FROM b), sc AS (SELECT l, r, CASE WHEN ln = rn THEN 1.0 WHEN contains(ln, rn) OR contains(rn, ln) THEN least(length(ln), length(rn)) / greatest(length(ln), length(rn)) ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END AS score, len(list_intersect(x, y)) AS c FROM g) SELECT l AS \"left\", r AS \"right\", round(CAST(score AS DOUBLE), 6) AS score FROM sc WHERE score >= 0.8 AND c > 0")(lambda t: quality.fuzzy_match(*[x for df, c in zip(_parts(t), "sm", strict=True) for x in (df, c)], 0.8).withColumn("score", F.round("score", 6)))
+query("qlt_10_best_match", PLAIN_NAMES + ", g AS (SELECT l, r, ln, rn, list_distinct(string_split(ln, '')) AS x, list_distinct(string_split(rn, '')) AS y FROM b), sc AS (SELECT l, r, CASE WHEN ln = rn THEN 1.0 WHEN contains(ln, rn) OR contains(rn, ln) THEN 0.8 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END::DOUBLE AS score FROM g) SELECT l AS \"left\", r AS \"right\", round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS i FROM sc WHERE score >= 0.7) WHERE i = 1")(lambda t: quality.best_match(*[x for df, c in zip(_parts(t), "sm", strict=True) for x in (df, c)]).withColumn("score", F.round("score", 6)))
 
 
 def _following(t):
@@ -72,7 +76,7 @@ def _following(t):
 
 query("qlt_11_clusters", "SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS cluster FROM orders")(lambda t: lineage.clusters(_following(t).toDF("a", "b"), t.orders.select(C("o_orderkey").alias("node"))))
 query("qlt_12_fingerprint", "SELECT sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ')) AS fingerprint, CAST(count(*) AS BIGINT) AS copies, min(doc_id) AS first_key FROM documents GROUP BY 1 HAVING count(*) > 1")(lambda t: quality.duplicate_texts(t.documents.filter("text is not null"), "doc_id", "text"))
-query("qlt_13_lineage_edges", "SELECT DISTINCT 'flow' || c_nationkey AS flow, c_name AS output, 'next' || c_nationkey AS to_flow, CASE WHEN c_custkey % 2 = 0 THEN 'exact' ELSE 'name' END AS how FROM customer")(lambda t: lineage.match_edges(t.customer.select(F.concat(F.lit("flow"), C("c_nationkey")).alias("flow"), C("c_name").alias("name")), t.customer.select(F.concat(F.lit("next"), C("c_nationkey")).alias("flow"), F.when(C("c_custkey") % 2 == 0, C("c_name")).otherwise(F.concat(F.lower("c_name"), F.lit(" "))).alias("name"))))
+query("qlt_13_lineage_edges", "SELECT DISTINCT 'flow' || c_nationkey AS flow, c_name AS output, 'next' || c_nationkey AS to_flow, CASE WHEN c_custkey % 3 = 0 THEN 'fingerprint' WHEN c_custkey % 2 = 0 THEN 'exact' ELSE 'name' END AS how FROM customer")(lambda t: lineage.match_edges(t.customer.select(F.concat(F.lit("flow"), C("c_nationkey")).alias("flow"), C("c_name").alias("name"), F.sha2("c_name", 256).alias("fingerprint")), t.customer.select(F.concat(F.lit("next"), C("c_nationkey")).alias("flow"), F.when(C("c_custkey") % 3 == 0, "renamed").when(C("c_custkey") % 2 == 0, C("c_name")).otherwise(F.upper("c_name")).alias("name"), F.when(C("c_custkey") % 3 == 0, F.sha2("c_name", 256)).alias("fingerprint"))))
 #: A tree over all customer keys.
 EDGES = "(SELECT DISTINCT c_custkey // 2 AS src, c_custkey AS dst FROM customer WHERE c_custkey > 0)"
 
