@@ -133,25 +133,43 @@ def parameter_range(spark, name: str, start: float, stop: float, step: float) ->
 
 
 class Cube:
-    """A pre-aggregated table whose sums, counts and extremes answer coarser questions."""
+    """A pre-aggregated table whose sums, counts and extremes answer coarser questions, as do sketches of distinct values.
 
-    def __init__(self, table: DataFrame, keys: list[str], values: list[str]):
-        self.table, self.keys, self.values = table, keys, values
+    Sums of sums are exact. Distinct counts do not add up, so each cell keeps a sketch of its values: HyperLogLog for
+    counts (relative standard error 1.04 / sqrt(2^log_size), 1.6 % at 12), and theta for counts of values that cells share or lack
+    (1 / sqrt(2^log_size)). A cell's sketch is bounded by its size, whatever it counts.
+    """
+
+    def __init__(self, table: DataFrame, keys: list[str], values: list[str], distinct: list[str] = ()):
+        self.table, self.keys, self.values, self.distinct = table, keys, values, list(distinct)
 
     @classmethod
-    def build(cls, df: DataFrame, keys: list[str], values: list[str]) -> Cube:
+    def build(cls, df: DataFrame, keys: list[str], values: list[str], distinct: list[str] = (), log_size: int = 12) -> Cube:
         aggs = [a for v in values for a in (F.sum(v).alias(f"{v}_sum"), F.count(v).alias(f"{v}_count"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"))]
-        return cls(df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("rows")), keys, values)
+        aggs += [a for d in distinct for a in (F.hll_sketch_agg(d, log_size).alias(f"{d}_hll"), F.theta_sketch_agg(d, log_size).alias(f"{d}_theta"))]
+        return cls(df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("rows")), keys, values, distinct)
 
-    def ask(self, keys: list[str]) -> DataFrame:
-        """The same measures, and averages, by some of the keys."""
+    def _known(self, keys: list[str]) -> None:
         if not set(keys) <= set(self.keys):
             raise ValueError(f"the table has no {sorted(set(keys) - set(self.keys))}")
+
+    def ask(self, keys: list[str]) -> DataFrame:
+        """The same measures, averages, and distinct counts (estimates), by some of the keys."""
+        self._known(keys)
         out = [F.sum("rows").alias("rows")]
         for v in self.values:
             out += [F.sum(f"{v}_sum").alias(f"{v}_sum"), F.sum(f"{v}_count").alias(f"{v}_count"), F.min(f"{v}_min").alias(f"{v}_min"), F.max(f"{v}_max").alias(f"{v}_max"), F.try_divide(F.sum(f"{v}_sum"), F.sum(f"{v}_count")).alias(f"{v}_avg")]
+        out += [F.hll_sketch_estimate(F.hll_union_agg(f"{d}_hll")).alias(f"{d}_distinct") for d in self.distinct]
         return self.table.groupBy(*keys).agg(*out)
 
+    def shared(self, keys: list[str], name: str, one: Column, other: Column) -> DataFrame:
+        """(keys, either, both, only_one) by some of the keys: estimates of the different values of `name` in cells of either
+        kind, in cells of both kinds and in those of the first only."""
+        self._known(keys)
+        sides = self.table.groupBy(*keys).agg(*[F.theta_union_agg(F.when(c, F.col(f"{name}_theta"))).alias(s) for c, s in ((one, "\0a"), (other, "\0b"))])
+        size = F.theta_sketch_estimate
+        return sides.select(*keys, size(F.theta_union("\0a", "\0b")).alias("either"), size(F.theta_intersection("\0a", "\0b")).alias("both"), size(F.theta_difference("\0a", "\0b")).alias("only_one"))
+
 
 def validation_grid(df: DataFrame, dimension: str, measures: dict[str, Column]) -> DataFrame:
     """Every measure by one dimension, in its order."""

@@ -44,12 +44,13 @@ def cross(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.crossJoin(right)
 
 
-def buffered(right: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
-    """A right side that is used again, written once to the shared folder; broadcast if a count finds it small."""
+def buffered(right: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """A right side that is used again, written once to the shared folder; broadcast if its rows, measured as text, are that small."""
     from tallyloom.shared import settled
 
     kept = settled(right)
-    return F.broadcast(kept) if kept.count() <= broadcast_rows else kept
+    size = kept.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long") + 16)).first()[0] or 0
+    return F.broadcast(kept) if size <= broadcast_bytes else kept
 
 
 def blend(primary: DataFrame, secondary: DataFrame, links: list[str], measures: dict[str, Column], kind: str = "left") -> DataFrame:
@@ -79,6 +80,32 @@ def star(fact: DataFrame, *dimensions: tuple[DataFrame, str | Column, str]) -> D
     return out
 
 
+def snowflake(dimension: DataFrame, *parents: tuple[DataFrame, str, str, list[str]]) -> DataFrame:
+    """A dimension with columns of its own dimensions, each by (parent, key, parent's key, columns): folded before the fact is
+    met, so that the fact is shuffled for the dimension only."""
+    for parent, fk, pk, columns in parents:
+        named = parent.select(F.col(pk).alias("\0pk"), *columns)
+        dimension = dimension.join(named, F.col(fk) == F.col("\0pk"), "left").drop("\0pk")
+    return dimension
+
+
+def star_totals(fact: DataFrame, dimensions: list[tuple[DataFrame, str, str, list[str]]], sums: dict[str, Column]) -> DataFrame:
+    """Sums by columns of dimensions, each dimension given as (rows, fact key, its unique key, columns).
+
+    The fact is partly summed by the keys that are still open before each join, dimensions in the order given: every join
+    and shuffle after the first sees sums, not rows. Facts without a dimension row have null columns.
+    """
+    values = {f"\0s{i}": s for i, s in enumerate(sums.values())}
+    keys, done = [fk for _, fk, _, _ in dimensions], []
+    out = fact.select(*dict.fromkeys(keys), *[v.alias(n) for n, v in values.items()])
+    for i, (dim, fk, dk, columns) in enumerate(dimensions):
+        rest = list(dict.fromkeys(keys[i:]))
+        out = out.groupBy(*done, *rest).agg(*[F.sum(n).alias(n) for n in values])
+        named = dim.select(F.col(dk).alias("\0dk"), *columns)
+        out, done = out.join(named, F.col(fk) == F.col("\0dk"), "left").drop("\0dk"), done + columns
+    return out.groupBy(*done).agg(*[F.sum(n).alias(new) for new, n in zip(sums, values, strict=True)])
+
+
 def cardinality(left: DataFrame, right: DataFrame, key: tuple[str, str]) -> DataFrame:
     """One row: how often keys repeat on either side, and the kind of the relationship."""
     most = lambda df, k, n: df.filter(F.col(k).isNotNull()).groupBy(k).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias(n))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import by_name, ratio
+from .quality import full_null_safe
 
 
 def per_row(x: Column | str) -> Column:
@@ -42,7 +43,7 @@ def per_distinct(x: Column | str, entity: Column | str) -> Column:
 def across(a: DataFrame, b: DataFrame, keys: list[str], numerator: Column, denominator: Column, new: str, scale: float = 1.0) -> DataFrame:
     """A ratio of measures of two facts: each is aggregated to the keys on its own, then they are joined and divided."""
     left, right = a.groupBy(*keys).agg(numerator.alias("\0a")), b.groupBy(*keys).agg(denominator.alias("\0b"))
-    joined = left.join(right, keys, "full") if keys else left.crossJoin(right)  # one row each without keys
+    joined = full_null_safe(left, right, keys) if keys else left.crossJoin(right)  # one row each without keys
     return joined.select(*keys, (ratio(F.col("\0a"), F.col("\0b")) * scale).alias(new))
 
 
@@ -59,15 +60,22 @@ def lifetime_value(df: DataFrame, entity: str, value: str, by: list[str] = ()) -
 
 
 def scorecard(df: DataFrame, date: str, metrics: list[dict]) -> DataFrame:
-    """Metrics against targets: name, value column, aggregation, grain, target and an optional filter each."""
-    out = None
-    for m in metrics:
-        rows = df.filter(m["filter"]) if m.get("filter") is not None else df
-        grid = rows.groupBy(F.to_date(F.date_trunc(m["grain"], date)).alias("period")).agg(by_name(m["aggregation"], m["value"]).cast("double").alias("value"))
-        status = F.when(F.col("value") >= m["target"], "on target").when(F.col("value") >= 0.9 * m["target"], "at risk").otherwise("behind")
-        one = grid.select(F.lit(m["name"]).alias("metric"), "period", "value", F.lit(float(m["target"])).alias("target"), status.alias("status"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Metrics against targets: name, value column, aggregation, grain, target and an optional filter each.
+
+    One scan for all: a row becomes one (metric, period, value) for each metric whose filter it meets, and one partial
+    aggregate runs over them. Values of metrics that aggregate alike share a column.
+    """
+    kinds = list(dict.fromkeys(m["aggregation"] for m in metrics))
+    cells = [
+        F.when(F.lit(True) if m.get("filter") is None else m["filter"], F.struct(F.lit(i).alias("at"), F.to_date(F.date_trunc(m["grain"], date)).alias("period"), F.lit(m["aggregation"]).alias("kind"), F.col(m["value"]).cast("double").alias("value")))
+        for i, m in enumerate(metrics)
+    ]
+    rows = df.select(F.inline(F.array_compact(F.array(*cells))))
+    counted = rows.groupBy("at", "period").agg(*[by_name(k, F.when(F.col("kind") == k, F.col("value"))).cast("double").alias("\0" + k) for k in kinds])
+    known = [F.struct(F.lit(m["name"]).alias("metric"), F.lit(float(m["target"])).alias("target"), F.col("\0" + m["aggregation"]).alias("value")) for m in metrics]
+    out = counted.select("period", F.get(F.array(*known), F.col("at")).alias("m")).select("m.metric", "period", "m.value", "m.target")
+    status = F.when(F.col("value") >= F.col("target"), "on target").when(F.col("value") >= 0.9 * F.col("target"), "at risk").otherwise("behind")
+    return out.withColumn("status", status)
 
 
 def sla(df: DataFrame, seconds: tuple[str, float] | None = None, score: tuple[str, float] | None = None, valid: str | None = None) -> DataFrame:

@@ -52,6 +52,37 @@ def combine(roles: dict[str, str], how: str = "or") -> Column:
     return reduce((lambda a, b: a | b) if how == "or" else (lambda a, b: a & b), [F.expr(f"({p})") for p in different])
 
 
+def consolidate(roles: list[tuple[str, str, str, str]], how: str = "or") -> dict[str, dict[str, str]]:
+    """Roles of several sources, each (source, role, table, SQL predicate), as {role: {table: predicate}}.
+
+    Predicates of one role and table that are written alike count once; different ones are joined by or, by and, or, with
+    "namespace", kept apart as roles `source.role`. A role of one name over several tables keeps a predicate for each.
+    """
+    if how not in ("or", "and", "namespace"):
+        raise ValueError(how)
+    found: dict[tuple[str, str], dict[str, list[str]]] = {}
+    for source, role, table, predicate in roles:
+        found.setdefault((role, table), {}).setdefault(" ".join(predicate.split()), []).append(source)
+    apart = {role for (role, _), predicates in found.items() if how == "namespace" and len(predicates) > 1}
+    out: dict[str, dict[str, str]] = {}
+    for (role, table), predicates in found.items():
+        if role in apart:
+            for predicate, sources in predicates.items():
+                for source in sources:
+                    mine = out.setdefault(f"{source}.{role}", {})
+                    mine[table] = f"{mine[table]} AND ({predicate})" if table in mine else f"({predicate})"
+        else:
+            out.setdefault(role, {})[table] = f" {how if how != 'namespace' else 'or'} ".join(f"({p})" for p in predicates)
+    return out
+
+
+def visible(df: DataFrame, table: str, roles: dict[str, dict[str, str]]) -> DataFrame:
+    """(role, the row) for every role of consolidate() and row of a table that it sees, in one scan; a role without a
+    predicate for the table sees all of it."""
+    seen = F.array_compact(F.array(*[F.when(F.expr(tables.get(table, "true")), F.lit(role)) for role, tables in roles.items()]))
+    return df.withColumn("role", F.explode(seen)).select("role", *[c for c in df.columns if c != "role"])
+
+
 def propagate(fact: DataFrame, *filtered: tuple[DataFrame, str, str]) -> DataFrame:
     """Filters of dimensions passed on to the fact along its relationships."""
     for dim, fk, dk in filtered:

@@ -26,13 +26,18 @@ def cadence(grain: str, date: Column) -> Column:
     return F.to_date(F.date_trunc(grain, date))
 
 
-def dense(df: DataFrame, date: str, dims: list[str], measure: Column, grain: str = "month", name: str = "value") -> DataFrame:
-    """A measure by period and dims, with a row (null) for every period between the first and the last of each dims."""
-    grid = df.groupBy(*dims, cadence(grain, F.col(date)).alias("period")).agg(measure.alias(name))
+def dense(df: DataFrame, date: str, dims: list[str], measure: Column | dict[str, Column], grain: str = "month", name: str = "value") -> DataFrame:
+    """A measure, or several by name, by period and dims, with a row (null) for every period between the first and the last of each dims."""
+    measures = measure if isinstance(measure, dict) else {name: measure}
+    grid = df.groupBy(*dims, cadence(grain, F.col(date)).alias("period")).agg(*[m.alias(n) for n, m in measures.items()])
     step = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTH", "year": "INTERVAL 1 YEAR"}[grain]
     edges = grid.groupBy(*dims).agg(F.min("period").alias("\0lo"), F.max("period").alias("\0hi"))
     periods = edges.select(*dims, F.explode(F.sequence("\0lo", "\0hi", F.expr(step))).alias("period"))
-    return periods.join(grid, [*dims, "period"], "left")
+    named = grid.withColumnsRenamed({k: "\0key_" + k for k in (*dims, "period")})
+    same = F.lit(True)
+    for k in (*dims, "period"):
+        same = same & F.col(k).eqNullSafe(F.col("\0key_" + k))
+    return periods.join(named, same, "left").drop(*["\0key_" + k for k in (*dims, "period")])
 
 
 def to_date_total(grid: DataFrame, dims: list[str], within: str = "year", name: str = "value", new: str = "ytd") -> DataFrame:
@@ -55,13 +60,21 @@ def year_over_year(grid: DataFrame, dims: list[str], name: str = "value") -> Dat
 
 
 def standard_set(df: DataFrame, date: str, dims: list[str], measures: dict[str, Column], grain: str = "month") -> DataFrame:
-    """Each measure with its year to date, prior year and year over year, in one table by dims and period."""
-    out = None
-    for name, measure in measures.items():
-        grid = dense(df, date, dims, measure, grain, name)
-        grid = year_over_year(to_date_total(grid, dims, "year", name, f"{name}_ytd"), dims, name)
-        out = grid if out is None else out.join(grid, [*dims, "period"], "full")
-    return out
+    """Each measure with its year to date, prior year and year over year, in one table by dims and period.
+
+    One scan and one dense grid for all measures; one window gives all years to date and one join all prior years.
+    """
+    names = list(measures)
+    grid = dense(df, date, dims, measures, grain)
+    w = Window.partitionBy(*dims, F.date_trunc("year", "period")).orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    totals = grid.withColumns({f"{n}_ytd": F.sum(n).over(w) for n in names})
+    moved = grid.groupBy(*[F.col(d).alias("\0key_" + d) for d in dims], F.add_months("period", 12).alias("\0key_period")).agg(*[F.max(n).alias(f"{n}_py") for n in names])
+    same = F.lit(True)
+    for k in (*dims, "period"):
+        same = same & F.col(k).eqNullSafe(F.col("\0key_" + k))
+    beside = totals.join(moved, same, "left")
+    yoy = {n: F.try_divide(F.col(n) - F.col(f"{n}_py"), F.col(f"{n}_py")) for n in names}
+    return beside.select(*dims, "period", *[c for n in names for c in (F.col(n), F.col(f"{n}_ytd"), F.col(f"{n}_py"), yoy[n].alias(f"{n}_yoy"))])
 
 
 def between(grid: DataFrame, anchor: datetime.date, months: int) -> DataFrame:

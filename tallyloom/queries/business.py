@@ -110,6 +110,9 @@ query("sec_02_own", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDI
 query("sec_03_by_dimension", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 8000)")(lambda t: security.by_dimension(t.orders, t.customer, ("o_custkey", "c_custkey"), C("c_acctbal") > 8000).select("o_orderkey"))
 query("sec_04_member", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0")(lambda t: security.member_of(t.customer, t.nation.select(C("n_name").alias("user"), F.lit("admins").alias("group")), "nobody", "admins", C("c_acctbal") < 0).select("c_custkey", "c_acctbal"))
 query("sec_05_combine", "SELECT c_custkey FROM customer WHERE c_acctbal > 9000 OR c_nationkey = 3")(lambda t: t.customer.filter(security.combine({"rich": "c_acctbal > 9000", "rich2": "c_acctbal  >  9000", "three": "c_nationkey = 3"})).select("c_custkey"))
+ROLES = [("sales", "rich", "customer", "c_acctbal > 9000"), ("hr", "rich", "customer", "c_acctbal  >  9500"), ("hr", "three", "customer", "c_nationkey = 3"), ("sales", "three", "customer", "c_nationkey  = 3"), ("hr", "orders", "orders", "o_custkey = 1")]
+query("sec_05_namespaced", "SELECT 'sales.rich' AS role, c_custkey FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT 'hr.rich', c_custkey FROM customer WHERE c_acctbal > 9500 UNION ALL SELECT 'three', c_custkey FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'orders', c_custkey FROM customer")(lambda t: security.visible(t.customer, "customer", security.consolidate(ROLES, "namespace")).select("role", "c_custkey"))
+query("sec_05_merged", "SELECT 'rich' AS role, c_custkey FROM customer WHERE c_acctbal > 9500 UNION ALL SELECT 'three', c_custkey FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'orders', c_custkey FROM customer")(lambda t: security.visible(t.customer, "customer", security.consolidate(ROLES, "and")).select("role", "c_custkey"))
 query("sec_07_propagate", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))")(lambda t: security.propagate(t.orders, (security.propagate(t.customer, (t.nation.filter("n_regionkey = 1"), "c_nationkey", "n_nationkey")), "o_custkey", "c_custkey")).select("o_orderkey"))
 query("sec_08_classify", "SELECT 'contact' AS \"column\", 'email' AS kind, 'value' AS \"by\", 1.0::DOUBLE AS share UNION ALL SELECT 'host', 'ip', 'value', 1.0::DOUBLE UNION ALL SELECT 'c_name', 'name', 'name', NULL WHERE false")(lambda t: security.classify(t.customer.select(F.concat(F.lit("c"), C("c_custkey"), F.lit("@example.com")).alias("contact"), F.concat(F.lit("10.0.0."), C("c_nationkey")).alias("host"), C("c_mktsegment").alias("seg"))))
 query("sec_09_masked", "SELECT sha256(CAST(c_custkey AS VARCHAR)) AS c_custkey, regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'), '[0-9]', 'n', 'g') AS c_name, c_mktsegment FROM (SELECT c_custkey, upper(c_name) AS c_name, c_mktsegment FROM customer)")(lambda t: security.masked(t.customer.select("c_custkey", F.upper("c_name").alias("c_name"), "c_acctbal", "c_mktsegment"), {"c_custkey": "hash", "c_name": "mask", "c_acctbal": "drop", "c_mktsegment": "public"}))

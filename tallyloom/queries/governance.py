@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import uuid
 
-from pyspark.sql import Window
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +103,19 @@ def _refresh(t):
 query("inc_01_refresh", "SELECT o_orderkey, round(CASE WHEN year(o_orderdate) = 1997 THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS v FROM orders WHERE year(o_orderdate) >= 1995")(_refresh)
 
 
+def _retained(t):
+    """What is left of a table after two refreshes that delete expired years: the files themselves are read."""
+    path = shared(t)
+    orders = t.orders.select("o_orderkey", "o_orderdate", C("o_totalprice").alias("v"))
+    incremental.first_load(orders, path, "o_orderdate", "year")
+    for _ in range(2):  # a rerun changes nothing
+        incremental.refresh(orders.filter("o_orderdate < date '1998-01-01'"), path, "o_orderdate", datetime.date(1997, 6, 1), "year", 1, 3, drop=True)
+    return t.spark.read.parquet(path).select("o_orderkey", r(C("v"), 2).alias("v"))
+
+
+query("inc_01_retention", "SELECT o_orderkey, round(o_totalprice, 2) AS v FROM orders WHERE year(o_orderdate) >= 1995")(_retained)
+
+
 def _items(t):
     return t.documents.select("doc_id", C("n_chars").alias("stamp"), F.sha2("text", 256).alias("digest"))
 
@@ -122,6 +135,18 @@ def _versions(t):
 
 
 query("inc_05_merge", "SELECT c_custkey, round(c_acctbal + 1, 2) AS c_acctbal, c_mktsegment, CAST(c_mktsegment <> 'NEW' AS INT) AS conflicts FROM customer")(lambda t: incremental.merge(_versions(t)[0], _versions(t)[0].withColumn("c_acctbal", C("c_acctbal") + 1).withColumn("c_mktsegment", F.lit("NEW")), "c_custkey", ["c_mktsegment"]).select("c_custkey", r(C("c_acctbal"), 2).alias("c_acctbal"), "c_mktsegment", "conflicts"))
+def _observed(t):
+    """Rows, additions and conflicts of a merge, counted by the pass that writes it."""
+    old, new = _versions(t)
+    seen = Observation("merge")
+    path = shared(t)
+    incremental.merge(old, new, "c_custkey", ["c_acctbal"], seen).write.parquet(path)
+    counts = seen.get
+    return t.spark.read.parquet(path).agg(one().alias("rows"), F.sum("conflicts").cast("long").alias("conflicts")).select("rows", "conflicts", *[F.lit(counts[c]).cast("long").alias("seen_" + c) for c in ("rows", "added", "kept", "conflicts")])
+
+
+MERGED = "(SELECT o.c_custkey AS o, n.k AS k, CASE WHEN o.c_custkey = n.k AND n.v <> o.c_acctbal THEN 1 ELSE 0 END AS x FROM customer o FULL JOIN (SELECT CASE WHEN c_custkey % 11 = 0 THEN -c_custkey - 1 ELSE c_custkey END AS k, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS v FROM customer WHERE c_custkey % 7 <> 0) n ON o.c_custkey = n.k)"
+query("inc_05_observed", f"SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(x) AS BIGINT) AS conflicts, CAST(count(*) AS BIGINT) AS seen_rows, CAST(count(*) FILTER (WHERE o IS NULL) AS BIGINT) AS seen_added, CAST(count(*) FILTER (WHERE k IS NULL) AS BIGINT) AS seen_kept, CAST(sum(x) AS BIGINT) AS seen_conflicts FROM {MERGED}")(_observed)
 query("inc_06_diff", "WITH n AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN -c_custkey - 1 ELSE c_custkey END AS k, CASE WHEN c_custkey % 3 = 0 THEN 'm' ELSE 'u' END AS s FROM customer WHERE c_custkey % 7 <> 0) SELECT coalesce(c_custkey, k) AS c_custkey, CASE WHEN c_custkey IS NULL THEN 'added' WHEN k IS NULL THEN 'removed' WHEN s = 'm' THEN 'modified' ELSE 'unchanged' END AS status FROM customer FULL JOIN n ON c_custkey = k")(lambda t: incremental.versions(*_versions(t), ["c_custkey"]))
 
 

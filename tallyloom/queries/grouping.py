@@ -43,11 +43,12 @@ query("jon_08_cross", "SELECT n_name, r_name FROM nation, region")(lambda t: joi
 query("jon_09_multi_key", "SELECT a.l_orderkey, a.l_linenumber, b.l_quantity AS again FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber")(lambda t: joins.join(t.lineitem.select("l_orderkey", "l_linenumber"), t.lineitem.select(C("l_orderkey").alias("k"), C("l_linenumber").alias("n"), C("l_quantity").alias("again")), [("l_orderkey", "k"), ("l_linenumber", "n")], "inner"))
 query("jon_10_computed_key", "SELECT o_orderkey, year(o_orderdate) AS y, n.n_name FROM orders JOIN nation n ON year(o_orderdate) % 25 = n_nationkey")(lambda t: joins.join(t.orders.select("o_orderkey", F.year("o_orderdate").alias("y")), t.nation, [(C("y") % 25, "n_nationkey")], "inner", ["n_name"]))
 query("jon_11_expand", "SELECT o_orderkey, o_custkey, o_totalprice, c_mktsegment AS cust_c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")(lambda t: joins.join(_orders(t), _cust(t), OC, "left", ["c_mktsegment"], "cust_"))
-query("jon_12_buffered", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda t: joins.join(t.nation.select("n_name", "n_regionkey"), joins.buffered(t.region), [("n_regionkey", "r_regionkey")], "inner").select("n_name", "r_name"))
+query("jon_12_buffered", "SELECT o_orderkey, c_mktsegment, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey")(lambda t: joins.join(t.orders.select("o_orderkey", "o_custkey"), joins.buffered(_cust(t)), OC, "inner").select("o_orderkey", "c_mktsegment", "c_nationkey"))
 query("jon_13_blend", "SELECT c_custkey AS k, c_mktsegment, n FROM customer LEFT JOIN (SELECT o_custkey AS k, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1) o ON c_custkey = o.k")(lambda t: joins.blend(t.customer.select(C("c_custkey").alias("k"), "c_mktsegment"), t.orders.select(C("o_custkey").alias("k")), ["k"], {"n": one()}))
 query("jon_14_related", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")(lambda t: joins.related(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), t.part, [("l_partkey", "p_partkey")], ["p_brand"]).drop("l_partkey"))
 query("jon_15_lookup_value", "SELECT c_custkey, CASE WHEN lo = hi THEN lo END AS o_orderstatus FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderstatus) AS lo, max(o_orderstatus) AS hi FROM orders GROUP BY 1) ON c_custkey = o_custkey")(lambda t: joins.lookup_value(t.customer.select("c_custkey"), t.orders, ("c_custkey", "o_custkey"), "o_orderstatus"))
-query("jon_16_star", "SELECT c_mktsegment, p_brand, round(sum(l_extendedprice), 2) AS v FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL")(lambda t: joins.star(t.lineitem, (t.orders, "l_orderkey", "o_orderkey"), (t.customer, "o_custkey", "c_custkey"), (t.part, "l_partkey", "p_partkey")).groupBy("c_mktsegment", "p_brand").agg(r(F.sum("l_extendedprice"), 2).alias("v")))
+query("jon_16_star", "SELECT c_mktsegment, p_brand, round(sum(l_extendedprice), 2) AS v FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL")(lambda t: joins.star_totals(t.lineitem, [(joins.snowflake(t.orders.select("o_orderkey", "o_custkey"), (t.customer, "o_custkey", "c_custkey", ["c_mktsegment"])), "l_orderkey", "o_orderkey", ["c_mktsegment"]), (t.part, "l_partkey", "p_partkey", ["p_brand"])], {"v": C("l_extendedprice")}).withColumn("v", F.round("v", 2)))
+query("jon_16_star_rows", "SELECT l_orderkey, l_linenumber, o_orderpriority, p_brand FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey")(lambda t: joins.star(t.lineitem, (t.orders, "l_orderkey", "o_orderkey"), (t.part, "l_partkey", "p_partkey")).select("l_orderkey", "l_linenumber", "o_orderpriority", "p_brand"))
 query("jon_17_cardinality", "SELECT a AS left_most, b AS right_most, CASE WHEN a > 1 THEN 'many' ELSE 'one' END || '-to-' || CASE WHEN b > 1 THEN 'many' ELSE 'one' END AS kind FROM (SELECT max(n) AS a FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)), (SELECT max(n) AS b FROM (SELECT count(*) AS n FROM customer GROUP BY c_custkey))")(lambda t: joins.cardinality(t.orders, t.customer, ("o_custkey", "c_custkey")))
 query("jon_18_aligned", "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")(lambda t: joins.join(t.orders.select("o_orderkey", "o_custkey"), joins.aligned(t.orders, t.customer.select(C("c_custkey").cast("string").alias("c_custkey"), "c_mktsegment"), ("o_custkey", "c_custkey")), OC, "inner").select("o_orderkey", "c_mktsegment"))
 
@@ -97,6 +98,29 @@ query("agg_34_measure_switch", "SELECT l_returnflag, 'n' AS measure, CAST(count(
 query("agg_35_dimension_switch", "SELECT 'l_returnflag' AS dimension, l_returnflag AS member, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY 2")(lambda t: A.dimension_switch(t.lineitem, ["l_returnflag", "l_linestatus"], {"n": one()}))
 query("agg_36_what_if", "SELECT d AS discount, round(s * (1 - d), 2) AS revenue FROM (SELECT sum(l_extendedprice) AS s FROM lineitem), (SELECT unnest([0.0, 0.1, 0.25])::DOUBLE AS d)")(lambda t: A.what_if(t.lineitem, "discount", [0.0, 0.1, 0.25], {"s": F.sum(E)}).select("discount", r(C("s") * (1 - C("discount")), 2).alias("revenue")))
 query("agg_37_preaggregated", "SELECT l_returnflag, CAST(count(*) AS BIGINT) AS rows, round(sum(l_quantity), 2) AS total, max(l_quantity) AS high, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1")(lambda t: A.Cube.build(t.lineitem.withColumn("d", F.to_date("l_shipdate")), ["l_returnflag", "l_linestatus", "d"], [Q]).ask(["l_returnflag"]).select("l_returnflag", "rows", r(C("l_quantity_sum"), 2).alias("total"), C("l_quantity_max").alias("high"), r(C("l_quantity_avg"), 6).alias("mean")))
+
+
+def _sketched(t):
+    """Each estimate beside the exact count, and whether it is within four standard errors."""
+    cube = A.Cube.build(t.lineitem.withColumn("y", F.year("l_shipdate")), ["l_returnflag", "l_linestatus", "y"], [], ["l_partkey"])
+    exact = t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("n"))
+    return cube.ask(["l_returnflag"]).join(exact, "l_returnflag").select("l_returnflag", "n", (F.abs(C("l_partkey_distinct") - C("n")) <= 4 * 0.01625 * C("n")).alias("close"))
+
+
+query("agg_10_sketched", "SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS n, true AS close FROM lineitem GROUP BY 1")(_sketched)
+
+
+def _shared(t):
+    cube = A.Cube.build(t.lineitem, ["l_linestatus", "l_returnflag"], [], ["l_partkey"])
+    found = cube.shared(["l_linestatus"], "l_partkey", C("l_returnflag") == "R", C("l_returnflag") == "A")
+    flags = t.lineitem.groupBy("l_linestatus", "l_partkey").agg(F.bool_or(C("l_returnflag") == "R").alias("r"), F.bool_or(C("l_returnflag") == "A").alias("a"))
+    exact = flags.groupBy("l_linestatus").agg(F.count_if(C("r") & C("a")).alias("n_both"), F.count_if(C("r") | C("a")).alias("n_either"), F.count_if(C("r") & ~C("a")).alias("n_only"))
+    # A part's error is that of the whole: 1 / sqrt(4096) of either, four times.
+    near = lambda e, n: F.abs(C(e) - C(n)) <= 4 * C("n_either") / 64
+    return found.join(exact, "l_linestatus").select("l_linestatus", "n_both", "n_either", "n_only", (near("both", "n_both") & near("either", "n_either") & near("only_one", "n_only")).alias("close"))
+
+
+query("agg_37_shared_values", "SELECT l_linestatus, CAST(count(*) FILTER (WHERE r AND a) AS BIGINT) AS n_both, CAST(count(*) FILTER (WHERE r OR a) AS BIGINT) AS n_either, CAST(count(*) FILTER (WHERE r AND NOT a) AS BIGINT) AS n_only, true AS close FROM (SELECT l_linestatus, l_partkey, bool_or(l_returnflag = 'R') AS r, bool_or(l_returnflag = 'A') AS a FROM lineitem GROUP BY 1, 2) GROUP BY 1")(_shared)
 query("agg_38_by_name", "SELECT l_linestatus, round(stddev_samp(l_tax), 6) AS stdev, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS ctd, round(median(l_tax), 6) AS median FROM lineitem GROUP BY 1")(lambda t: A.group(t.lineitem, ["l_linestatus"], {"stdev": r(A.by_name("stdev", "l_tax"), 6), "ctd": A.by_name("ctd", "l_suppkey"), "median": r(A.by_name("median", "l_tax"), 6)}))
 query("agg_39_measure_names", "SELECT 'qty' AS measure, round(sum(l_quantity), 2) AS value FROM lineitem UNION ALL SELECT 'rows', CAST(count(*) AS DOUBLE) FROM lineitem")(lambda t: A.measure_switch(t.lineitem, [], {"qty": r(F.sum(Q), 2), "rows": one()}))
 query("agg_40_validation", "SELECT l_shipmode AS flag, n, q FROM (SELECT l_returnflag AS l_shipmode, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1)")(lambda t: A.validation_grid(t.lineitem.withColumn("flag", C("l_returnflag")), "flag", {"n": one(), "q": r(F.sum(Q), 2)}))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: How long an alert stays silent after it was raised.
 THROTTLE = {"hourly": ("hour", "1 hour"), "daily": ("day", "1 day")}
@@ -53,6 +54,7 @@ def load_new(spark: SparkSession, source: str, target: str, checkpoint: str, sch
 
 def run_once(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
     """Run a stream over all that is there, append what it gives to a Parquet table, and read that table."""
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("append").parquet(target)  # without input there is no batch
     stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
@@ -62,9 +64,11 @@ def run_updates(stream: DataFrame, target: str, checkpoint: str, keys: list[str]
     version of a group is its result. Nothing but the groups' rows is written, and none of them by the driver."""
 
     def put(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("batch_", F.lit(batch)).write.mode("append").parquet(target)
+        rows.withColumn("batch_", F.lit(batch).cast("long")).write.mode("append").parquet(target)
 
+    kind = T.StructType([*stream.schema.fields, T.StructField("batch_", T.LongType())])
+    stream.sparkSession.createDataFrame([], kind).write.mode("append").parquet(target)  # without input there is no batch
     stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     rest = [c for c in stream.columns if c not in keys]
-    last = stream.sparkSession.read.parquet(target).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_").alias("last_"))
+    last = stream.sparkSession.read.schema(kind).parquet(target).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_").alias("last_"))
     return last.select(*[F.col(c) if c in keys else F.col(f"last_.`{c}`") for c in stream.columns])
