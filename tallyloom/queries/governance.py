@@ -180,8 +180,20 @@ def _run(t, df, keys=None):
     return jobs.run_updates(df, base + "/out", base + "/state", keys) if keys else jobs.run_once(df, base + "/out", base + "/state")
 
 
+def _raised(t):
+    return jobs.alerts(stream(t).select("event_id", "event_type", "value", "ts"), _rules(t), "event_type", "value")
+
+
+def _run_silenced(t, silence):
+    base = shared(t)
+    return jobs.run_once(jobs.silenced(_raised(t), silence), base + "/out", base + "/state", rocksdb=True).select("rule", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 query("stm_01_alerts", f"SELECT event_id, rule FROM {RULES}")(lambda t: _run(t, jobs.alerts(stream(t).select("event_id", "event_type", "value", "ts"), _rules(t), "event_type", "value").select("event_id", "rule")))
 query("stm_02_throttled", f"SELECT rule, CAST(count(DISTINCT date_trunc('day', ts)) AS BIGINT) AS n FROM {RULES} GROUP BY 1")(lambda t: _run(t, jobs.throttled(jobs.alerts(stream(t).select("event_id", "event_type", "value", "ts"), _rules(t), "event_type", "value"), "daily").select("rule", "alert_period")).groupBy("rule").agg(one().alias("n")))
+query("stm_02_hourly", f"SELECT rule, CAST(count(DISTINCT date_trunc('hour', ts)) AS BIGINT) AS n FROM {RULES} GROUP BY 1")(lambda t: _run(t, jobs.throttled(_raised(t), "hourly").select("rule", "alert_period")).groupBy("rule").agg(one().alias("n")))
+query("stm_02_once", f"SELECT rule, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS at FROM {RULES} GROUP BY 1")(lambda t: _run_silenced(t, None))
+query("stm_02_silenced", f"WITH RECURSIVE a AS MATERIALIZED (SELECT rule, ts FROM {RULES}), s AS (SELECT rule, min(ts) AS ts FROM a GROUP BY 1 UNION ALL SELECT s.rule, min(a.ts) FROM s JOIN a ON a.rule = s.rule AND a.ts >= s.ts + INTERVAL 1 DAY GROUP BY s.rule, s.ts) SELECT rule, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM s")(lambda t: _run_silenced(t, "1 DAY"))
 query("stm_03_metric", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS h, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(lambda t: _run(t, jobs.metric(stream(t), "ts", "1 hour", ["event_type"], "value"), ["window_start", "event_type"]).select(F.date_format("window_start", "yyyy-MM-dd HH").alias("h"), "event_type", "n", F.round("total", 4).alias("total")))
 query("stm_04_breaches", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS d, event_type, CAST(count(*) AS BIGINT) AS items, CAST(count(*) FILTER (WHERE value > 90) AS BIGINT) AS breaches FROM events GROUP BY 1, 2")(lambda t: _run(t, jobs.breaches(stream(t), "ts", "1 day", ["event_type"], "value", 90.0), ["window_start", "event_type"]).select(F.date_format("window_start", "yyyy-MM-dd").alias("d"), "event_type", "items", "breaches"))
 

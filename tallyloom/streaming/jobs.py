@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: How long an alert stays silent after it was raised.
 THROTTLE = {"hourly": ("hour", "1 hour"), "daily": ("day", "1 day")}
@@ -31,6 +36,54 @@ def throttled(raised: DataFrame, how: str, time: str = "ts") -> DataFrame:
     return cut.withWatermark(time, delay).dropDuplicatesWithinWatermark(["rule", "alert_period"])
 
 
+class _Silence(StatefulProcessor):
+    """Of each rule, the alerts at least `micros` after the one raised last; None is silence for good."""
+
+    def __init__(self, micros: int | None):
+        self.micros = micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.until = handle, handle.getValueState("until", "micros long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # A rule's times of one batch are sorted: eight bytes an alert.
+        times = np.sort(np.concatenate([b["micros"].to_numpy(np.int64) for b in rows]))
+        until, raised = (self.until.get()[0] if self.until.exists() else None), []
+        while len(times):
+            at = 0 if until is None else int(np.searchsorted(times, until))
+            if at == len(times):
+                break
+            raised.append(int(times[at]))
+            until = np.iinfo(np.int64).max if self.micros is None else raised[-1] + self.micros
+            times = times[at + 1 :]
+        if raised:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.until.update((until,))
+            if self.micros is not None:
+                self.handle.registerTimer(until // 1000 + 1)
+            yield pd.DataFrame({"rule": np.array([key[0]] * len(raised), object), "micros": np.array(raised, np.int64)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.until.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def silenced(raised: DataFrame, silence: str | None = None, time: str = "ts", late: str = "1 hour") -> DataFrame:
+    """A stream of (rule, time): alerts of which each silences its rule for an interval such as "1 day"; None is once and for all.
+
+    A state of one number a rule is kept, and dropped by a timer once the watermark has passed the end of its silence. Late
+    alerts within a silence are silent, too. Needs run_once() with rocksdb, as the state has timers.
+    """
+    micros = None if silence is None else raised.sparkSession.sql(f"SELECT CAST(unix_micros(TIMESTAMP '1970-01-01 00:00:00+00:00' + INTERVAL {silence}) AS LONG)").first()[0]
+    rows = raised.select("rule", F.col(time).alias("ts"), F.unix_micros(time).alias("micros")).filter("rule is not null and ts is not null").withWatermark("ts", late)
+    out = rows.groupBy("rule").transformWithStateInPandas(_Silence(micros), "rule string, micros long", "append", "EventTime")
+    return out.select("rule", F.timestamp_micros("micros").alias(time))
+
+
 def metric(readings: DataFrame, time: str, every: str, keys: list[str], value: str, late: str = "1 day") -> DataFrame:
     """Count, sum and extremes by tumbling window and keys."""
     rows = readings.withWatermark(time, late) if readings.isStreaming else readings
@@ -52,11 +105,25 @@ def load_new(spark: SparkSession, source: str, target: str, checkpoint: str, sch
     rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()
 
 
-def run_once(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there, append what it gives to a Parquet table, and read that table."""
-    stream.sparkSession.createDataFrame([], stream.schema).write.mode("append").parquet(target)  # without input there is no batch
-    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(target)
+#: The state store that keeps states with timers and many rows on disk.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_once(stream: DataFrame, target: str, checkpoint: str, rocksdb: bool = False) -> DataFrame:
+    """Run a stream over all that is there, append what it gives to a Parquet table, and read that table.
+
+    Without input the table is empty. The setting that `rocksdb` needs is put back when the run is over.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(target)
+    before = spark.conf.get(ROCKSDB[0])
+    try:
+        if rocksdb:
+            spark.conf.set(*ROCKSDB)
+        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()
+    finally:
+        spark.conf.set(ROCKSDB[0], before)
+    return spark.read.schema(stream.schema).parquet(target)
 
 
 def run_updates(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> DataFrame:
