@@ -13,7 +13,7 @@ from tallyloom.functions import scripts
 from tallyloom.operators import columns, filters, incremental, joins, lineage, quality, reshape
 from tallyloom.plans.flow import Flow
 from tallyloom.shared import shared_dir
-from tallyloom.sources import readers, writers
+from tallyloom.sources import documents, readers, writers
 from tallyloom.streaming import jobs
 
 from .registry import query, r
@@ -330,6 +330,15 @@ def _catalog(t):
     return readers.catalog(t.spark, f"spark_catalog.default.{name}")
 
 
+def _documents(t):
+    """Customers as documents, scanned with filters that the source takes over."""
+    path = shared(t)
+    documents.write(t.customer.select("c_custkey", "c_name", "c_acctbal", F.struct("c_nationkey", "c_mktsegment").alias("home")), path, "customer", rows_per_file=1000)
+    found = documents.read(t.spark, path, "customer", "c_custkey long, c_name string, c_acctbal double, home struct<c_nationkey:int,c_mktsegment:string>")
+    return found.filter("c_acctbal > 0 and c_custkey >= 100 and home.c_nationkey <> 3").select("c_custkey", "c_name", "c_acctbal", "home.c_mktsegment")
+
+
+query("src_09_documents", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0 AND c_custkey >= 100 AND c_nationkey <> 3")(_documents)
 query("src_10_catalog", CUST_SQL)(_catalog)
 
 
