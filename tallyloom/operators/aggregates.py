@@ -39,6 +39,18 @@ def collect_points(lat: Column | str, lon: Column | str) -> Column:
     return F.collect_list(F.struct(_c(lat).alias("lat"), _c(lon).alias("lon")))
 
 
+def collect_parts(df: DataFrame, keys: list[str], lat: str, lon: str, most: int = 10_000) -> DataFrame:
+    """(keys, part, points): a group's points in several rows of about `most`, for groups that no row can hold.
+
+    Rows are dealt by a hash of all their columns to as many parts as the group's count asks for: the same parts whatever
+    Spark runs again. Rows equal in all columns share a part.
+    """
+    sizes = df.groupBy(*[F.col(k).alias("\0key_" + k) for k in keys]).agg(F.greatest(F.ceil(F.count(F.lit(1)) / most), F.lit(1)).cast("long").alias("\0parts"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("\0key_" + k)) for k in keys], F.lit(True))
+    dealt = df.join(sizes, same).withColumn("part", F.pmod(F.xxhash64(*df.columns), F.col("\0parts")))
+    return dealt.groupBy(*keys, "part").agg(collect_points(lat, lon).alias("points"))
+
+
 def distinct_count(x: Column | str, approximate: bool = False) -> Column:
     """Nulls do not count."""
     return F.approx_count_distinct(x) if approximate else F.count_distinct(_c(x))

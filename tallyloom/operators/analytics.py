@@ -142,6 +142,14 @@ def clusters(df: DataFrame, variables: list[str], k: int | None = None, seed: in
     return fitted(k).drop("\0raw", "\0x")
 
 
+def assigned(df: DataFrame, variables: list[str], centres: list[tuple[float, ...]]) -> DataFrame:
+    """Rows with the number of the nearest of given centres (the first of equally near ones) and the squared distance to it;
+    rows with a null variable have none."""
+    apart = [sum(((F.col(v).cast("double") - float(c)) * (F.col(v).cast("double") - float(c)) for v, c in zip(variables, centre, strict=True)), F.lit(0.0)) for centre in centres]
+    near = F.array_min(F.array(*[F.when(d.isNotNull(), F.struct(d.alias("d"), F.lit(i).alias("i"))) for i, d in enumerate(apart)]))
+    return df.withColumn("\0near", near).withColumns({"cluster": F.col("\0near.i"), "distance": F.col("\0near.d")}).drop("\0near")
+
+
 def histogram(df: DataFrame, value: str, size: float) -> DataFrame:
     """Counts by bin; empty bins have no row."""
     return df.filter(F.col(value).isNotNull()).groupBy((F.floor(F.col(value) / size) * size).alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -96,7 +96,21 @@ def MONTHS():
 
 
 query("anl_11_forecast", "WITH s AS (SELECT o_orderpriority AS p, year(o_orderdate) * 12 + month(o_orderdate) AS x, CAST(count(*) AS DOUBLE) AS y FROM orders GROUP BY 1, 2), l AS (SELECT p, max(x) AS m FROM s GROUP BY 1), f AS (SELECT s.p, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, any_value(m) AS m FROM s JOIN l ON s.p = l.p WHERE x <= m - 1 GROUP BY 1) SELECT p, CAST(m - 1 + i AS INT) AS x, round(a + b * (m - 1 + i), 4) AS forecast FROM f, (SELECT unnest([1, 2, 3, 4]) AS i)")(lambda t: analytics.forecast(t.orders.groupBy(C("o_orderpriority").alias("p"), MONTHS().alias("x")).agg(one().cast("double").alias("y")), "x", "y", 3, ["p"], ignore_last=1).select("p", C("x").cast("int").alias("x"), F.round("forecast", 4).alias("forecast")))
-query("anl_11_holt_winters")(lambda t: analytics.holt_winters(t.orders.groupBy(C("o_orderpriority").alias("p"), MONTHS().alias("x")).agg(one().cast("double").alias("y")), "x", "y", 6, "p", ignore_last=1))
+#: Level, trend, twelve seasons and squared errors, carried from month to month; a series under two years has no seasons.
+HOLT_WINTERS = """WITH RECURSIVE r AS (SELECT p, x, y, row_number() OVER (PARTITION BY p ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY p) AS n
+  FROM (SELECT o_orderpriority AS p, year(o_orderdate) * 12 + month(o_orderdate) AS x, count(*)::DOUBLE AS y FROM orders GROUP BY 1, 2)),
+g AS (SELECT p, list(y ORDER BY i) AS ys, max(x) AS last, count(*)::INT AS len, CASE WHEN count(*) >= 24 THEN 12 ELSE 1 END AS m FROM r WHERE i < greatest(n - 1, 1) GROUP BY p),
+t AS (SELECT *, CASE WHEN len >= 2 * m THEN (list_sum(ys[m + 1:2 * m]) - list_sum(ys[1:m])) / m / m ELSE 0.0 END AS trend, list_sum(ys[1:m]) / m AS middle FROM g),
+w AS (SELECT p, ys, last, len, m, 0 AS i, middle - trend * (m + 1) / 2 AS level, trend, CASE WHEN m > 1 THEN list_transform(range(m), lambda k: ys[k + 1] - (middle + trend * (k - (m - 1) / 2.0))) ELSE [0.0::DOUBLE] END AS seasons, 0.0::DOUBLE AS sq FROM t
+  UNION ALL
+  SELECT p, ys, last, len, m, i + 1, l, 0.05 * (l - level) + 0.95 * trend, CASE WHEN m > 1 THEN list_concat(list_concat(seasons[1:j - 1], [0.2 * (v - l) + 0.8 * s]), seasons[j + 1:m]) ELSE seasons END, sq + CASE WHEN i >= m THEN (v - (level + trend + s)) * (v - (level + trend + s)) ELSE 0 END
+  FROM (SELECT *, 0.3 * (v - s) + 0.7 * (level + trend) AS l FROM (SELECT *, ys[i + 1] AS v, seasons[i % m + 1] AS s, i % m + 1 AS j FROM w WHERE i < len))),
+f AS (SELECT p, last + k AS x, level + k * trend + seasons[(len + k - 1) % m + 1] AS forecast, 1.959963984540054 * sqrt(sq / greatest(len - m, 1)) * sqrt(1 + coalesce(list_sum(list_transform(range(1, k), lambda q: power(0.3 * (1 + q * 0.05) + CASE WHEN m > 1 AND q % m = 0 THEN 0.14 ELSE 0 END, 2))), 0)) AS half
+  FROM w, (SELECT unnest(range(1, 8)) AS k) WHERE i = len)
+SELECT p, CAST(x AS BIGINT) AS x, round(forecast, 6) AS forecast, round(forecast - half, 6) AS low, round(forecast + half, 6) AS high FROM f"""
+query("anl_11_holt_winters", HOLT_WINTERS)(lambda t: analytics.holt_winters(t.orders.groupBy(C("o_orderpriority").alias("p"), MONTHS().alias("x")).agg(one().cast("double").alias("y")), "x", "y", 6, "p", ignore_last=1).select("p", "x", *[F.round(c, 6).alias(c) for c in ("forecast", "low", "high")]))
+CENTRES = [(5.0, 1000.0), (20.0, 1200.0), (40.0, 1500.0)]
+query("anl_12_assigned", f"SELECT p_partkey, list_position(d, list_min(d)) - 1 AS cluster, round(list_min(d), 4) AS distance FROM (SELECT p_partkey, [{', '.join(f'(p_size - {a}) * (p_size - {a}) + (p_retailprice - {b}) * (p_retailprice - {b})' for a, b in CENTRES)}] AS d FROM part)")(lambda t: analytics.assigned(t.part, ["p_size", "p_retailprice"], CENTRES).select("p_partkey", C("cluster").alias("cluster"), F.round("distance", 4).alias("distance")))
 query("anl_12_clusters")(lambda t: analytics.clusters(t.part.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 4))
 query("anl_13_histogram", "SELECT CAST(floor(o_totalprice / 25000) * 25000 AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")(lambda t: analytics.histogram(t.orders, "o_totalprice", 25000).select(C("bin").cast("long").alias("bin"), "n"))
 

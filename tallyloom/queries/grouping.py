@@ -81,7 +81,8 @@ G("agg_17_corr", lambda: r(A.corr(Q, E)), "round(coalesce(corr(l_quantity, l_ext
 G("agg_18_covar", lambda: r(F.covar_samp(Q, E), 2), "round(covar_samp(l_quantity, l_extendedprice), 2)")
 G("agg_19_covarp", lambda: r(F.covar_pop(Q, E), 2), "round(covar_pop(l_quantity, l_extendedprice), 2)")
 query("agg_20_attr", "SELECT o_custkey, CASE WHEN min(o_orderstatus) = max(o_orderstatus) THEN min(o_orderstatus) END AS status FROM orders GROUP BY 1")(lambda t: A.group(t.orders, ["o_custkey"], {"status": A.attr("o_orderstatus")}))
-query("agg_21_collect", "SELECT n_regionkey, CAST(count(*) AS BIGINT) AS points, CAST(sum(n_nationkey) AS BIGINT) AS lat_sum FROM nation GROUP BY 1")(lambda t: A.group(t.nation, ["n_regionkey"], {"p": A.collect_points(C("n_nationkey"), C("n_regionkey"))}).select("n_regionkey", F.size("p").cast("long").alias("points"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["lat"]).alias("lat_sum")))
+query("agg_21_collect", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS points, round(sum(o_totalprice), 2) AS lat_sum FROM orders GROUP BY 1")(lambda t: A.group(t.orders, ["o_custkey"], {"p": A.collect_points(C("o_totalprice"), C("o_orderkey"))}).select("o_custkey", F.size("p").cast("long").alias("points"), F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x["lat"]), 2).alias("lat_sum")))
+query("agg_21_collect_parts", "SELECT l_returnflag, CAST(count(*) AS BIGINT) AS points, round(sum(l_quantity), 2) AS lat_sum FROM lineitem GROUP BY 1")(lambda t: A.collect_parts(t.lineitem, ["l_returnflag"], "l_quantity", "l_extendedprice").groupBy("l_returnflag").agg(F.sum(F.size("points")).alias("points"), F.round(F.sum(F.aggregate("points", F.lit(0.0), lambda a, x: a + x["lat"])), 2).alias("lat_sum")))
 G("agg_22_conditional", lambda: r(A.when_true(F.sum, C("l_discount") > 0.05, C(E)), 2), "round(sum(l_extendedprice) FILTER (WHERE l_discount > 0.05), 2)")
 G("agg_23_conditional_distinct", lambda: A.when_true(A.distinct_count, C("l_discount") > 0.05, C("l_suppkey")), "CAST(count(DISTINCT l_suppkey) FILTER (WHERE l_discount > 0.05) AS BIGINT)")
 G("agg_24_row_expression", lambda: r(F.sum(C(E) * (1 - C("l_discount")) * (1 + C("l_tax"))), 2), "round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2)")
@@ -92,7 +93,7 @@ query("agg_28_distinct", "SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS o
 query("agg_29_group_all", "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2")(lambda t: A.group_all(t.lineitem.select("l_returnflag", "l_linestatus")))
 query("agg_30_totals", "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, CAST(grouping(l_returnflag) AS INT) AS is_total FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), ())")(lambda t: A.totals(t.lineitem, ["l_returnflag", "l_linestatus"], {"n": one()}))
 query("agg_31_subtotals", "SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, CAST(grouping_id(l_returnflag, l_linestatus) AS BIGINT) AS grouping_id FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())")(lambda t: A.subtotals(t.lineitem, ["l_returnflag", "l_linestatus"], {"n": one()}))
-query("agg_32_drill", "SELECT r_name, n_name, CAST(count(*) AS BIGINT) AS n, CAST(2 - grouping(r_name) - grouping(n_name) AS INT) AS level FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")(lambda t: A.drill(joins.related(t.nation, t.region, [("n_regionkey", "r_regionkey")], ["r_name"]), ["r_name", "n_name"], {"n": one()}))
+query("agg_32_drill", "SELECT r_name, n_name, CAST(count(*) AS BIGINT) AS n, CAST(2 - grouping(r_name) - grouping(n_name) AS INT) AS level FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")(lambda t: A.drill(joins.join(t.customer, joins.snowflake(t.nation, (t.region, "n_regionkey", "r_regionkey", ["r_name"])), [("c_nationkey", "n_nationkey")], "inner", ["r_name", "n_name"]), ["r_name", "n_name"], {"n": one()}))
 query("agg_33_date_drill", "SELECT year(o_orderdate) AS year, quarter(o_orderdate) AS quarter, month(o_orderdate) AS month, day(o_orderdate) AS day, CAST(count(*) AS BIGINT) AS n, CAST(4 - grouping(year(o_orderdate)) - grouping(quarter(o_orderdate)) - grouping(month(o_orderdate)) - grouping(day(o_orderdate)) AS INT) AS level FROM orders GROUP BY ROLLUP (year(o_orderdate), quarter(o_orderdate), month(o_orderdate), day(o_orderdate))")(lambda t: A.date_drill(t.orders, "o_orderdate", {"n": one()}))
 query("agg_34_measure_switch", "SELECT l_returnflag, 'n' AS measure, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 'q', round(sum(l_quantity), 2) FROM lineitem GROUP BY 1")(lambda t: A.measure_switch(t.lineitem, ["l_returnflag"], {"n": one(), "q": r(F.sum(Q), 2), "unused": F.max(E)}, ["n", "q"]))
 query("agg_35_dimension_switch", "SELECT 'l_returnflag' AS dimension, l_returnflag AS member, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY 2")(lambda t: A.dimension_switch(t.lineitem, ["l_returnflag", "l_linestatus"], {"n": one()}))

@@ -12,22 +12,26 @@ from .registry import query, r, scalar
 
 C = F.col
 
-query("prj_01_rename", "SELECT n_nationkey AS k, n_name AS nation, n_regionkey FROM nation")(lambda t: t.nation.transform(columns.rename({"n_nationkey": "k", "n_name": "nation"})))
-query("prj_02_remove", "SELECT n_nationkey, n_name FROM nation")(lambda t: t.nation.transform(columns.remove("n_regionkey")))
+def _named(t):
+    return t.customer.select("c_custkey", "c_name", "c_nationkey")
+
+
+query("prj_01_rename", "SELECT c_custkey AS k, c_name AS customer, c_nationkey FROM (SELECT c_custkey, c_name, c_nationkey FROM customer)")(lambda t: _named(t).transform(columns.rename({"c_custkey": "k", "c_name": "customer"})))
+query("prj_02_remove", "SELECT c_custkey, c_name FROM (SELECT c_custkey, c_name, c_nationkey FROM customer)")(lambda t: _named(t).transform(columns.remove("c_nationkey")))
 query("prj_03_keep", "SELECT c_custkey, c_mktsegment FROM customer")(lambda t: t.customer.transform(columns.keep("c_custkey", "c_mktsegment")))
-query("prj_04_duplicate", "SELECT *, n_name AS copy FROM nation")(lambda t: t.nation.transform(columns.duplicate("n_name", "copy")))
-query("prj_05_reorder", "SELECT n_name, n_nationkey, n_regionkey FROM nation")(lambda t: t.nation.transform(columns.reorder("n_name")))
+query("prj_04_duplicate", "SELECT *, c_name AS copy FROM (SELECT c_custkey, c_name, c_nationkey FROM customer)")(lambda t: _named(t).transform(columns.duplicate("c_name", "copy")))
+query("prj_05_reorder", "SELECT c_name, c_custkey, c_nationkey FROM (SELECT c_custkey, c_name, c_nationkey FROM customer)")(lambda t: _named(t).transform(columns.reorder("c_name")))
 query("prj_06_change_type", "SELECT o_orderkey, try_cast(substr(o_orderpriority, 1, 1) AS BIGINT) AS p, try_cast(o_orderstatus AS BIGINT) AS s FROM orders")(lambda t: t.orders.select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("p"), C("o_orderstatus").alias("s")).transform(columns.change_type({"p": "bigint", "s": "bigint"})))
 query("prj_07_add", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS revenue FROM lineitem")(lambda t: t.lineitem.transform(columns.add_column("revenue", r(C("l_extendedprice") * (1 - C("l_discount"))))).select("l_orderkey", "l_linenumber", "revenue"))
 query("prj_08_conditional", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_size > 20 THEN 'medium' ELSE 'small' END AS class FROM part")(lambda t: t.part.transform(columns.conditional("class", [(C("p_size") > 40, "large"), (C("p_size") > 20, "medium")], "small")).select("p_partkey", "class"))
 query("prj_09_split", "SELECT p_partkey, string_split(p_brand, '#')[1] AS p_brand_1, string_split(p_brand, '#')[2] AS p_brand_2 FROM part")(lambda t: t.part.select("p_partkey", "p_brand").transform(columns.split_by("p_brand", "#")).drop("p_brand"))
 query("prj_10_split_at", "SELECT p_partkey, substr(p_brand, 1, 2) AS p_brand_1, substr(p_brand, 3, 3) AS p_brand_2, substr(p_brand, 6) AS p_brand_3 FROM part")(lambda t: t.part.select("p_partkey", "p_brand").transform(columns.split_at("p_brand", [0, 2, 5])).drop("p_brand"))
-query("prj_11_merge", "SELECT n_regionkey, n_nationkey || '-' || n_name AS label FROM nation")(lambda t: t.nation.transform(columns.merge(["n_nationkey", "n_name"], "label", "-")))
-query("prj_12_combined", "SELECT *, n_name || ', ' || n_regionkey AS both FROM nation")(lambda t: t.nation.transform(columns.combined(["n_name", "n_regionkey"], "both")))
+query("prj_11_merge", "SELECT c_nationkey, c_custkey || '-' || c_name AS label FROM (SELECT c_custkey, c_name, c_nationkey FROM customer)")(lambda t: _named(t).transform(columns.merge(["c_custkey", "c_name"], "label", "-")))
+query("prj_12_combined", "SELECT *, c_name || ', ' || c_nationkey AS both FROM (SELECT c_custkey, c_name, c_nationkey FROM customer)")(lambda t: _named(t).transform(columns.combined(["c_name", "c_nationkey"], "both")))
 query("prj_13_index", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) * 10 AS i FROM customer")(lambda t: t.customer.transform(columns.index("i", ["c_acctbal", "c_custkey"], 10, 10)).select("c_custkey", "i"))
 query("prj_15_aliases", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'final' ELSE o_orderstatus END AS o_orderstatus FROM orders")(lambda t: t.orders.transform(columns.aliases("o_orderstatus", {"O": "open", "F": "final"})).select("o_orderkey", "o_orderstatus"))
 query("prj_16_set", "SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'IN' ELSE 'OUT' END AS member, CASE WHEN c_acctbal > 5000 THEN 'IN' ELSE 'OUT' END AS rich FROM customer")(lambda t: t.customer.transform(columns.set_column("member", "c_mktsegment", ["BUILDING", "MACHINERY"])).transform(columns.set_column("rich", condition=C("c_acctbal") > 5000)).select("c_custkey", "member", "rich"))
-query("prj_17_group", "SELECT n_nationkey, CASE WHEN n_nationkey IN (1, 2, 3) THEN 'first' WHEN n_nationkey IN (4, 5) THEN 'second' ELSE 'Other' END AS g FROM nation")(lambda t: t.nation.transform(columns.group_column("g", "n_nationkey", {"first": [1, 2, 3], "second": [4, 5]})).select("n_nationkey", "g"))
+query("prj_17_group", "SELECT c_custkey, CASE WHEN c_custkey IN (1, 2, 3) THEN 'first' WHEN c_custkey IN (4, 5) THEN 'second' ELSE 'Other' END AS g FROM (SELECT c_custkey, c_name, c_nationkey FROM customer)")(lambda t: _named(t).transform(columns.group_column("g", "c_custkey", {"first": [1, 2, 3], "second": [4, 5]})).select("c_custkey", "g"))
 query("prj_18_large_group", "SELECT c_custkey, CASE WHEN c_custkey <= 300 THEN 'g' || (c_custkey % 3) ELSE 'Other' END AS g FROM customer")(lambda t: t.customer.transform(columns.group_column("g", "c_custkey", {f"g{i}": [k for k in range(301) if k % 3 == i] for i in range(3)})).select("c_custkey", "g"))
 query("prj_19_combined_group", "SELECT o_orderkey, year(o_orderdate) || ' | ' || month(o_orderdate) || ' | ' || o_orderstatus AS g FROM orders")(lambda t: t.orders.transform(columns.combined_group("g", F.year("o_orderdate"), F.month("o_orderdate"), "o_orderstatus")).select("o_orderkey", "g"))
 query("prj_20_bin", "SELECT p_partkey, CAST(floor(p_retailprice / 250) * 250 AS DOUBLE) AS bin FROM part")(lambda t: t.part.transform(columns.bin_column("bin", "p_retailprice", 250)).select("p_partkey", C("bin").cast("double").alias("bin")))
@@ -68,7 +72,7 @@ query("cln_15_remove_errors", "SELECT event_id, try_cast(event_type[1] || '1' AS
 query("cln_16_replace_errors", "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN user_id ELSE -1 END AS n FROM events")(lambda t: t.events.select("event_id", F.when(C("user_id") % 2 == 0, C("user_id").cast("string")).otherwise("x").alias("n")).transform(clean.replace_errors({"n": "bigint"}, -1)))
 scalar("cln_17_try_otherwise", "orders", "o_orderkey", lambda: clean.try_otherwise(C("o_orderstatus").try_cast("int"), C("o_custkey")), "o_custkey")
 query("cln_18_parse_json", "SELECT event_id, CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS VARCHAR) AS first_value FROM events")(lambda t: t.events.transform(clean.parse_json("props", "map<string,string>", "p")).select("event_id", F.element_at(F.map_values("p"), 1).alias("first_value")))
-scalar("cln_19_parse_xml", "nation", "n_nationkey", lambda: F.from_xml(F.concat(F.lit("<r><name>"), C("n_name"), F.lit("</name></r>")), "name string")["name"], "n_name")
+scalar("cln_19_parse_xml", "customer", "c_custkey", lambda: F.from_xml(F.concat(F.lit("<r><name>"), C("c_name"), F.lit("</name></r>")), "name string")["name"], "c_name")
 query("cln_20_regex_match", "SELECT page_id, regexp_matches(html, '<h1[^>]*>') AS h FROM pages")(lambda t: t.pages.transform(clean.regex_match("html", "<h1[^>]*>", "h")).select("page_id", "h"))
 query("cln_21_regex_extract", "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages")(lambda t: t.pages.transform(clean.regex_extract("html", "<title>([^<]*)</title>", "title")).select("page_id", "title"))
 query("cln_22_regex_replace", "SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS html FROM pages")(lambda t: t.pages.transform(clean.regex_replace("html", "<[^>]+>", " ")).select("page_id", "html"))
@@ -114,13 +118,13 @@ query("set_01_union", "SELECT c_nationkey AS nation, c_acctbal AS bal, c_mktsegm
 query("set_02_union_named", "SELECT c_nationkey AS nation, c_acctbal AS bal, c_mktsegment AS segment, 'customer' AS \"Table Names\" FROM customer UNION ALL SELECT s_nationkey, s_acctbal, NULL, 'supplier' FROM supplier")(lambda t: reshape.union_named(dict(zip(("customer", "supplier"), _two(t), strict=True))))
 query("set_03_union_widened", "SELECT CAST(c_nationkey AS DOUBLE) AS v FROM customer UNION ALL SELECT s_acctbal FROM supplier")(lambda t: reshape.union_widened(t.customer.select(C("c_nationkey").alias("v")), t.supplier.select(C("s_acctbal").alias("v"))))
 query("set_05_unpivot", "SELECT p_partkey, 'p_size' AS Attribute, CAST(p_size AS DOUBLE) AS Value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")(lambda t: t.part.select("p_partkey", C("p_size").cast("double").alias("p_size"), "p_retailprice").transform(reshape.unpivot(["p_partkey"], ["p_size", "p_retailprice"])))
-query("set_06_unpivot_others", "SELECT n_nationkey, 'n_name' AS Attribute, n_name AS Value FROM nation UNION ALL SELECT n_nationkey, 'region', CAST(n_regionkey AS VARCHAR) FROM nation")(lambda t: t.nation.select("n_nationkey", "n_name", C("n_regionkey").cast("string").alias("region")).transform(reshape.unpivot(["n_nationkey"], None)))
+query("set_06_unpivot_others", "SELECT c_custkey, 'c_name' AS Attribute, c_name AS Value FROM (SELECT c_custkey, c_name, c_nationkey FROM customer) UNION ALL SELECT c_custkey, 'region', CAST(c_nationkey AS VARCHAR) FROM (SELECT c_custkey, c_name, c_nationkey FROM customer)")(lambda t: _named(t).select("c_custkey", "c_name", C("c_nationkey").cast("string").alias("region")).transform(reshape.unpivot(["c_custkey"], None)))
 query("set_07_pivot", "SELECT l_returnflag, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 2) AS F, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 2) AS O FROM lineitem GROUP BY 1")(lambda t: t.lineitem.transform(reshape.pivot(["l_returnflag"], "l_linestatus", F.round(F.sum("l_quantity"), 2), ["F", "O"])))
 query("set_08_transpose", "SELECT 'n' AS key, CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS BIGINT) AS A, CAST(count(*) FILTER (WHERE l_returnflag = 'N') AS BIGINT) AS N, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS R FROM lineitem")(lambda t: t.lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")).transform(reshape.transpose("l_returnflag")))
-query("set_09_promote", "SELECT n_name AS ALGERIA FROM nation WHERE n_nationkey > 0")(lambda t: t.nation.select("n_nationkey", "n_name").transform(reshape.promote_headers("n_nationkey")).toDF("ALGERIA"))
-query("set_10_demote", "SELECT CAST(r_regionkey AS VARCHAR) AS Column1, r_name AS Column2 FROM region UNION ALL SELECT 'r_regionkey', 'r_name'")(lambda t: t.region.transform(reshape.demote_headers()))
+query("set_09_promote", "SELECT c_name AS header FROM customer WHERE c_custkey > (SELECT min(c_custkey) FROM customer)")(lambda t: t.customer.select("c_custkey", "c_name").transform(reshape.promote_headers("c_custkey")).toDF("header"))
+query("set_10_demote", "SELECT CAST(c_custkey AS VARCHAR) AS Column1, c_name AS Column2 FROM customer UNION ALL SELECT 'c_custkey', 'c_name'")(lambda t: t.customer.select("c_custkey", "c_name").transform(reshape.demote_headers()))
 query("set_11_compare_keys", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'shared' END AS status FROM (SELECT DISTINCT c_custkey AS k FROM customer) a FULL JOIN (SELECT DISTINCT o_custkey + 3 AS k FROM orders) b ON a.k = b.k")(lambda t: reshape.compare_keys(t.customer.select(C("c_custkey").alias("k")), t.orders.select((C("o_custkey") + 3).alias("k")), ["k"]))
 query("arr_01_contains", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'FURNITURE')")(lambda t: t.customer.filter(reshape.list_contains("c_mktsegment", ["BUILDING", "FURNITURE"])).select("c_custkey"))
-query("arr_02_expand_record", "SELECT n_nationkey, n_name AS r_name, n_regionkey AS r_region FROM nation")(lambda t: t.nation.select("n_nationkey", F.struct(C("n_name").alias("name"), C("n_regionkey").alias("region")).alias("rec")).transform(reshape.expand_record("rec", "r_")))
+query("arr_02_expand_record", "SELECT c_custkey, c_name AS r_name, c_nationkey AS r_region FROM (SELECT c_custkey, c_name, c_nationkey FROM customer)")(lambda t: _named(t).select("c_custkey", F.struct(C("c_name").alias("name"), C("c_nationkey").alias("region")).alias("rec")).transform(reshape.expand_record("rec", "r_")))
 query("arr_03_expand_list", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part")(lambda t: t.part.select("p_partkey", F.split("p_type", " ").alias("word")).transform(reshape.expand_list("word")))
 scalar("arr_04_to_json", "region", "r_regionkey", lambda: reshape.to_json_text(F.struct(C("r_name").alias("name"))), "'{\"name\":\"' || r_name || '\"}'")

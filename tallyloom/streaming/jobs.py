@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tallyloom.operators.joins import buffered
+
 #: How long an alert stays silent after it was raised.
 THROTTLE = {"hourly": ("hour", "1 hour"), "daily": ("day", "1 day")}
 
 
 def alerts(readings: DataFrame, rules: DataFrame, key: str, value: str) -> DataFrame:
-    """Readings that break a rule: rules are (rule, key, operator, threshold), a table written by hand."""
+    """Readings that break a rule: rules are (rule, key, operator, threshold), read once and broadcast if they are found small."""
     named = rules.select("rule", F.col("key").alias("\0key"), "operator", F.col("threshold").cast("double").alias("threshold"))
-    both = readings.join(F.broadcast(named), F.col(key) == F.col("\0key"))
+    both = readings.join(buffered(named), F.col(key) == F.col("\0key"))
     v, t, o = F.col(value), F.col("threshold"), F.col("operator")
     hit = F.when(o == ">", v > t).when(o == "<", v < t).when(o == ">=", v >= t).when(o == "<=", v <= t).when(o.isin("=", "=="), v == t).when(o.isin("!=", "<>"), v != t)
     return both.filter(hit).drop("\0key")

@@ -4,7 +4,7 @@ import __spark_entry__
 from tallyloom.queries import ORACLES, QUERIES
 from tests.oracle import compare
 
-WITHOUT_SQL = {"anl_11_holt_winters", "anl_12_clusters"}
+WITHOUT_SQL = {"anl_12_clusters"}
 
 
 def test_every_query_has_a_twin_or_a_test_of_its_own():
