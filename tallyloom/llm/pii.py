@@ -13,13 +13,28 @@ from .common import table, text_of
 
 #: A run that a pattern starts with is tried at its first character, or where the last match ended.
 _START = r"(?:\G|(?<![{0}]))"
+#: Characters of an account number by country, as the public registry of IBANs has them (fixed values).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Country, check digits and groups of four, as many characters as the country's numbers have: what stands behind is not
+    taken. Letters in either case."""
+    rest = lambda n: r"(?:\x20?[A-Z0-9]{4}){%d}" % (n // 4) + (r"\x20?[A-Z0-9]{%d}" % (n % 4) if n % 4 else "")
+    each = "|".join(f"(?:{'|'.join(countries.split())})[0-9]{{2}}{rest(n - 4)}" for n, countries in IBAN_LENGTHS.items())
+    return rf"(?<![A-Za-z0-9])(?=[A-Za-z]{{2}}[0-9]{{2}})(?i:{each})(?![A-Za-z0-9])"
+
+
 #: kind -> (pattern, a text that every match holds). The first four are the contract's, in its order.
 PATTERNS = {
     "email": (_START.format("A-Za-z0-9._%+-") + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
     "ip": (_START.format("0-9") + r"[0-9]++(?:\.[0-9]++){3}", "."),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None),
+    "iban": (_iban(), None),
     "ssn": (r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-"),
 }
 BASE = ("email", "ip", "card", "phone")
@@ -70,8 +85,7 @@ def _valid(kind: str, found: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(9, 15)
     if kind == "iban":
-        account = F.regexp_replace(found, " ", "")
-        return F.when(F.length(account).between(15, 34), mod97(account)).otherwise(False)
+        return mod97(F.upper(F.regexp_replace(found, " ", "")))
     return F.lit(True)
 
 
