@@ -13,9 +13,16 @@ MIN_CHARS = 20
 BLOCK = 64
 
 
+def _row(text: str | Column) -> Column:
+    return F.xxhash64(text_of(text))
+
+
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line_no, line): the lines of every whole text, trimmed, without blank ones. Line numbers start at 0."""
-    cut = docs.select(F.col(key).cast("long").alias("doc_id"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "line"))
+    """(doc_id, row, line_no, line): the lines of every whole text, trimmed, without blank ones. Line numbers start at 0.
+
+    row is a hash of the whole text: it tells rows of one id apart.
+    """
+    cut = docs.select(F.col(key).cast("long").alias("doc_id"), _row(text).alias("row"), F.posexplode(F.split(text_of(text), "\n")).alias("line_no", "line"))
     return cut.withColumn("line", F.trim("line")).filter("line <> ''")
 
 
@@ -78,29 +85,31 @@ def near_links(some: DataFrame) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Every line that has an earlier copy: (doc_id, line_no, of_doc, of_line, distance).
+    """Every line that has an earlier copy: (doc_id, row, line_no, of_doc, of_line, distance).
 
-    Lines are in order of (doc_id, line_no), a null doc_id first. A line is a copy if an earlier one is equal to
+    Lines are in order of (doc_id, row, line_no), a null doc_id first; row, a hash of the whole text, tells rows of one id apart. A line is a copy if an earlier one is equal to
     it or, both having `min_chars` characters or more, one edit away (a character changed, added or left out), which
     is a similarity of 0.95 or more; (of_doc, of_line) is such a line, equal ones first, then the earliest. The
     bound is one at every length: a line of 400 characters with two changes is kept, similar as it is.
 
     Equal lines are grouped by 128 hash bits and a length. Of the different lines, those that share their first
     or last block with another go on to the deletion-neighbourhood join of `near_links`; this filter loses none.
-    Blank lines, null and empty texts have no lines here. doc_id tells documents apart: rows that repeat it
-    count as one place, so that repeated rows are not copies of each other. Other columns are not read.
+    Blank lines, null and empty texts have no lines here. Rows that repeat both id and text count as one document, so that
+    repeated rows are not copies of each other; rows of one id with other texts are documents of their own. Other columns are
+    not read.
     """
     lines = lines_of(docs, key, text).withColumn("n", F.char_length("line"))
-    marked = lines.select(F.struct("doc_id", "line_no").alias("at"), F.xxhash64("line").alias("h0"), F.xxhash64(F.lit(1), "line").alias("h1"), "n", F.when(F.col("n") >= min_chars, _ends(F.col("line"), F.col("n"))).alias("ends"))
+    marked = lines.select(F.struct("doc_id", "row", "line_no").alias("at"), F.xxhash64("line").alias("h0"), F.xxhash64(F.lit(1), "line").alias("h1"), "n", F.when(F.col("n") >= min_chars, _ends(F.col("line"), F.col("n"))).alias("ends"))
     first = stash(marked.groupBy("h0", "h1", "n").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("ends").alias("ends")))
     ends = first.select("first", "h0", F.explode("ends").alias("end"))
     common = ends.groupBy("end").agg(F.min("h0").alias("low"), F.max("h0").alias("high")).filter("low <> high").select("end")
-    wanted = ends.join(common, "end").select("first.doc_id", "first.line_no").distinct()
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"))
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).alias("d")
-    cut = texts.join(by_doc.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", F.split(text_of("text"), "\n").alias("all"), F.explode("wanted").alias("line_no"))
+    wanted = ends.join(common, "end").select("first.doc_id", "first.row", "first.line_no").distinct()
+    by_doc = wanted.groupBy("doc_id", "row").agg(F.collect_list("line_no").alias("wanted"))
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), _row(text).alias("row"), F.col(text).alias("text")).alias("d")
+    same = (F.col("d.row") == F.col("w.row")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
+    cut = texts.join(by_doc.alias("w"), same).select("d.doc_id", "d.row", F.split(text_of("text"), "\n").alias("all"), F.explode("wanted").alias("line_no"))
     line = F.trim(F.get("all", "line_no"))
-    some = cut.select(F.struct("doc_id", "line_no").alias("at"), line.alias("line"), F.char_length(line).alias("n")).filter("line is not null").dropDuplicates(["at"])
+    some = cut.select(F.struct("doc_id", "row", "line_no").alias("at"), line.alias("line"), F.char_length(line).alias("n")).filter("line is not null").dropDuplicates(["at"])
     near = near_links(stash(some)).groupBy("at").agg(F.min("of").alias("of")).withColumnRenamed("at", "near_at")
     # A near copy's own copies are equal to it, so that they have an earlier line too.
     gone = first.join(near, F.col("first") == F.col("near_at"), "left").filter("of is not null or first < last").select("h0", "h1", "n", "first", "of")
@@ -108,7 +117,7 @@ def near_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     again = F.col("at") != F.col("first")
     source = F.when(again, F.col("first")).otherwise(F.col("of"))
     found = all_lines.filter(again | F.col("of").isNotNull()).select("at", source.alias("of"), F.when(again, 0).otherwise(1).cast("long").alias("distance"))
-    return found.select("at.doc_id", "at.line_no", F.col("of.doc_id").alias("of_doc"), F.col("of.line_no").alias("of_line"), "distance")
+    return found.select("at.doc_id", "at.row", "at.line_no", F.col("of.doc_id").alias("of_doc"), F.col("of.line_no").alias("of_line"), "distance")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -120,8 +129,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     """
     clash = {"lines_gone", "lines_near", "all_gone"} & set(docs.columns)
     found = near_lines(docs, key, text, min_chars).distinct()
-    by_doc = found.groupBy(F.col("doc_id").alias("gone_doc")).agg(F.array_sort(F.collect_set("line_no")).alias("gone_lines"), F.sum("distance").alias("gone_near"))
-    rows = docs.drop(*clash).join(by_doc, F.col(key).cast("long").eqNullSafe(F.col("gone_doc")), "left") if clash else docs.join(by_doc, F.col(key).cast("long").eqNullSafe(F.col("gone_doc")), "left")
+    by_doc = found.groupBy(F.col("doc_id").alias("gone_doc"), F.col("row").alias("gone_row")).agg(F.array_sort(F.collect_set("line_no")).alias("gone_lines"), F.sum("distance").alias("gone_near"))
+    same = (_row(text) == F.col("gone_row")) & F.col(key).cast("long").eqNullSafe(F.col("gone_doc"))
+    rows = (docs.drop(*clash) if clash else docs).join(by_doc, same, "left")
     # One flag a line, up to the last that goes; joining leaves out nulls.
     befores = F.concat(F.array(F.lit(-1)), F.slice("gone_lines", F.lit(1), F.size("gone_lines") - 1))
     flags = F.flatten(F.zip_with("gone_lines", befores, lambda at, before: F.concat(F.array_repeat(F.lit(False), at - before - 1), F.array(F.lit(True)))))

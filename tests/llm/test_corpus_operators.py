@@ -25,6 +25,27 @@ def documents(spark, data):
     return spark.read.parquet(f"{data}/documents.parquet").toPandas()
 
 
+# --- personal data: account numbers
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = ["pay BE68 5390 0754 7034 BANK now", "be68539007547034", "GB29 NWBK 6016 1331 9268 19 REF 12", "gb29nwbk60161331926819", "NO93 8601 1117 947, MT84MALT011000012345MTLCAST001S", "xBE68539007547034", "BE68 5390 0754 7034A", "BE68 5390 0754 7035", "ZZ68 5390 0754 7034"]
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.pii if s.kind == "iban"] for r in pii.find_pii(docs_of(spark, texts)).collect()}
+    assert got == {0: ["BE68 5390 0754 7034"], 1: [texts[1]], 2: ["GB29 NWBK 6016 1331 9268 19"], 3: [texts[3]], 4: ["NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"], 5: [], 6: [], 7: [], 8: []}
+
+
+# --- mixing: many sources
+
+
+def test_targets_of_a_hundred_thousand_sources(spark):
+    import time
+
+    sizes = spark.range(100_000).select(F.concat(F.lit("s"), "id").alias("source"), (F.col("id") % 97 + 1).alias("source_size"))
+    start = time.time()
+    total, given = mixing.source_targets(sizes).agg(F.sum("target"), F.sum("source_size")).first()
+    assert time.time() - start < 20 and abs(total - 1.5 * given) < 1e-6 * given
+
+
 # --- components
 
 
@@ -77,6 +98,17 @@ def test_line_dedup_matches_brute_force(spark):
     assert got == brute_lines(texts)
 
 
+def test_line_dedup_of_ids_that_repeat_with_other_texts(spark):
+    """Whatever the order of the rows, each document's lines meet and go on their own."""
+    a, b = "the first line of one document", "another line that is long enough"
+    rows = [(1, a), (1, b), (2, a.replace("first", "fir5t")), (3, b.replace("long", "lung")), (1, "own line one\n" + a), (1, b)]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        assert {r.doc_id for r in line_dedup.near_lines(docs).filter("distance = 1").collect()} == {2, 3}
+        texts = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).filter("not all_gone").collect())
+        assert len(texts) in (3, 4) and [t for t in texts if t[1].startswith("own")] == [(1, "own line one" if len(texts) == 4 else "own line one\n" + a)] and texts.count((1, b)) == 2
+
+
 def test_line_dedup_of_twenty_thousand_repeated_lines(spark):
     lines = [f"line {i // 2}" for i in range(40_000)]
     (row,) = line_dedup.dedup_lines(docs_of(spark, ["\n".join([*lines, "", "last"])])).collect()
