@@ -92,15 +92,16 @@ def snowflake(dimension: DataFrame, *parents: tuple[DataFrame, str, str, list[st
 def star_totals(fact: DataFrame, dimensions: list[tuple[DataFrame, str, str, list[str]]], sums: dict[str, Column]) -> DataFrame:
     """Sums by columns of dimensions, each dimension given as (rows, fact key, its unique key, columns).
 
-    The fact is partly summed by the keys that are still open before each join, dimensions in the order given: every join
-    and shuffle after the first sees sums, not rows. Facts without a dimension row have null columns.
+    Dimensions are joined in the order given, the one with most rows first; between joins the rows are summed by the columns
+    known and the keys still open, so every join and shuffle after the first sees sums, not rows. Facts without a
+    dimension row have null columns.
     """
     values = {f"\0s{i}": s for i, s in enumerate(sums.values())}
     keys, done = [fk for _, fk, _, _ in dimensions], []
     out = fact.select(*dict.fromkeys(keys), *[v.alias(n) for n, v in values.items()])
     for i, (dim, fk, dk, columns) in enumerate(dimensions):
-        rest = list(dict.fromkeys(keys[i:]))
-        out = out.groupBy(*done, *rest).agg(*[F.sum(n).alias(n) for n in values])
+        if i:
+            out = out.groupBy(*done, *dict.fromkeys(keys[i:])).agg(*[F.sum(n).alias(n) for n in values])
         named = dim.select(F.col(dk).alias("\0dk"), *columns)
         out, done = out.join(named, F.col(fk) == F.col("\0dk"), "left").drop("\0dk"), done + columns
     return out.groupBy(*done).agg(*[F.sum(n).alias(new) for new, n in zip(sums, values, strict=True)])
