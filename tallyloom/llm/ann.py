@@ -13,13 +13,24 @@ from pyspark.sql import functions as F
 from .common import stash, table
 
 
+def walkable(points: np.ndarray) -> np.ndarray:
+    """The vectors as the graph measures them: single precision where it holds them and their squares exactly enough, that is
+    where each component is a single-precision number and none is so large or small that squares leave its range."""
+    points = np.ascontiguousarray(points, np.float64)
+    size = np.abs(points[points != 0])
+    single = points.astype(np.float32)
+    fits = not len(size) or (size.min() > 1e-12 and size.max() < 1e15 and bool((single == points).all()))
+    return single if fits else points
+
+
 class Graph:
     """A directed graph over one shard's vectors: searches start at the medoid, edges are pruned by relaxed distance."""
 
     def __init__(self, points: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, seed: int = 7):
-        self.points = np.ascontiguousarray(points, np.float64)
+        self.points = walkable(points)
         n = len(points)
-        self.degree, self.edges = degree, np.full((n, degree), -1, np.int32)
+        # Edges back may fill a third more places before a point is pruned to its degree again.
+        self.degree, self.edges = degree, np.full((n, degree + degree // 3 + 1), -1, np.int32)
         self.start = int(np.argmin(((self.points - self.points.mean(0)) ** 2).sum(1))) if n else 0
         # Batches that double in size, each inserted at once against the graph so far; a second pass refines.
         order = np.random.default_rng(seed).permutation(n)
@@ -32,11 +43,15 @@ class Graph:
                 at += size
         self._connect(beam)
 
-    def distances(self, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Squared distances of query rows to their own rows of ids, by differences, so that far and tight clusters
-        keep their digits; missing ids are infinitely far."""
-        apart = self.points[np.maximum(ids, 0)] - queries[:, None, :]
-        return np.where(ids < 0, np.inf, np.einsum("qkd,qkd->qk", apart, apart))
+    def _apart(self, nodes: np.ndarray, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Squared distances of pairs (node, query row), by differences, so that far and tight clusters keep their digits; a few
+        megabytes at a time, however long the vectors are."""
+        out = np.empty(len(nodes), queries.dtype)
+        step = max(1, (1 << 21) // max(1, self.points.shape[1]))
+        for i in range(0, len(nodes), step):
+            apart = self.points[nodes[i : i + step]] - queries[rows[i : i + step]]
+            out[i : i + step] = np.einsum("pd,pd->p", apart, apart)
+        return out
 
     def _reached(self) -> np.ndarray:
         """Which points the start leads to."""
@@ -65,93 +80,108 @@ class Graph:
             host = near[int(np.argmax(room))]
             self.edges[host, int(np.argmax(self.edges[host] < 0))] = node
 
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, beam: int, few: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """(ids, squared distances), nearest first, of the beams after greedy search from the start; -1 fills up."""
         q = np.ascontiguousarray(queries, np.float64)
+        q = q.astype(self.points.dtype) if np.abs(q).max(initial=0) < 1e15 else q
         m, n = len(q), len(self.points)
         ids = np.full((m, beam), -1, np.int64)
-        dist = np.full((m, beam), np.inf)
+        dist = np.full((m, beam), np.inf, q.dtype)
         ids[:, 0] = self.start
-        dist[:, 0] = self.distances(q, ids[:, :1])[:, 0]
+        dist[:, 0] = self._apart(ids[:, 0], q, np.arange(m))
         done = np.zeros((m, beam), bool)
         seen = np.zeros((m, n), bool)
         seen[:, self.start] = True
         live = np.arange(m)
-        while len(live):
+        while True:
             open_ = np.where(done[live] | (ids[live] < 0), np.inf, dist[live])
-            best = open_.argmin(1)
-            going = np.isfinite(open_[np.arange(len(live)), best])
-            live, best = live[going], best[going]
+            going = np.isfinite(open_).any(1)
+            live, open_ = live[going], open_[going]
             if not len(live):
                 break
-            done[live, best] = True
-            near = self.edges[ids[live, best]].astype(np.int64)
-            fresh = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
-            near = np.where(fresh, near, -1)
-            rows, cols = np.nonzero(fresh)
-            seen[live[rows], near[rows, cols]] = True
-            d = self.distances(q[live], near)
-            all_ids, all_d = np.concatenate([ids[live], near], 1), np.concatenate([dist[live], d], 1)
-            all_done = np.concatenate([done[live], np.zeros(near.shape, bool)], 1)
-            pick = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
-            row = np.arange(len(live))[:, None]
-            ids[live], dist[live], done[live] = all_ids[row, pick], all_d[row, pick], all_done[row, pick]
-        return ids, dist
-
-    def _prune(self, nodes: np.ndarray, ids: np.ndarray, dist: np.ndarray, slack: float) -> np.ndarray:
-        """Keep diverse edges: the nearest candidate stays and drops all that are much nearer to it than to the node."""
+            # The nearest few that are not opened yet, and those of their neighbours that no step has seen.
+            best = np.argpartition(open_, min(few, beam) - 1, axis=1)[:, :few]
+            opened = np.isfinite(np.take_along_axis(open_, best, 1))
+            row = live[:, None]
+            done[row, best] |= opened
+            near = self.edges[np.where(opened, ids[row, best], self.start)].reshape(len(live), -1)
+            fresh = (near >= 0) & ~seen[row, near]
+            pair = np.sort(np.nonzero(fresh)[0] * n + near[fresh])
+            at, node = np.divmod(pair[np.diff(pair, prepend=-1) > 0], n)
+            seen[live[at], node] = True
+            count = np.bincount(at, minlength=len(live))
+            place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+            new_ids = np.full((len(live), int(count.max())), -1, np.int64)
+            new_d = np.full(new_ids.shape, np.inf, dist.dtype)
+            new_ids[at, place], new_d[at, place] = node, self._apart(node, q, live[at])
+            all_ids, all_d = np.concatenate([ids[live], new_ids], 1), np.concatenate([dist[live], new_d], 1)
+            all_done = np.concatenate([done[live], np.zeros(new_ids.shape, bool)], 1)
+            pick = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
+            ids[live], dist[live] = np.take_along_axis(all_ids, pick, 1), np.take_along_axis(all_d, pick, 1)
+            done[live] = np.take_along_axis(all_done, pick, 1)
         order = np.argsort(dist, axis=1, kind="stable")
-        row = np.arange(len(nodes))[:, None]
-        ids, dist = ids[row, order], dist[row, order].copy()
-        dist[ids == nodes[:, None]] = np.inf
-        dist[ids < 0] = np.inf
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+
+    def _prune(self, nodes: np.ndarray, ids: np.ndarray, slack: float) -> np.ndarray:
+        """Keep diverse edges: the nearest candidate stays and drops all that are much nearer to it than to the node.
+
+        Products of candidates are taken as seen from their node, so that they keep the digits of its surroundings.
+        """
         out = np.full((len(nodes), self.degree), -1, np.int32)
-        every = np.arange(len(nodes))
-        for k in range(self.degree):
-            best = dist.argmin(1)
-            ok = np.isfinite(dist[every, best])
-            if not ok.any():
-                break
-            chosen = np.where(ok, ids[every, best], -1)
-            out[:, k] = chosen
-            between = self.distances(self.points[np.maximum(chosen, 0)], ids)
-            dist[ok[:, None] & (slack * slack * between <= dist)] = np.inf
-            dist[every, best] = np.inf
+        block = max(1, (1 << 22) // ids.shape[1] ** 2)
+        for at in range(0, len(nodes), block):
+            node, near = nodes[at : at + block], ids[at : at + block]
+            apart = self.points[np.maximum(near, 0)] - self.points[node][:, None, :]
+            square = np.einsum("qkd,qkd->qk", apart, apart)
+            product = apart @ apart.transpose(0, 2, 1)
+            dist = np.where((near < 0) | (near == node[:, None]), np.inf, square)
+            live = np.arange(len(node))
+            for k in range(self.degree):
+                best = dist[live].argmin(1)
+                going = np.isfinite(dist[live, best])
+                live, best = live[going], best[going]
+                if not len(live):
+                    break
+                out[at + live, k] = near[live, best]
+                between = square[live, best][:, None] + square[live] - 2 * product[live, best]
+                left = np.where(slack * slack * between <= dist[live], np.inf, dist[live])
+                left[np.arange(len(live)), best] = np.inf
+                dist[live] = left
         return out
 
     def _insert(self, nodes: np.ndarray, beam: int, slack: float) -> None:
-        ids, dist = self.search(self.points[nodes], beam)
-        own = self.edges[nodes].astype(np.int64)
-        ids = np.concatenate([ids, own], 1)
-        dist = np.concatenate([dist, self.distances(self.points[nodes], own)], 1)
-        dup = np.zeros(ids.shape, bool)  # own edges that the search found too
-        order = np.argsort(ids, axis=1, kind="stable")
-        row = np.arange(len(nodes))[:, None]
-        s = ids[row, order]
-        dup[row, order] = np.concatenate([np.zeros((len(s), 1), bool), s[:, 1:] == s[:, :-1]], 1)
-        dist[dup] = np.inf
-        self.edges[nodes] = self._prune(nodes, ids, dist, slack)
+        ids = np.concatenate([self.search(self.points[nodes], beam)[0], self.edges[nodes].astype(np.int64)], 1)
+        ids.sort(axis=1)
+        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1  # own edges that the search found too
+        kept = self._prune(nodes, ids, slack)
+        self.edges[nodes] = -1
+        self.edges[nodes, : self.degree] = kept
         # Edges back: fill free places, prune where there are none.
-        src, dst = np.repeat(nodes, self.degree), self.edges[nodes].ravel().astype(np.int64)
+        src, dst = np.repeat(nodes, self.degree), kept.ravel().astype(np.int64)
         keep = dst >= 0
         src, dst = src[keep], dst[keep]
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
         targets, first, counts = np.unique(dst, return_index=True, return_counts=True)
-        width = int(counts.max()) if len(counts) else 0
-        for i in range(0, len(targets), 512):
-            t, f, c = targets[i : i + 512], first[i : i + 512], counts[i : i + 512]
-            back = np.full((len(t), width), -1, np.int64)
-            r = np.repeat(np.arange(len(t)), c)
-            back[r, np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)] = src[np.repeat(f, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
-            mine = self.edges[t].astype(np.int64)
-            back[(back[:, :, None] == mine[:, None, :]).any(2)] = -1
-            both = np.concatenate([mine, back], 1)
-            full = (both >= 0).sum(1) > self.degree
-            packed = np.take_along_axis(both, np.argsort(both < 0, axis=1, kind="stable"), 1)[:, : self.degree]
-            self.edges[t] = packed
+        order = np.argsort(counts, kind="stable")  # targets of like width together
+        targets, first, counts = targets[order], first[order], counts[order]
+        places, at = self.edges.shape[1], 0
+        while at < len(targets):
+            some = slice(at, at + max(1, min(512, (1 << 19) // int(counts[min(at + 511, len(targets) - 1)]))))
+            t, f, c = targets[some], first[some], counts[some]
+            at += len(t)
+            back = np.full((len(t), int(c.max())), -1, np.int64)
+            row, nth = np.repeat(np.arange(len(t)), c), np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            back[row, nth] = src[np.repeat(f, c) + nth]
+            both = np.concatenate([self.edges[t].astype(np.int64), back], 1)
+            both.sort(axis=1)
+            both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
+            both = -np.sort(-both, axis=1)  # free places last
+            self.edges[t] = both[:, :places]
+            full = (both >= 0).sum(1) > places
             if full.any():
-                self.edges[t[full]] = self._prune(t[full], both[full], self.distances(self.points[t[full]], both[full]), slack)
+                self.edges[t[full]] = -1
+                self.edges[t[full], : self.degree] = self._prune(t[full], both[full], slack)
 
 
 def usable(vector: Column) -> Column:
@@ -160,13 +190,14 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, degree: int = 32, beam: int = 96) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", shard_rows: int = 32_768, degree: int = 32, beam: int = 96, shard_bytes: int = 128 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the nearest `k` found of all other vectors.
 
     score is the Euclidean distance in double precision of the original vectors; ties go to the smaller
-    vec_id. Vectors go to shards of about `shard_rows` by hash, a task builds each shard's graph and runs all
+    vec_id. Vectors go to shards of about `shard_rows` (long ones: of about `shard_bytes`) by hash, a task builds each shard's graph and runs all
     queries' beams through it, a block at a time; each shard's best are ranked together. Recall is a matter of
-    `degree` and `beam`. Equal vectors count as one point of a graph: among them only the k + 1 smallest ids
+    `degree` and `beam`. Each query visits each shard: larger shards cost a build in a longer task and save visits, whose work
+    hardly grows with the shard. The walk is in single precision where the vectors are. Equal vectors count as one point of a graph: among them only the k + 1 smallest ids
     can be in any answer, and those are found before the shuffle by a grouped limit.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of
@@ -181,28 +212,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     least = Window.partitionBy("v").orderBy("vec_id")
     few = rows.distinct().withColumn("place", F.row_number().over(least)).filter(F.col("place") <= k + 1)
     points = stash(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))  # at most k + 1 ids
-    shards = max(1, -(-points.count() // shard_rows))
+    most = min(shard_rows, max(1, shard_bytes // (8 * length[0].n))) if length else shard_rows
+    shards = max(1, -(-points.count() // most))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A partition is one shard, which `shard_rows` bounds."""
+        """A partition is one shard, which `shard_rows` and `shard_bytes` bound."""
         held = list(batches)
         for number, shard in pd.concat(held).groupby("shard") if held else ():
-            exact = np.stack(shard.v.to_list()).astype(np.float64)
-            graph = Graph(exact, degree, beam)
-            body = pickle.dumps((exact, [np.asarray(i, np.int64) for i in shard.ids], graph.edges, graph.start))
+            graph = Graph(np.stack(shard.v.to_list()), degree, beam)
+            body = pickle.dumps((graph.points, [np.asarray(i, np.int64) for i in shard.ids], graph.edges, graph.start))
             yield pd.DataFrame({"shard": [number], "graph": [body]})
 
     def beams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        exact, ids, graph = np.zeros((0, 0)), [], None
+        ids, graph = [], None
         for batch in batches:
             # Each shard's graph comes first, then its queries.
             for at in np.split(np.arange(len(batch)), np.flatnonzero(batch.graph.notna())):
                 part = batch.iloc[at]
                 if len(part) and part.graph.iloc[0] is not None:
-                    exact, ids, edges, start = pickle.loads(part.graph.iloc[0])
                     graph = Graph.__new__(Graph)
-                    graph.points, graph.edges, graph.start = exact, edges, start
+                    graph.points, ids, graph.edges, graph.start = pickle.loads(part.graph.iloc[0])
                     part = part.iloc[1:]
                 for i in range(0, len(part), 256):
                     some = part.iloc[i : i + 256]
@@ -210,7 +240,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
                     out = []
                     for query_id, x, near in zip(some.query_id, q, graph.search(q, beam)[0], strict=True):
                         near = near[near >= 0]
-                        d = np.sqrt(((exact[near] - x) ** 2).sum(1))
+                        d = np.sqrt(((graph.points[near].astype(np.float64) - x) ** 2).sum(1))  # the points are the originals exactly
                         out += [(int(query_id), int(v), float(d[o])) for o in np.argsort(d, kind="stable")[: k + 1] for v in ids[near[o]] if v != query_id]
                     yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 

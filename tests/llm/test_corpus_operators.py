@@ -422,6 +422,42 @@ def test_small_graphs_lose_no_point_and_odd_lengths_take_no_part(spark):
     assert ann.search(table, table).select("query_id").distinct().count() == 5
 
 
+@pytest.mark.parametrize("factor", [1.0, 1e-25, 1e20, 1 / 3])
+def test_neighbours_walk_in_the_precision_that_holds_the_vectors(spark, factor):
+    v = np.random.default_rng(8).normal(size=(400, 8)).astype(np.float32).astype(float) * factor
+    assert ann.walkable(v).dtype == (np.float32 if factor == 1.0 else np.float64)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    for sizes in ({"shard_rows": 90}, {"shard_bytes": 8 * 8 * 150}):
+        got = ann.search(table, table.filter("vec_id % 100 = 0"), **sizes).toPandas()
+        for q in range(0, 400, 100):
+            d = np.sqrt(((v - v[q]) ** 2).sum(1))
+            d[q] = np.inf
+            mine = got[got.query_id == q].sort_values("rank")
+            assert mine.vec_id.tolist() == np.argsort(d)[:10].tolist() and np.allclose(mine.score, d[mine.vec_id], rtol=1e-12, atol=0)
+
+
+def test_a_far_query_does_not_leave_the_range_of_single_precision(spark):
+    v = np.random.default_rng(9).normal(size=(50, 4)).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    far = spark.createDataFrame([(1000, [1e30, 1.0, 1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert ann.search(table, far).count() == 10
+
+
+@pytest.mark.parametrize("shard_rows", [32_768, 200])
+def test_neighbours_of_the_whole_table_by_brute_force(spark, shard_rows):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.search(rows, rows.filter("vec_id % 100 = 0"), shard_rows=shard_rows).toPandas()
+    held = rows.filter(ann.usable(rows.embedding)).toPandas()
+    v, ids = np.stack(held.embedding.to_list()).astype(float), held.vec_id.to_numpy()
+    hit = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = ((v - v[ids == q][0]) ** 2).sum(1)
+        d[ids == q] = np.inf
+        hit += len(set(ids[np.lexsort((ids, d))[:10]]) & set(got[got.query_id == q].vec_id))
+        total += 10
+    assert total and hit / total >= 0.95
+
+
 # --- SimHash
 
 
