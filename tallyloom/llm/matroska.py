@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,7 +19,7 @@ from .common import small_batches, table
 EBML, EBML_VERSION, EBML_READ, EBML_MAX_ID, EBML_MAX_SIZE, DOCTYPE, DOCTYPE_VERSION, DOCTYPE_READ = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, SCALE, DURATION, TRACKS, TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, RATE, CHANNELS, BIT_DEPTH, CLUSTER, TIMECODE, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0xE1, 0xB5, 0x9F, 0x6264, 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
-CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER, FRAME_DURATION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0x23E383
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
 TOP_LEVEL = {CLUSTER, CUES, INFO, TRACKS, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
 LACINGS = ("none", "xiph", "fixed", "ebml")
@@ -81,9 +82,10 @@ def write(payload: bytes, rate: int = 8000, frame: int = 512, per_block: int = 8
     block of a cluster is its own block group, all others simple blocks. Cues name every cluster.
     """
     start = b"".join([_number(EBML_VERSION, 1), _number(EBML_READ, 1), _number(EBML_MAX_ID, 4), _number(EBML_MAX_SIZE, 8), _element(DOCTYPE, b"matroska"), _number(DOCTYPE_VERSION, 4), _number(DOCTYPE_READ, 2)])
-    info = _element(INFO, _number(SCALE, 1_000_000_000 // rate))
-    audio = _element(AUDIO, _number(CHANNELS, 1) + _number(BIT_DEPTH, 8))
-    track = _element(TRACKS, _element(TRACK, _number(TRACK_NUMBER, 1) + _number(TRACK_UID, 1) + _number(TRACK_TYPE, 2) + _element(CODEC, b"A_PCM/INT/LIT") + audio))
+    info = _element(INFO, _number(SCALE, 1_000_000_000 // rate) + _element(DURATION, struct.pack(">d", len(payload))))
+    audio = _element(AUDIO, _element(RATE, struct.pack(">d", rate)) + _number(CHANNELS, 1) + _number(BIT_DEPTH, 8))
+    about = _number(TRACK_NUMBER, 1) + _number(TRACK_UID, 1) + _number(TRACK_TYPE, 2) + _number(FRAME_DURATION, frame * (1_000_000_000 // rate))
+    track = _element(TRACKS, _element(TRACK, about + _element(CODEC, b"A_PCM/INT/LIT") + audio))
     body, cues, at = [info, track], [], len(info) + len(track)
     span = frame * per_block
     for c, first in enumerate(range(0, len(payload), span * blocks_per_cluster)):
@@ -109,11 +111,14 @@ def write(payload: bytes, rate: int = 8000, frame: int = 512, per_block: int = 8
 
 @dataclass
 class Media:
-    """What a file holds: packets (track, timestamp in ns, first byte, size, keyframe, lacing, cluster), tracks and cues."""
+    """What a file holds: packets (track, timestamp in ns, first byte, size, keyframe, lacing, cluster), tracks, cues (time,
+    track, cluster's place in its segment) and clusters (place in the segment, first byte, end)."""
 
     packets: list[tuple[int, int, int, int, bool, str, int]] = field(default_factory=list)
     tracks: dict[int, dict] = field(default_factory=dict)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
+    clusters: list[list[int]] = field(default_factory=list)
+    duration: float | None = None
     scale: int = 1_000_000
     doctype: str = ""
 
@@ -165,20 +170,28 @@ def _frames(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple[i
 
 
 def read(data: bytes) -> Media:
-    """Parse a whole file; clusters and segments of unknown size end where the next element of their level begins."""
+    """Parse a whole file; clusters and segments of unknown size end where the next element of their level begins.
+
+    Frames of a lace follow each other by their track's default duration, where it names one. An element that is longer than
+    the one it is in, or a block outside of clusters, makes the file malformed.
+    """
     media, stack, at = Media(), [], 0  # stack: (id, end or None)
-    cluster_time, cluster_no, group, track, cue = 0, -1, None, {}, {}
+    cluster_time, cluster_no, group, track, cue, segment_at = 0, -1, None, {}, {}, 0
 
     def emit(first: int, end: int, key: bool | None) -> None:
         number, relative, flags, found = _frames(data, first, end)
-        keyed = bool(flags & 0x80) if key is None else key
-        for start, size in found:
-            media.packets.append((number, (cluster_time + relative) * media.scale, start, size, keyed, LACINGS[flags >> 1 & 3], cluster_no))
+        keyed, step = bool(flags & 0x80) if key is None else key, media.tracks.get(number, {}).get("frame_ns", 0)
+        if cluster_no < 0:
+            raise Malformed(f"block at {first} outside of clusters")
+        for i, (start, size) in enumerate(found):
+            media.packets.append((number, (cluster_time + relative) * media.scale + i * step, start, size, keyed, LACINGS[flags >> 1 & 3], cluster_no))
 
     def close(kind: int) -> None:
         nonlocal group, track, cue
         if kind == BLOCK_GROUP and group and group.get("block"):
             emit(*group["block"], not group.get("refers"))
+        if kind == CLUSTER:
+            media.clusters[-1][2] = at
         if kind == TRACK and track:
             media.tracks[track.get("number", 0)] = track
         if kind == CUE_POINT and cue:
@@ -195,10 +208,15 @@ def read(data: bytes) -> Media:
         end = len(data) if size is None else body + size
         if end > len(data):
             raise Malformed(f"element at {at} is cut short")
+        if size is not None and end > next((e for _, e in reversed(stack) if e is not None), end):
+            raise Malformed(f"element at {at} is longer than the one it is in")
         if kind in MASTERS:
             stack.append((kind, None if size is None else end))
             if kind == CLUSTER:
                 cluster_time, cluster_no = 0, cluster_no + 1
+                media.clusters.append([at - segment_at, at, end])
+            elif kind == SEGMENT:
+                segment_at = body
             elif kind == BLOCK_GROUP:
                 group = {}
             elif kind == TRACK:
@@ -220,6 +238,14 @@ def read(data: bytes) -> Media:
             group["refers"] = True
         elif kind == SCALE:
             media.scale = value
+        elif kind == FRAME_DURATION:
+            track["frame_ns"] = value
+        elif kind in (RATE, DURATION):
+            number = struct.unpack(">d" if size == 8 else ">f", data[body:end])[0] if size in (4, 8) else None
+            if kind == RATE:
+                track["rate"] = number
+            else:
+                media.duration = number
         elif kind == DOCTYPE:
             media.doctype = data[body:end].decode("latin-1")
         elif kind in (TRACK_NUMBER, TRACK_TYPE, CHANNELS, BIT_DEPTH):
@@ -244,7 +270,12 @@ MEDIA = "doc_id long, n_bytes long, media binary"
 
 
 def to_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): every whole text stored as samples of a file. Null is empty; equal texts give equal files."""
+    """(doc_id, n_bytes, media): every whole text stored as samples of a file. Null is empty; equal texts give equal files.
+
+    A row gives a row, repeated ones and null ids too; other columns, whatever their names, are not read. A text is held
+    whole by its task, however long; its file must stay below two gigabytes, as a binary value must. An empty table gives
+    an empty one.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -260,7 +291,7 @@ PACKETS = "doc_id long, packet int, track int, timestamp_ns long, first_byte lon
 def packets(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
     """The packet table of binary columns: a row for each packet, or one with an error for bytes that do not parse.
 
-    Null and empty bytes give no row. cued tells whether a cue names the packet's time on its track.
+    Null and empty bytes give no row. cued tells whether a cue names the packet's time on its track and the place of its cluster.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,19 +305,52 @@ def packets(files: DataFrame, key: str = "doc_id", media: str = "media") -> Data
                 except Malformed as why:
                     out.append((doc_id, None, None, None, None, None, None, None, None, None, str(why)))
                     continue
-                cued = {(track, time * found.scale) for time, track, _ in found.cues}
-                out += [(doc_id, i, t, ns, at, n, key_, lacing, c, (t, ns) in cued, None) for i, (t, ns, at, n, key_, lacing, c) in enumerate(found.packets)]
+                cued = {(track, time * found.scale, place) for time, track, place in found.cues}
+                out += [(doc_id, i, t, ns, at, n, key_, lacing, c, (t, ns, found.clusters[c][0]) in cued, None) for i, (t, ns, at, n, key_, lacing, c) in enumerate(found.packets)]
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in PACKETS.split(", ")])
             yield frame.astype({"doc_id": "Int64", "packet": "Int32", "track": "Int32", "timestamp_ns": "Int64", "first_byte": "Int64", "n_bytes": "Int64", "cluster": "Int32", "keyframe": "boolean", "cued": "boolean"})
 
     return files.select(F.col(key).cast("long").alias("doc_id"), F.col(media).alias("media")).mapInPandas(run, PACKETS)
 
 
+CUE_TABLE = "doc_id long, cue int, track int, timestamp_ns long, cluster int, first_byte long, n_bytes long, packet int"
+
+
+def cues(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
+    """The cues of binary columns: the cluster each one's position names, that cluster's bytes, and the packet there of its time.
+
+    A cue whose position is no cluster's has a null cluster and range; bytes that are null or do not parse give no row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc_id, data in zip(b.doc_id, b.media, strict=True):
+                try:
+                    found = read(bytes(data)) if data else Media()
+                except Malformed:
+                    continue
+                number = {place: i for i, (place, _, _) in enumerate(found.clusters)}
+                packet = {(p[0], p[1], p[6]): i for i, p in reversed(list(enumerate(found.packets)))}
+                for i, (time, track, place) in enumerate(found.cues):
+                    c, ns = number.get(place), time * found.scale
+                    first, end = found.clusters[c][1:] if c is not None else (None, None)
+                    out.append((doc_id, i, track, ns, c, first, None if c is None else end - first, packet.get((track, ns, c))))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in CUE_TABLE.split(", ")])
+            yield frame.astype({"doc_id": "Int64", "cue": "Int32", "track": "Int32", "timestamp_ns": "Int64", "cluster": "Int32", "first_byte": "Int64", "n_bytes": "Int64", "packet": "Int32"})
+
+    return files.select(F.col(key).cast("long").alias("doc_id"), F.col(media).alias("media")).mapInPandas(run, CUE_TABLE)
+
+
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def features(files: DataFrame) -> DataFrame:
-    """Parse the stored bytes of to_media() and digest what its packets hold; the feature tells tracks, packets and levels."""
+    """Parse the stored bytes of to_media() and digest what its packets hold; the feature tells tracks, packets and levels.
+
+    A row gives a row, repeated ones too, and equal bytes give equal values; an empty table gives an empty one. Columns other
+    than to_media()'s are not read. Bytes that do not parse raise an error: to_media() wrote them, so they were damaged.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -301,7 +365,7 @@ def features(files: DataFrame) -> DataFrame:
                 out.append((doc_id, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")]).astype({"doc_id": "Int64"})
 
-    return files.mapInPandas(run, FEATURES)
+    return files.select("doc_id", "n_bytes", "media").mapInPandas(run, FEATURES)
 
 
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

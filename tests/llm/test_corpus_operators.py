@@ -150,6 +150,46 @@ def test_matroska_ebml_lacing_and_unknown_sizes():
     assert [p[3] for p in media.packets] == sizes * 2 and {p[1] for p in media.packets} == {107 * 1_000_000} and media.packets[-1][6] == 1
 
 
+def test_matroska_cues_name_the_bytes_of_their_cluster(spark):
+    data = matroska.write(bytes(range(256)) * 300)
+    media = matroska.read(data)
+    assert media.duration == 76_800 and media.tracks[1]["rate"] == 8000 and media.tracks[1]["frame_ns"] == 512 * 125_000
+    assert [p[1] // 125_000 for p in media.packets] == list(np.cumsum([0] + [p[3] for p in media.packets])[:-1])
+    files = spark.createDataFrame([(1, bytearray(data), "x"), (2, None, "y"), (3, bytearray(b"\x1a"), "z")], "doc_id long, media binary, packet string")
+    got = matroska.cues(files).orderBy("cue").collect()
+    assert len(got) == len(media.cues) == 3
+    packets = {r.packet: r for r in matroska.packets(files).filter("doc_id = 1").collect()}
+    for r in got:
+        assert data[r.first_byte : r.first_byte + 4] == b"\x1f\x43\xb6\x75" and packets[r.packet].timestamp_ns == r.timestamp_ns
+        inside = [p for p in packets.values() if p.cluster == r.cluster]
+        assert all(r.first_byte < p.first_byte and p.first_byte + p.n_bytes <= r.first_byte + r.n_bytes for p in inside)
+    assert {p.packet for p in packets.values() if p.cued} == {r.packet for r in got}
+    # A cue beside its cluster names none, and its packet is not cued.
+    wrong = data[: len(data) - 1] + bytes([data[-1] ^ 1])
+    file = spark.createDataFrame([(1, bytearray(wrong))], "doc_id long, media binary")
+    assert [r.cluster for r in matroska.cues(file).orderBy("cue").collect()] == [0, 1, None]
+    assert matroska.packets(file).filter("cued").count() == 2
+
+
+def test_matroska_elements_stay_within_their_parent():
+    inner = matroska._number(matroska.TIMECODE, 5)
+    cluster = matroska.CLUSTER.to_bytes(4, "big") + matroska._vint(len(inner) - 1) + inner
+    with pytest.raises(matroska.Malformed, match="longer"):
+        matroska.read(matroska._element(matroska.SEGMENT, cluster + bytes([0xEC, 0x81, 0])))
+    with pytest.raises(matroska.Malformed, match="outside"):
+        matroska.read(matroska._element(matroska.SEGMENT, matroska._element(matroska.SIMPLE_BLOCK, b"\x81\0\0\x80abc")))
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    """op2, op4 and op5 on no rows, and beside columns named like their own."""
+    docs = docs_of(spark, ["mail a@b.org", None, ""])
+    for made in (lambda d: matroska.features(matroska.to_media(d)), pii.find_pii):
+        assert made(docs.limit(0)).count() == 0 and made(docs).count() == 3
+    odd = docs.withColumn("media", F.lit("m")).withColumn("n_bytes", F.lit("n"))
+    assert matroska.features(matroska.to_media(odd)).exceptAll(matroska.features(matroska.to_media(docs))).count() == 0
+    assert matroska.to_media(docs.union(docs)).count() == 6
+
+
 def test_matroska_query_and_broken_bytes(spark):
     out = {r.doc_id: r for r in matroska.features(matroska.to_media(docs_of(spark, ODD))).collect()}
     for i, t in enumerate(ODD):
