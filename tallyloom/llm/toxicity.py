@@ -234,7 +234,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
-    """All rows and columns of `docs` and a score from 0 to 1 for every whole text; null and empty ones are scored as texts without a hit."""
+    """All rows and columns of `docs` and a score from 0 to 1 for every whole text; null and empty ones are scored as texts without a hit.
+
+    Equal texts, repeated rows among them, have equal scores; a text is held whole by its task, however long. An empty table gives an
+    empty one with the same columns. A column that is named `name` already is replaced: give another `name` to keep it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.lexicon and (model.lexicon.words, model.lexicon.stems), model.weights, model.scale))  # at most MAX_ENTRIES entries
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

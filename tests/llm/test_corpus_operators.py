@@ -180,6 +180,17 @@ def test_matroska_elements_stay_within_their_parent():
         matroska.read(matroska._element(matroska.SEGMENT, matroska._element(matroska.SIMPLE_BLOCK, b"\x81\0\0\x80abc")))
 
 
+def test_scores_of_empty_tables_repeated_rows_and_a_clashing_column(spark):
+    docs = docs_of(spark, ["you stupid idiot", "a kind word", None, "", "you stupid idiot"])
+    labels = spark.createDataFrame([(i, i in (0, 4)) for i in range(5)], "doc_id long, toxic boolean")
+    model = toxicity.train(docs, labels)
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.train(docs.limit(0), labels.limit(0)).lexicon is None
+    by_id = {r.doc_id: r.toxicity for r in toxicity.score(docs.withColumn("toxicity", F.lit("old")), model).collect()}
+    assert len(by_id) == 5 and by_id[0] == by_id[4] and by_id[2] == by_id[3] and all(0 <= v <= 1 for v in by_id.values())
+    kept = toxicity.score(docs.withColumn("toxicity", F.lit("old")), model, name="fresh")
+    assert {r.toxicity for r in kept.collect()} == {"old"} and "fresh" in kept.columns
+
+
 def test_empty_tables_and_clashing_columns(spark):
     """op2, op4 and op5 on no rows, and beside columns named like their own."""
     docs = docs_of(spark, ["mail a@b.org", None, ""])
