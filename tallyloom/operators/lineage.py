@@ -17,25 +17,31 @@ def match_edges(outputs: DataFrame, inputs: DataFrame, threshold: float = 0.5) -
     """(flow, output, to_flow, how) for outputs that are inputs of other flows: by fingerprint (where both sides have such a
     column), by equal name, by normalised name, by likeness.
 
-    Each later way is tried for the outputs that the earlier ones left over; null fingerprints match nothing.
+    Each later way is tried for the outputs that the earlier ones left over; null fingerprints match nothing. What one way
+    found and what it left is written before the next, so that each is planned and made once, and both sides of a join are
+    shuffled: their files say little about the rows that a broadcast would bring to the driver.
     """
     more = ["fingerprint"] if "fingerprint" in outputs.columns and "fingerprint" in inputs.columns else []
-    left, i = outputs.select("flow", "name", *more).distinct(), inputs.select(F.col("flow").alias("to_flow"), F.col("name").alias("in_name"), *[F.col(c).alias("in_" + c) for c in more]).distinct()
+    left = settled(outputs.select("flow", "name", *more).distinct())
+    i = settled(inputs.select(F.col("flow").alias("to_flow"), F.col("name").alias("in_name"), *[F.col(c).alias("in_" + c) for c in more]).distinct())
+    near = i.hint("merge")
     found = []
 
     def settle(pairs: DataFrame, how: str) -> None:
         """Keep the edges of one way and leave its outputs out of the next."""
         nonlocal left
-        one = pairs.filter("flow <> to_flow").select("flow", F.col("name").alias("output"), "to_flow", F.lit(how).alias("how")).distinct()
+        one = settled(pairs.filter("flow <> to_flow").select("flow", F.col("name").alias("output"), "to_flow", F.lit(how).alias("how")).distinct())
         found.append(one)
-        left = left.join(one.select(F.col("flow").alias("\0f"), F.col("output").alias("\0n")).distinct(), F.col("flow").eqNullSafe(F.col("\0f")) & F.col("name").eqNullSafe(F.col("\0n")), "left_anti")
+        done = one.select(F.col("flow").alias("\0f"), F.col("output").alias("\0n")).distinct().hint("merge")
+        left = settled(left.join(done, F.col("flow").eqNullSafe(F.col("\0f")) & F.col("name").eqNullSafe(F.col("\0n")), "left_anti"))
 
     if more:
-        settle(left.join(i, F.col("fingerprint") == F.col("in_fingerprint")), "fingerprint")
-    settle(left.join(i, F.col("name") == F.col("in_name")), "exact")
-    settle(left.join(i, plain_name(F.col("name")) == plain_name(F.col("in_name"))), "name")
-    alike = fuzzy_match(left, "name", i, "in_name", threshold)
-    settle(left.join(alike, F.col("name") == F.col("left")).join(i, F.col("right") == F.col("in_name")), "fuzzy")
+        settle(left.join(near, F.col("fingerprint") == F.col("in_fingerprint")), "fingerprint")
+    settle(left.join(near, F.col("name") == F.col("in_name")), "exact")
+    settle(left.join(near, plain_name(F.col("name")) == plain_name(F.col("in_name"))), "name")
+    if not left.isEmpty():
+        alike = fuzzy_match(left, "name", i, "in_name", threshold).hint("merge")
+        settle(left.join(alike, F.col("name") == F.col("left")).join(near, F.col("right") == F.col("in_name")), "fuzzy")
     return reduce(DataFrame.unionByName, found)
 
 

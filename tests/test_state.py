@@ -110,6 +110,24 @@ def test_layers_of_deep_graphs(spark):
     assert lineage.layers(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_edges_are_planned_a_way_at_a_time_without_broadcasts(spark, monkeypatch):
+    plans, settled = [], lineage.settled
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settled(df)
+
+    monkeypatch.setattr(lineage, "settled", seen)
+    outputs = [("a", "Orders", "f1"), ("a", "Sales Region", None), ("a", "people", None), ("a", "sales_orders", None), ("a", None, None), ("a", "own", None)]
+    inputs = [("b", "renamed", "f1"), ("c", "Orders", "f9"), ("b", "Sales Region", None), ("c", "PEOPLE", None), ("b", "dbo.Sales-Orders", None), ("b", None, None), ("a", "own", None)]
+    edges = lineage.match_edges(*[spark.createDataFrame(rows, "flow string, name string, fingerprint string") for rows in (outputs, inputs)])
+    want = {("a", "Orders", "b", "fingerprint"), ("a", "Sales Region", "b", "exact"), ("a", "people", "c", "name"), ("a", "sales_orders", "b", "fuzzy"), ("a", "sales_orders", "c", "fuzzy")}
+    assert {tuple(r) for r in edges.collect()} == want and edges.count() == 5
+    plans.append(edges._jdf.queryExecution().executedPlan().toString())
+    assert "Join" not in plans[-1]
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans[:-3])  # fuzzy_match() leaves its joins to Spark
+
+
 def test_expired_periods_are_deleted(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.createDataFrame([(datetime.date(2024, m, 5), m) for m in range(1, 7)] + [(None, 0)], "d date, v int")
