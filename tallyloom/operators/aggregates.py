@@ -43,11 +43,12 @@ def collect_parts(df: DataFrame, keys: list[str], lat: str, lon: str, most: int
     """(keys, part, points): a group's points in several rows of about `most`, for groups that no row can hold.
 
     Rows are dealt by a hash of all their columns to as many parts as the group's count asks for: the same parts whatever
-    Spark runs again. Rows equal in all columns share a part.
+    Spark runs again. Rows equal in all columns share a part. No shuffle brings a whole group to one task: the counts of
+    groups of more than `most` rows, at most one for so many rows of the table, are broadcast (left to AQE if `most` is under 1000).
     """
-    sizes = df.groupBy(*[F.col(k).alias("\0key_" + k) for k in keys]).agg(F.greatest(F.ceil(F.count(F.lit(1)) / most), F.lit(1)).cast("long").alias("\0parts"))
+    counts = df.groupBy(*[F.col(k).alias("\0key_" + k) for k in keys]).agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("\0parts")).filter(F.col("\0parts") > 1)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("\0key_" + k)) for k in keys], F.lit(True))
-    dealt = df.join(sizes, same).withColumn("part", F.pmod(F.xxhash64(*df.columns), F.col("\0parts")))
+    dealt = df.join(F.broadcast(counts) if most >= 1000 else counts, same, "left").withColumn("part", F.pmod(F.xxhash64(*df.columns), F.coalesce("\0parts", F.lit(1).cast("long"))))
     return dealt.groupBy(*keys, "part").agg(collect_points(lat, lon).alias("points"))
 
 

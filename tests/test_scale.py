@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import clean, quantiles, scans, tablecalc
+from tallyloom.operators import aggregates, clean, quantiles, scans, tablecalc
 
 
 @pytest.mark.parametrize("most", [100_000, 40, 3])
@@ -112,3 +112,22 @@ def test_frames_that_reach_to_the_end_are_linear(spark):
             assert value == want
     some = rows.filter("i < 50").select("i", tablecalc.window("sum", spec, "i", first=-1).alias("s"), tablecalc.window("count", spec, "i", first=2).alias("c"))
     assert {r.i: (r.s, r.c) for r in some.collect()} == {i: (sum(range(max(i - 1, 0), 50)), max(0, 48 - i)) for i in range(50)}
+
+
+def test_parts_of_a_large_group_never_meet_in_one_task(spark):
+    df = spark.range(25_000).selectExpr("if(id < 24000, 'a', if(id < 24990, null, string(id))) as g", "double(id) as lat", "double(id % 7) as lon")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = aggregates.collect_parts(df, ["g"], "lat", "lon", 1000)
+        rows = parts.collect()
+        assert "SortMergeJoin" not in parts._jdf.queryExecution().executedPlan().toString()
+        small = aggregates.collect_parts(df, ["g"], "lat", "lon", 500).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for most, found in ((1000, rows), (500, small)):
+        assert sorted(int(p.lat) for r in found for p in r.points) == list(range(25_000))
+        assert all(p.lon == p.lat % 7 for r in found for p in r.points)
+        assert sorted(r.part for r in found if r.g == "a") == list(range(24_000 // most))
+        assert max(len(r.points) for r in found) < 1.5 * most
+        assert sum(r.g is None for r in found) == -(-990 // most) and sum(r.g not in ("a", None) for r in found) == 10
