@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions import scripts
 from tallyloom.operators import aggregates, clean, quantiles, scans, tablecalc
 
 
@@ -131,3 +132,26 @@ def test_parts_of_a_large_group_never_meet_in_one_task(spark):
         assert sorted(r.part for r in found if r.g == "a") == list(range(24_000 // most))
         assert max(len(r.points) for r in found) < 1.5 * most
         assert sum(r.g is None for r in found) == -(-990 // most) and sum(r.g not in ("a", None) for r in found) == 10
+
+
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_table_steps_give_each_group_whole_and_many_to_a_batch(spark, batch):
+    big = (1 << 53) + 1
+    rows = [(i % 300 if i % 301 else None, big + i, None if i % 900 == 5 else i % 2 == 0, float("nan") if i % 50 == 0 else float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, n long, b boolean, x double").repartition(5)
+    schema = "k long, rows int, n long, kinds string, first int"
+    one = lambda p: p.iloc[:1].assign(rows=len(p), n=p.n.max(), kinds=f"{p.k.dtype} {p.n.dtype} {p.b.dtype}", first=p.index[0])[["k", "rows", "n", "kinds", "first"]]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        step = df.transform(scripts.table_step(one, schema, ["k"]))
+        assert "FlatMapGroupsInPandas" not in step._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, step.collect()), key=repr)
+        assert got == sorted(map(tuple, df.groupBy("k").applyInPandas(one, schema).collect()), key=repr)
+        assert len(got) == 301 and sum(r[1] for r in got) == 3000 and {r[4] for r in got} == {0}
+        many = lambda p: p.groupby("k", dropna=False, as_index=False).agg(rows=("n", "size"))
+        sizes = df.transform(scripts.table_step(many, "k long, rows int", ["k"], together=True)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, sizes), key=repr) == sorted(((r[0], r[1]) for r in got), key=repr)
+    assert df.limit(0).transform(scripts.table_step(one, schema, ["k"])).count() == 0
