@@ -639,6 +639,20 @@ def test_passages_of_hot_lines_and_of_other_cuts_are_found(spark):
     assert uncovered(texts, substring_dedup.repeated_passages(docs_of(spark, texts)).collect()) == set()
 
 
+def test_every_two_texts_with_a_passage_are_linked(spark):
+    rng = random.Random(15)
+    hot, texts, fuzzy = words_of(rng, 55), [], []
+    for _ in range(12):  # one passage of many texts
+        texts.append(" ".join(words_of(rng, 20) + hot + words_of(rng, 20)))
+    for _ in range(60):  # every fifth word changed: runs of four words, few of which began a seed once
+        passage = words_of(rng, 64)
+        copy = [words_of(rng, 1)[0] if j % 5 == 4 else w for j, w in enumerate(passage)]
+        fuzzy.append((len(texts), len(texts) + 1))
+        texts += [" ".join(words_of(rng, 40) + x + words_of(rng, 40)) for x in (passage, copy)]
+    rows = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    assert {(r.doc_id, r.of_doc) for r in rows} == {(a, b) for a in range(12) for b in range(12) if a != b} | {x for a, b in fuzzy for x in ((a, b), (b, a))}
+
+
 def test_each_occurrence_of_a_passage_is_found(spark):
     rng = random.Random(6)
     passage, line, other = words_of(rng, 60), words_of(rng, 8), words_of(rng, 20)
