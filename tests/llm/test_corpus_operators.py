@@ -653,6 +653,23 @@ def test_every_two_texts_with_a_passage_are_linked(spark):
     assert {(r.doc_id, r.of_doc) for r in rows} == {(a, b) for a in range(12) for b in range(12) if a != b} | {x for a, b in fuzzy for x in ((a, b), (b, a))}
 
 
+def test_seeds_of_one_text_are_not_joined(spark, monkeypatch):
+    rng = random.Random(16)
+    passage, seen = words_of(rng, 60), []
+    texts = [" ".join(words_of(rng, 60) + (passage if i in (3, 30) else []) + words_of(rng, 60)) for i in range(40)]
+
+    def stash(df, write=substring_dedup.stash):
+        out = write(df)
+        seen.extend([out.count()] if "key" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stash", stash)
+    monkeypatch.setattr(substring_dedup, "SLICE", 500)
+    rows = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    assert {(r.doc_id, r.of_doc) for r in rows} == {(3, 30), (30, 3)}
+    assert seen[0] == 2 * (60 - substring_dedup.SEED + 1)
+
+
 def test_each_occurrence_of_a_passage_is_found(spark):
     rng = random.Random(6)
     passage, line, other = words_of(rng, 60), words_of(rng, 8), words_of(rng, 20)
