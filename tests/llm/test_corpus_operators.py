@@ -670,6 +670,49 @@ def test_seeds_of_one_text_are_not_joined(spark, monkeypatch):
     assert seen[0] == 2 * (60 - substring_dedup.SEED + 1)
 
 
+def test_short_lines_of_many_texts_make_no_meetings_but_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(17)
+    line, other, chained = words_of(rng, 13), words_of(rng, 20), []
+    texts = [words_of(rng, 40) + (line if i % 2 else other[:13]) + words_of(rng, 40) for i in range(100)]
+    # A fifth of what the last two share is changed: it is the line and 13 runs of three words around it.
+    runs = [words_of(rng, 3) for _ in range(6)] + [line] + [words_of(rng, 3) for _ in range(7)]
+    texts += [words_of(rng, 20) + [w for r in runs for w in r + words_of(rng, 1)] + words_of(rng, 20) for _ in range(2)]
+    texts = [" ".join(t) for t in texts]
+
+    def stash(df, write=substring_dedup.stash):
+        out = write(df)
+        chained.extend([out.count()] if "p" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stash", stash)
+    rows = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    assert {(r.doc_id, r.of_doc, r.matched) for r in rows} == {(100, 101, 52), (101, 100, 52)}
+    assert sum(chained) < 20  # 2,500 and more where every common seed meets
+
+
+def test_two_texts_with_a_passage_share_a_meeting_seed():
+    rng = np.random.default_rng(18)
+    for _ in range(150):
+        m = int(rng.integers(50, 110))
+        changes = np.sort(rng.choice(m - 1, int(rng.integers(0, m // 4 + 1)), replace=False)) + 1  # words before which one is changed, put in or left out
+        words, sides = rng.integers(0, 1 << 16, m), [[], []]
+        for i, w in enumerate(words.tolist()):
+            if i in changes:
+                for side in [(0, 1), (0,), (1,)][rng.integers(0, 3)]:
+                    sides[side].append(int(rng.integers(0, 1 << 16)))
+            for x in sides:
+                x.append(w)
+        hot = [words[k : k + 13].tolist() for k in rng.integers(0, m - 13, 3)]  # pieces that many other texts have
+        noise = lambda n: rng.integers(0, 1 << 16, n).tolist()
+        texts = [noise(70) + x + noise(70) for x in sides] + [noise(5) + hot[i % 3] + noise(5) for i in range(int(rng.integers(0, 120)))]
+        texts = [np.array(t, np.uint16) for t in texts]
+        owner, h, _ = substring_dedup.seeds_of(texts)
+        key = h.view(np.uint64) >> np.uint64(64 - substring_dedup.BITS)
+        key, n = np.unique(np.unique(np.stack([key, owner.astype(np.uint64)], 1), axis=0)[:, 0], return_counts=True)
+        text, seed, *_, ends = substring_dedup.meeting_seeds(texts, key[n > 1], n[n > 1], substring_dedup.shares(50, 0.8))
+        assert set(seed[text == 0]) & set(seed[text == 1])
+
+
 def test_each_occurrence_of_a_passage_is_found(spark):
     rng = random.Random(6)
     passage, line, other = words_of(rng, 60), words_of(rng, 8), words_of(rng, 20)
